@@ -51,8 +51,9 @@ def decode_quality_score(c: Column) -> Column:
 
 def collapse_blank_lines(c: Column) -> Column:
     """Right-trim each line, then keep one empty line of every run."""
-    trimmed = F.regexp_replace(c, r"(?m)[ \t\r\f\x0b]+$", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"), r"^\n{2,}", "\n")
+    trimmed = F.regexp_replace(c, r"(?md)[ \t\r\f\x0b]+$", "")
+    inner = F.regexp_replace(trimmed, r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(inner, r"\A\n{2,}", "\n"), r"\n{2,}\z|\A\n\z", F.when(inner.rlike(r"\A\n*\z"), F.lit("")).otherwise(F.lit("\n")))
 
 
 def collapse_newlines(c: Column) -> Column:
@@ -62,7 +63,7 @@ def collapse_newlines(c: Column) -> Column:
 def normalize_lines(c: Column) -> Column:
     """Per line: blanks to one space, trimmed; empty lines dropped."""
     flat = F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), r"[^\S\n]+", " ")
-    no_edges = F.regexp_replace(flat, r"(?m)^ | $", "")
+    no_edges = F.regexp_replace(flat, r"(?md)^ | $", "")
     return F.regexp_replace(F.regexp_replace(no_edges, r"\n{2,}", "\n"), r"^\n|\n$", "")
 
 

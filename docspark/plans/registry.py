@@ -6,7 +6,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 SECTIONS = [
-    "sources", "sqlops", "cells",
+    "sources", "sqlops", "cells", "text",
 ]
 
 
