@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..ordering import broadcast_if_small
+from ..ordering import broadcast_if_small, spread_if_few
 
 
 def normalize_title(c: Column) -> Column:
@@ -55,3 +55,230 @@ def match_titles(titles: DataFrame, stems: DataFrame) -> DataFrame:
     for side, on in steps:
         asked = asked.join(broadcast_if_small(side), on, "left")
     return asked.select("title", F.coalesce("_exact", "_by_norm", "_by_num", "_by_sub").alias("stem"))
+
+
+# ---- assets and occurrences ----------------------------------------------
+
+
+def match_occurrences(assets: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """assets(doc_id, idx, sha) to occurrences(doc_id, idx, sha), both 0-based.
+
+    Equal hashes pair up in order first; what is left pairs by equal position.
+    Numbering runs in ranges, so a hash shared by very many assets stays spread.
+    """
+    from ..ordering import number_within
+
+    a = number_within(assets, ["doc_id", "sha"], ["idx"], "idx", "rn")
+    o = number_within(occurrences.where(F.col("sha").isNotNull()), ["doc_id", "sha"], ["idx"], "idx", "rn")
+    by_hash = a.join(o.select("doc_id", "sha", "rn", F.col("idx").alias("_o")), ["doc_id", "sha", "rn"], "left").select(
+        "doc_id", "idx", "_o")
+    used = by_hash.where(F.col("_o").isNotNull()).select("doc_id", F.col("_o").alias("idx"))
+    free = occurrences.select("doc_id", "idx").join(used, ["doc_id", "idx"], "left_anti")
+    free = free.select("doc_id", "idx", F.col("idx").alias("_p"))
+    return by_hash.join(free, ["doc_id", "idx"], "left").select(
+        "doc_id", "idx",
+        F.coalesce("_o", "_p").alias("occurrence"),
+        F.when(F.col("_o").isNotNull(), F.lit("hash")).when(F.col("_p").isNotNull(), F.lit("position")).alias("matched_by"),
+    )
+
+
+# ---- ranked retrieval ----------------------------------------------------
+
+#: Patterns up to this number are tested directly in the row of each text.
+DIRECT_PATTERNS = 512
+
+
+def _grams(text: Column) -> Column:
+    """Distinct runs of one to three characters."""
+
+    def runs(chars, n):
+        last = F.size(chars) - n
+        idx = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(idx, lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
+
+    chars = F.split(text, "")
+    return F.array_distinct(F.concat(*[runs(chars, n) for n in (1, 2, 3)]))
+
+
+def substring_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
+    """(key, pattern) for every patterns(pattern) contained in a text.
+
+    Equality join on the leading characters of the pattern, then the exact
+    test; no text meets a pattern it shares no characters with.
+    """
+    head = patterns.select("pattern", F.substring("pattern", 1, 3).alias("_g"))
+    grams = texts.select(key, text, F.explode(_grams(F.col(text))).alias("_g"))
+    return grams.join(broadcast_if_small(head), "_g").where(F.contains(F.col(text), F.col("pattern"))).select(
+        key, "pattern").distinct()
+
+
+def contained_patterns(texts: DataFrame, key: str, text: str, patterns: DataFrame, out: str) -> DataFrame:
+    """Adds the array of patterns(pattern) each text contains."""
+    few = [r.pattern for r in patterns.select("pattern").distinct().limit(DIRECT_PATTERNS + 1).collect()]
+    if len(few) <= DIRECT_PATTERNS:
+        listed = F.array(*[F.lit(p) for p in sorted(few)]).cast("array<string>")
+        return texts.withColumn(out, F.filter(listed, lambda p: F.contains(F.col(text), p)))
+    hits = substring_hits(texts, key, text, patterns.select("pattern").distinct())
+    found = hits.groupBy(key).agg(F.collect_set("pattern").alias(out))
+    return texts.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
+def _signatures(requests: DataFrame) -> DataFrame:
+    """Requests reduced to what a score depends on; equal ones share ``sig``."""
+    from ..functions import queries as Q
+
+    parts = requests.select(
+        "req_id",
+        F.array_sort(Q.query_tokens(F.col("query"))).alias("tokens"),
+        Q.mentions_transit(F.lower("query")).alias("asks_transit"),
+        F.coalesce("orientation", F.lit("")).alias("wanted"),
+        F.coalesce("min_width", F.lit(0)).alias("min_width"),
+        F.coalesce("min_height", F.lit(0)).alias("min_height"),
+        F.coalesce("required", F.array().cast("array<string>")).alias("required"),
+    )
+    fields = [c for c in parts.columns if c != "req_id"]
+    return parts.withColumn("sig", F.md5(F.to_json(F.struct(*fields))))
+
+
+def rank_candidates(requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
+    """Best ``n`` candidates per request: (req_id, rank, cand_id, score).
+
+    Requests are scored once per signature. A candidate meets a signature only
+    over a shared key: a query token it contains, or an alternative of the
+    first required group. Each task keeps its own best ``n`` before the shuffle.
+    """
+    from ..functions import licensing as L
+    from ..functions import queries as Q
+
+    asked = _signatures(requests)
+    sigs = asked.drop("req_id").dropDuplicates(["sig"])
+    sigs = sigs.withColumn("alts", Q.alternatives(F.col("required")))
+    sigs = sigs.withColumn("_need", F.get(F.filter("alts", lambda g: F.size(g) > 0), F.lit(0)))
+    everyone = F.array(F.lit(""))
+    keys = (
+        F.when(F.col("_need").isNotNull(), F.transform("_need", lambda a: F.concat(F.lit("r:"), a)))
+        .when((F.size("required") > 0) | (F.size("tokens") == 0), everyone)
+        .otherwise(F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.lit("t:"), t)))
+    )
+    sigs = sigs.withColumn("keys", keys).drop("_need")
+
+    text = Q.candidate_text(F.col("title"), F.col("author"), F.col("url"))
+    pool = candidates.select(
+        "cand_id", Q.compact(F.coalesce("title", F.lit(""))).alias("title_body"), "width", "height", text.alias("text"),
+        L.license_tier(F.col("license_name"), F.col("license_url"), F.col("provider")).alias("tier"),
+    ).where(F.col("tier").isNotNull())
+    pool = pool.withColumns({"body": Q.compact(F.col("text")), "transit": Q.mentions_transit(F.col("text"))})
+    tokens = sigs.select(F.explode("tokens").alias("pattern"))
+    needs = sigs.select(F.explode("keys").alias("k")).where(F.col("k").startswith("r:")).select(
+        F.substring("k", 3, 1_000_000).alias("pattern"))
+    pool = contained_patterns(pool, "cand_id", "text", tokens, "_tokens")
+    pool = contained_patterns(pool, "cand_id", "body", needs, "_needs")
+    pool = spread_if_few(pool, "cand_id").withColumn("held", F.concat(
+        everyone, F.transform("_tokens", lambda t: F.concat(F.lit("t:"), t)),
+        F.transform("_needs", lambda t: F.concat(F.lit("r:"), t))))
+
+    left = pool.select(
+        "cand_id", "title_body", "body", "width", "height", "tier", "transit", "_tokens", "held",
+        (F.col("text") == "").alias("no_text"), F.explode("held").alias("_key"))
+    right = sigs.withColumn("_key", F.explode("keys"))
+    pairs = left.join(broadcast_if_small(right), "_key")
+    # a pair sharing several keys is kept once, at its first shared key
+    pairs = pairs.where(F.col("_key") == F.get(F.array_intersect("keys", "held"), F.lit(0)))
+    gate = (F.size("required") == 0) | Q.gate_passes(F.col("alts"), F.col("body"))
+    n_tokens = F.size("tokens")
+    rel = F.when(n_tokens == 0, F.lit(1.0)).when(F.col("no_text"), F.lit(0.0)).otherwise(
+        F.size(F.filter("tokens", lambda t: F.array_contains(F.col("_tokens"), t))) / n_tokens)
+    in_title = F.when(F.size("required") == 0, F.lit(0)).otherwise(Q.title_hits(F.col("alts"), F.col("title_body")))
+    scored = pairs.where(gate).withColumn("_rel", rel).where((F.col("_rel") > 0) | (F.size("required") > 0)).select(
+        "sig", "cand_id",
+        Q.rank_score(
+            F.col("_rel"), in_title, ~F.col("asks_transit") & F.col("transit"), F.col("width"), F.col("height"),
+            F.col("wanted"), F.col("min_width"), F.col("min_height"), F.col("tier"),
+        ).alias("score"),
+    )
+    w = Window.partitionBy("sig").orderBy(F.col("score").desc(), "cand_id")
+    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return asked.select("req_id", "sig").join(best, "sig").select(
+        "req_id", F.col("rank").cast("long").alias("rank"), "cand_id", "score")
+
+
+# ---- layout choice -------------------------------------------------------
+
+# Gap and smallest text area of the layout rule.
+GAP, MIN_TEXT_HEIGHT, MIN_TEXT_WIDTH = 20, 150, 280
+
+
+def layout_dimensions(ratio: Column, width: Column, height: Column, gap: int = GAP) -> Column:
+    """struct(layout_type, image_w, image_h, text_w, text_h); halves round to even."""
+
+    def r(x):
+        return F.rint(x).cast("long")
+
+    w, h = width.cast("long"), height.cast("long")
+    top_h = r(w / ratio)
+    left_w = r(h * ratio)
+    narrow_w = r(w * F.lit(0.7))
+
+    def out(kind, iw, ih, tw, th):
+        return F.struct(F.lit(kind).alias("layout_type"), iw.alias("image_w"), ih.alias("image_h"),
+                        tw.alias("text_w"), th.alias("text_h"))
+
+    narrow = out("left-right", narrow_w, F.least(r(narrow_w / ratio), h),
+                 F.greatest(w - narrow_w - gap, F.lit(MIN_TEXT_WIDTH).cast("long")), h)
+    return (
+        F.when((ratio > 1.5) & (h - top_h - gap >= MIN_TEXT_HEIGHT), out("top-bottom", w, top_h, w, h - top_h - gap))
+        .when((ratio <= 1.5) & (w - left_w - gap >= MIN_TEXT_WIDTH), out("left-right", left_w, h, w - left_w - gap, h))
+        .otherwise(narrow)
+    )
+
+
+# ---- request queue -------------------------------------------------------
+
+# States of a queued request.
+PENDING, SOURCED, FAILED, NEEDS_MANUAL = "Pending", "Sourced", "Failed", "Needs-Manual"
+
+
+def queue_errors(items: DataFrame) -> DataFrame:
+    """items(pos, filename, query, status): first broken rule per bad row."""
+
+    def empty(c):
+        return F.coalesce(~F.col(c).rlike(r"\S"), F.lit(True))
+
+    error = F.lit(None).cast("string")
+    for c in ("filename", "query", "status"):
+        error = F.coalesce(error, F.when(empty(c), F.lit(f"field '{c}' must be a non-empty string")))
+    error = F.coalesce(error, F.when(
+        ~F.col("status").isin(PENDING, SOURCED, FAILED, NEEDS_MANUAL),
+        F.concat(F.lit("status '"), "status", F.lit("' is invalid"))))
+    repeated = (
+        items.groupBy("filename").agg(F.count(F.lit(1)).alias("_n"), F.min("pos").alias("_first"))
+        .where(F.col("_n") > 1).drop("_n")
+    )
+    joined = items.join(broadcast_if_small(repeated), "filename", "left")
+    error = F.coalesce(error, F.when(
+        F.col("pos") > F.col("_first"), F.concat(F.lit("duplicate filename '"), "filename", F.lit("'"))))
+    return joined.select("pos", error.alias("error")).where(F.col("error").isNotNull())
+
+
+def run_queue(items: DataFrame, best: DataFrame) -> DataFrame:
+    """New status per item; best(req_id, cand_id) holds the winner of each worked request."""
+    won = best.select(F.col("req_id").alias("pos"), "cand_id")
+    open_row = F.col("status").isin(PENDING, FAILED)
+    done = items.join(won, "pos", "left")
+    return done.select(
+        "pos", "filename",
+        F.when(open_row & F.col("cand_id").isNotNull(), F.lit(SOURCED)).when(open_row, F.lit(NEEDS_MANUAL))
+        .otherwise(F.col("status")).alias("status"),
+        F.when(open_row, F.col("cand_id")).alias("cand_id"),
+        F.when(open_row & F.col("cand_id").isNull(), F.lit("search failed")).alias("last_error"),
+        (~open_row).alias("skipped"),
+    )
+
+
+def queue_counts(done: DataFrame) -> DataFrame:
+    worked = ~F.col("skipped")
+    return done.agg(
+        F.count_if(worked & (F.col("status") == SOURCED)).alias("sourced"),
+        F.count_if(worked & (F.col("status") == NEEDS_MANUAL)).alias("needs_manual"),
+        F.count_if(F.col("skipped")).alias("skipped"),
+    )

@@ -293,16 +293,20 @@ def repair_anchors(docs: DataFrame, html: str = "html") -> DataFrame:
     ids = F.regexp_extract_all(F.col(html), F.lit(r'(?i)<h[1-6]\b[^>]*\bid="([^"]*)"'), F.lit(1))
     pieces = F.regexp_extract_all(
         F.col(html), F.lit(r'(?i)(<a\s+[^>]*href="#[^"]+"|<[^<]*|[^<]+)'), F.lit(1))
-    df = docs.withColumns({"_ids": F.transform(ids, lambda i: F.struct(i.alias("id"), normalize_anchor(i).alias("k"))), "_p": pieces})
+    # last heading first, so that the first equal key is the one that wins
+    df = docs.withColumns({"_ids": F.reverse(ids), "_p": pieces})
+    df = df.withColumn("_keys", F.transform("_ids", normalize_anchor))
 
     def fix(p):
         fragment = F.regexp_extract(p, r'(?i)^<a\s+[^>]*href="#([^"]+)"\z', 1)
-        key = normalize_anchor(fragment)
-        hit = F.try_element_at(F.filter("_ids", lambda i: i["k"] == key), F.lit(-1))["id"]
+        at = F.array_position(F.col("_keys"), normalize_anchor(fragment)).cast("int")
+        hit = F.get(F.col("_ids"), at - 1)
         prefix = F.regexp_extract(p, r'(?i)^(<a\s+[^>]*href=")#[^"]+"\z', 1)
         return F.when((fragment != "") & (hit != ""), F.concat(prefix, F.lit("#"), hit, F.lit('"'))).otherwise(p)
 
-    return df.withColumn(html, F.array_join(F.transform("_p", fix), "")).drop("_ids", "_p")
+    # the size test reads the key list outside the lambda: it is built once per row
+    fixed = F.when(F.size("_keys") == 0, F.col(html)).otherwise(F.array_join(F.transform("_p", fix), ""))
+    return df.withColumn(html, fixed).drop("_ids", "_p", "_keys")
 
 
 def html_statistics(html: Column, source: Column | None = None) -> Column:
@@ -373,7 +377,9 @@ def notebook_markdown(docs: DataFrame, json: str, stem: str) -> DataFrame:
             F.concat_ws("\n\n", F.concat(F.lit("```python\n"), cell["source"], F.lit("\n```")), outputs),
         ).otherwise(source)
 
-    return df.withColumn("markdown", F.concat(F.array_join(F.transform("_c", text), "\n\n"), F.lit("\n"))).drop("_c", "_a", "_sizes")
+    body = F.array_join(F.transform("_c", text), "\n\n")
+    # the size test reads the counts outside the lambda: they are built once per row
+    return df.withColumn("markdown", F.when(F.size("_sizes") >= 0, F.concat(body, F.lit("\n")))).drop("_c", "_a", "_sizes")
 
 
 # ---- paragraph edits -----------------------------------------------------

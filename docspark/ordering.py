@@ -85,3 +85,13 @@ def ordered_concat(value: Column | str, order: Column | str, sep: str) -> Column
     o = F.col(order) if isinstance(order, str) else order
     pairs = F.sort_array(F.collect_list(F.struct(o.alias("o"), v.alias("v"))))
     return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
+
+
+def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition by ``keys`` only when the input has fewer splits than there are slots.
+
+    Large inputs keep their own splits and are not shuffled.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(slots, *keys) if splits < slots else df

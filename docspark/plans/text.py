@@ -270,7 +270,7 @@ _MDL = """ml AS (SELECT doc_id, i, l[i] AS x, len(l) AS n, regexp_matches(l[i],
                 THEN chr(10) ELSE '' END || x || CASE WHEN li AND NOT inside AND nx IS NOT NULL AND trim(nx) <> ''
                 AND NOT regexp_matches(nx, '^\\s*([-*+]|\\d+[.)])\\s+') AND NOT starts_with(nx, ' ') AND NOT starts_with(nx, chr(9))
                 THEN chr(10) ELSE '' END AS y FROM a)
-        SELECT b.doc_id, string_agg(y, chr(10) ORDER BY i) || CASE WHEN arg_max(x, i) = '' THEN chr(10) ELSE '' END AS text
+        SELECT b.doc_id, string_agg(y, chr(10) ORDER BY i) || CASE WHEN arg_max(x, i) = '' AND count(*) > 1 THEN chr(10) ELSE '' END AS text
         FROM b GROUP BY b.doc_id""",
 )
 def _(spark, d):
