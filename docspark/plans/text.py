@@ -169,7 +169,7 @@ def elements(spark, d):
     lines = E.split_lines(docs(spark, d)).withColumn("text", X.strip_blank(F.col("text"))).where(F.col("text") != "")
     k = (F.col("doc_id") + F.col("line_no")) % 13
     plain = F.when(F.col("line_no") % 3 != 0, F.regexp_replace("text", r"[.]+$", "")).otherwise(F.col("text"))
-    head = F.concat(F.lit("## "), F.substring("text", 1, 30))
+    head = F.concat(F.lit("## Part "), "line_no", F.lit(" of the long document "), "doc_id")
     content = (
         F.when(k.isin(0, 1, 2), head).when(k.isin(5, 6), F.concat(F.lit("- "), "text"))
         .when(k == 9, F.concat(F.lit("| "), "text", F.lit(" |"))).otherwise(plain)
@@ -183,7 +183,7 @@ def elements(spark, d):
 _EL = """ln AS (SELECT doc_id, i - 1 AS line_no, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS t, (doc_id + i - 1) % 13 AS k
     FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
   el AS (SELECT doc_id, line_no // 9 + 1 AS page_no, line_no AS pos, CASE WHEN k = 9 THEN 2 ELSE 0 END AS kind,
-      trim(CASE WHEN k IN (0, 1, 2) THEN '## ' || left(t, 30) WHEN k IN (5, 6) THEN '- ' || t WHEN k = 9 THEN '| ' || t || ' |'
+      trim(CASE WHEN k IN (0, 1, 2) THEN '## Part ' || line_no || ' of the long document ' || doc_id WHEN k IN (5, 6) THEN '- ' || t WHEN k = 9 THEN '| ' || t || ' |'
            WHEN line_no % 3 <> 0 THEN regexp_replace(t, '[.]+$', '') ELSE t END) AS content,
       k IN (0, 1, 2) AS is_heading, k IN (5, 6) AS is_list, k IN (7, 8) AS is_code FROM ln WHERE t <> '')"""
 
@@ -204,7 +204,7 @@ def _(spark, d):
 
 @query(
     "e09_heading_merge",
-    # at most three adjacent headings of at most 33 characters: the first pair always fits
+    # at most three adjacent headings below 40 characters: the first pair always fits
     f"""WITH {_EL}, s AS (SELECT *, CASE WHEN is_heading AND coalesce(lag(is_heading) OVER w, false) THEN 0 ELSE 1 END AS st FROM el
             WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY pos)),
         g AS (SELECT *, sum(st) OVER (PARTITION BY doc_id, page_no ORDER BY pos) AS run FROM s),
