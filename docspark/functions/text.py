@@ -141,8 +141,12 @@ def width_class(which: str) -> str:
 
 
 def visual_width(c: Column) -> Column:
-    """Wide characters count 2, ambiguous 1.5, other 1; blanks count nothing."""
+    """Wide characters count 2, ambiguous 1.5, other 1; blanks count nothing.
+
+    ASCII is taken out first, so the two large classes only see the rest.
+    """
     t = remove_whitespace(c)
-    wide = F.regexp_count(t, F.lit(f"[{width_class('wide')}]"))
-    ambiguous = F.regexp_count(t, F.lit(f"[{width_class('ambiguous')}]"))
-    return F.length(t) + wide + ambiguous * F.lit(0.5)
+    rest = F.regexp_replace(t, r"[\x00-\x7F]+", "")
+    wide = F.length(rest) - F.length(F.regexp_replace(rest, f"[{width_class('wide')}]+", ""))
+    ambiguous = F.length(rest) - F.length(F.regexp_replace(rest, f"[{width_class('ambiguous')}]+", ""))
+    return F.length(t) + F.when(rest == "", 0.0).otherwise(wide + ambiguous * F.lit(0.5))

@@ -6,7 +6,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 SECTIONS = [
-    "sources", "sqlops", "cells", "text", "match", "assemble", "rollup", "layout",
+    "sources", "sqlops", "cells", "pages", "text", "match", "assemble", "rollup", "layout",
 ]
 
 

@@ -355,7 +355,7 @@ def _(spark, d):
 
 _TAILS = ["_ppt169_20240115", "_XHS_20231301", "_wechat_moment_20240229", "_story", "_a4_20240101", "_ppt43", "_none_20240101", "", "_小红书_20240202", "_Banner_2024"]
 _TAIL_OUT = [
-    ("", "ppt169", "PPT 16:9", "20240115", "2024-01-15"), ("", "xiaohongshu", "小红书", "20231301", None), ("_wechat", None, None, "20240229", "2024-02-29"),
+    ("", "ppt169", "PPT 16:9", "20240115", "2024-01-15"), ("", "xiaohongshu", "小红书", "20231301", None), ("_wechat_moment", None, None, "20240229", "2024-02-29"),
     ("", "story", "Story/Vertical", None, None), ("", "a4", "A4 Print", "20240101", "2024-01-01"), ("", "ppt43", "PPT 4:3", None, None),
     ("_none", None, None, "20240101", "2024-01-01"), ("", None, None, None, None), ("_小红书", None, None, "20240202", "2024-02-02"), ("_Banner_2024", None, None, None, None),
 ]
