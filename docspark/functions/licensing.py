@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_blank
+from .text import let, mentions, strip_blank
 
 NO_ATTRIBUTION, ATTRIBUTION = "no-attribution", "attribution-required"
 
@@ -51,26 +51,21 @@ def license_name(c: Column) -> Column:
     return F.coalesce(F.try_element_at(_literal_map(CANONICAL_NAMES), key), F.when(key.rlike(CC_NAME), cc), trimmed)
 
 
-def _any_of(text: Column, tokens: list[str]) -> Column:
-    hit = F.lit(False)
-    for t in tokens:
-        hit = hit | text.contains(t)
-    return hit
-
-
 def license_tier(name: Column, url: Column, provider: Column) -> Column:
     """Tier of a licence; NULL rejects the item."""
     parts = [F.lower(strip_blank(F.nullif(p, F.lit("")))) for p in (name, url)]
-    text = F.concat_ws(" ", *parts)
     key = F.lower(strip_blank(F.coalesce(provider, F.lit(""))))
-    stock = key.isin(STOCK_PROVIDERS) & text.contains(key)
-    by = _any_of(text, ATTRIBUTION_TOKENS)
-    return (
-        F.when(_any_of(text, REJECTED_TOKENS), F.lit(None).cast("string"))
-        .when(_any_of(text, NO_ATTRIBUTION_TOKENS), F.lit(NO_ATTRIBUTION))
-        .when(stock & ~by, F.lit(NO_ATTRIBUTION))
-        .when(by, F.lit(ATTRIBUTION))
-    )
+
+    def tier(text):
+        by = mentions(text, ATTRIBUTION_TOKENS)
+        stock = key.isin(STOCK_PROVIDERS) & F.contains(text, key)
+        return (
+            F.when(mentions(text, REJECTED_TOKENS), F.lit(None).cast("string"))
+            .when(mentions(text, NO_ATTRIBUTION_TOKENS) | (stock & ~by), F.lit(NO_ATTRIBUTION))
+            .when(by, F.lit(ATTRIBUTION))
+        )
+
+    return let(F.concat_ws(" ", *parts), tier)
 
 
 def attribution_text(

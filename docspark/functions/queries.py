@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_blank
+from .text import mentions, strip_blank
 
 # Words never searched for, and words dropped only beside better ones.
 NOISE_WORDS = [
@@ -112,10 +112,7 @@ def title_hits(alts: Column, body: Column) -> Column:
 
 
 def mentions_transit(text: Column) -> Column:
-    hit = F.lit(False)
-    for t in TRANSIT_TERMS:
-        hit = hit | text.contains(t)
-    return hit
+    return mentions(text, TRANSIT_TERMS)
 
 
 def orientation(width: Column, height: Column) -> Column:

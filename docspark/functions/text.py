@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +18,16 @@ MOJIBAKE_PAIR = "â€"
 MOJIBAKE_TRIPLE_TAILS = "™œ\x9d"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def mentions(c: Column, words: list[str]) -> Column:
+    """Whether a text contains any of the literal words, in one pass."""
+    return c.rlike("|".join(re.escape(w) for w in words))
+
+
 def strip_blank(c: Column) -> Column:
     """Trim every kind of ASCII blank, not spaces only."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -66,10 +66,7 @@ MONOSPACE = [
 
 
 def is_monospace(font: Column) -> Column:
-    low, hit = F.lower(F.coalesce(font, F.lit(""))), F.lit(False)
-    for name in MONOSPACE:
-        hit = hit | low.contains(name)
-    return hit
+    return X.mentions(F.lower(F.coalesce(font, F.lit(""))), MONOSPACE)
 
 
 def format_span(text: Column, flags: Column) -> Column:

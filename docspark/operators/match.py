@@ -183,7 +183,8 @@ def rank_candidates(requests: DataFrame, candidates: DataFrame, n: int = 4) -> D
     right = sigs.withColumn("_key", F.explode("keys"))
     pairs = left.join(broadcast_if_small(right), "_key")
     # a pair sharing several keys is kept once, at its first shared key
-    pairs = pairs.where(F.col("_key") == F.get(F.array_intersect("keys", "held"), F.lit(0)))
+    shared = F.get(F.filter("keys", lambda k: F.array_contains(F.col("held"), k)), F.lit(0))
+    pairs = pairs.where((F.size("keys") == 1) | (F.col("_key") == shared))
     gate = (F.size("required") == 0) | Q.gate_passes(F.col("alts"), F.col("body"))
     n_tokens = F.size("tokens")
     rel = F.when(n_tokens == 0, F.lit(1.0)).when(F.col("no_text"), F.lit(0.0)).otherwise(

@@ -523,21 +523,14 @@ CONTENTS = ["agenda", "contents", "content", "outline", "目录", "议程"]
 CHAPTER = ["chapter", "part", "section", "章节", "部分"]
 
 
-def _mentions(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | text.contains(w)
-    return hit
-
-
 def page_type(index: Column, total: Column, text: Column, slots: Column) -> Column:
     """Role of a deck page, position first."""
     low = F.lower(text)
     return (
         F.when(index == 1, F.lit("cover_candidate"))
-        .when((index == total) | _mentions(low, CLOSING), F.lit("ending_candidate"))
-        .when(_mentions(low, CONTENTS), F.lit("toc_candidate"))
-        .when(_mentions(low, CHAPTER), F.lit("chapter_candidate"))
+        .when((index == total) | X.mentions(low, CLOSING), F.lit("ending_candidate"))
+        .when(X.mentions(low, CONTENTS), F.lit("toc_candidate"))
+        .when(X.mentions(low, CHAPTER), F.lit("chapter_candidate"))
         .when((slots <= 2) & (F.length(text) <= 80), F.lit("chapter_candidate"))
         .otherwise(F.lit("content_candidate")))
 
@@ -546,9 +539,9 @@ def slide_type(index: Column, total: Column, text: Column, n_texts: Column, imag
     """Role of an imported slide, keywords first."""
     low = F.lower(text)
     return (
-        F.when(_mentions(low, CLOSING), F.lit("ending_candidate"))
-        .when(_mentions(low, CONTENTS), F.lit("toc_candidate"))
-        .when(_mentions(low, CHAPTER), F.lit("chapter_candidate"))
+        F.when(X.mentions(low, CLOSING), F.lit("ending_candidate"))
+        .when(X.mentions(low, CONTENTS), F.lit("toc_candidate"))
+        .when(X.mentions(low, CHAPTER), F.lit("chapter_candidate"))
         .when((index == 1) & (images <= 3), F.lit("cover_candidate"))
         .when((index == total) & (n_texts <= 6), F.lit("ending_candidate"))
         .when((n_texts <= 3) & (shapes <= 12), F.lit("chapter_candidate"))
