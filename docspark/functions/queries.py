@@ -129,20 +129,37 @@ def ratio_class(ratio: Column) -> Column:
     )
 
 
-def rank_score(
-    rel: Column, in_title: Column, transit_penalty: Column, width: Column, height: Column,
-    wanted: Column, min_width: Column, min_height: Column, tier: Column,
-) -> Column:
-    """Sum of the fixed score parts; relevance dominates."""
-    asked = F.lower(strip_blank(F.coalesce(wanted, F.lit(""))))
+def pixel_score(width: Column, height: Column) -> Column:
     pixels = F.greatest(width, F.lit(0)).cast("double") * F.greatest(height, F.lit(0)) / 1000.0
+    return F.least(pixels, F.lit(1500.0))
+
+
+def subject_score(rel: Column, in_title: Column, transit_penalty: Column, width: Column, height: Column, tier: Column) -> Column:
+    """Score parts that follow from the subject and the candidate; relevance dominates."""
     return (
         rel * 10000.0
         + in_title * 1500.0
         - F.when(transit_penalty, 5000.0).otherwise(0.0)
-        + F.when(asked == "", 0.0).when(orientation(width, height) == asked, 1000.0).otherwise(-250.0)
+        + F.when(tier == "no-attribution", 250.0).otherwise(0.0)
+        + pixel_score(width, height)
+    )
+
+
+def preference_score(width: Column, height: Column, wanted: Column, min_width: Column, min_height: Column) -> Column:
+    """Score parts that follow from the shape and size a request prefers."""
+    asked = F.lower(strip_blank(F.coalesce(wanted, F.lit(""))))
+    return (
+        F.when(asked == "", 0.0).when(orientation(width, height) == asked, 1000.0).otherwise(-250.0)
         - F.when((min_width > 0) & (width < min_width), 500.0).otherwise(0.0)
         - F.when((min_height > 0) & (height < min_height), 500.0).otherwise(0.0)
-        + F.when(tier == "no-attribution", 250.0).otherwise(0.0)
-        + F.least(pixels, F.lit(1500.0))
     )
+
+
+def rank_score(
+    rel: Column, in_title: Column, transit_penalty: Column, width: Column, height: Column,
+    wanted: Column, min_width: Column, min_height: Column, tier: Column,
+) -> Column:
+    """Score of a candidate for a request; rounded so that equal scores tie."""
+    return F.round(
+        subject_score(rel, in_title, transit_penalty, width, height, tier)
+        + preference_score(width, height, wanted, min_width, min_height), 6)

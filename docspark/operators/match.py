@@ -124,7 +124,9 @@ def contained_patterns(texts: DataFrame, key: str, text: str, patterns: DataFram
 
 
 def _signatures(requests: DataFrame) -> DataFrame:
-    """Requests reduced to what a score depends on; equal ones share ``sig``."""
+    """Requests reduced to what a score depends on; equal ones share ``sig``,
+    those that differ in preferred shape and size only share ``topic``.
+    """
     from ..functions import queries as Q
 
     parts = requests.select(
@@ -136,8 +138,17 @@ def _signatures(requests: DataFrame) -> DataFrame:
         F.coalesce("min_height", F.lit(0)).alias("min_height"),
         F.coalesce("required", F.array().cast("array<string>")).alias("required"),
     )
-    fields = [c for c in parts.columns if c != "req_id"]
-    return parts.withColumn("sig", F.md5(F.to_json(F.struct(*fields))))
+    return parts.withColumns({
+        "topic": F.md5(F.to_json(F.struct("tokens", "asks_transit", "required"))),
+        "sig": F.md5(F.to_json(F.struct(*[c for c in parts.columns if c != "req_id"])))})
+
+
+def _bucket(sigs: DataFrame, column: str, value: Column) -> Column:
+    """How many of the limits asked for a value reaches; the value itself when they are many."""
+    limits = [r[0] for r in sigs.select(column).distinct().limit(DIRECT_PATTERNS + 1).collect()]
+    if len(limits) > DIRECT_PATTERNS:
+        return value.cast("long")
+    return F.size(F.filter(F.array(*[F.lit(v) for v in sorted(limits)]), lambda m: value >= m)).cast("long")
 
 
 def rank_candidates(requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
@@ -145,58 +156,78 @@ def rank_candidates(requests: DataFrame, candidates: DataFrame, n: int = 4) -> D
 
     Requests are scored once per signature. A candidate meets a signature only
     over a shared key: a query token it contains, or an alternative of the
-    first required group. Each task keeps its own best ``n`` before the shuffle.
+    first required group. Candidates of one kind are cut to their first ``n``
+    beforehand, and each task keeps its own best ``n`` before the shuffle.
     """
     from ..functions import licensing as L
     from ..functions import queries as Q
 
     asked = _signatures(requests)
-    sigs = asked.drop("req_id").dropDuplicates(["sig"])
-    sigs = sigs.withColumn("alts", Q.alternatives(F.col("required")))
-    sigs = sigs.withColumn("_need", F.get(F.filter("alts", lambda g: F.size(g) > 0), F.lit(0)))
+    sigs = asked.select("sig", "topic", "wanted", "min_width", "min_height").dropDuplicates(["sig"])
+    topics = asked.select("topic", "tokens", "asks_transit", "required").dropDuplicates(["topic"])
+    topics = topics.withColumn("alts", Q.alternatives(F.col("required")))
+    topics = topics.withColumn("_need", F.get(F.filter("alts", lambda g: F.size(g) > 0), F.lit(0)))
     everyone = F.array(F.lit(""))
     keys = (
         F.when(F.col("_need").isNotNull(), F.transform("_need", lambda a: F.concat(F.lit("r:"), a)))
         .when((F.size("required") > 0) | (F.size("tokens") == 0), everyone)
         .otherwise(F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.lit("t:"), t)))
     )
-    sigs = sigs.withColumn("keys", keys).drop("_need")
+    topics = topics.withColumn("keys", keys).drop("_need")
 
     text = Q.candidate_text(F.col("title"), F.col("author"), F.col("url"))
     pool = candidates.select(
         "cand_id", Q.compact(F.coalesce("title", F.lit(""))).alias("title_body"), "width", "height", text.alias("text"),
         L.license_tier(F.col("license_name"), F.col("license_url"), F.col("provider")).alias("tier"),
     ).where(F.col("tier").isNotNull())
-    pool = pool.withColumns({"body": Q.compact(F.col("text")), "transit": Q.mentions_transit(F.col("text"))})
-    tokens = sigs.select(F.explode("tokens").alias("pattern"))
-    needs = sigs.select(F.explode("keys").alias("k")).where(F.col("k").startswith("r:")).select(
-        F.substring("k", 3, 1_000_000).alias("pattern"))
+    pool = pool.withColumns({
+        "body": Q.compact(F.col("text")), "transit": Q.mentions_transit(F.col("text")), "no_text": F.col("text") == ""})
+    tokens = topics.select(F.explode("tokens").alias("pattern"))
+    needs = topics.select(F.explode(F.flatten("alts")).alias("pattern"))
     pool = contained_patterns(pool, "cand_id", "text", tokens, "_tokens")
     pool = contained_patterns(pool, "cand_id", "body", needs, "_needs")
-    pool = spread_if_few(pool, "cand_id").withColumn("held", F.concat(
+    pool = contained_patterns(pool, "cand_id", "title_body", needs, "_titled")
+    pool = pool.select(
+        "cand_id", "width", "height", "tier", "transit", "no_text",
+        F.array_sort("_tokens").alias("_tokens"), F.array_sort("_needs").alias("_needs"), F.array_sort("_titled").alias("_titled"),
+        Q.orientation(F.col("width"), F.col("height")).alias("_shape"),
+        _bucket(sigs, "min_width", F.col("width")).alias("_wide"), _bucket(sigs, "min_height", F.col("height")).alias("_high"),
+    )
+    # Candidates alike in everything but their pixels rank alike for every
+    # request, so only the first n of each kind can ever be among the best n.
+    kind = ["_tokens", "_needs", "_titled", "tier", "transit", "no_text", "_shape", "_wide", "_high"]
+    alike = Window.partitionBy(*kind).orderBy(Q.pixel_score(F.col("width"), F.col("height")).desc(), "cand_id")
+    pool = pool.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= n).drop("_r")
+    pool = pool.withColumn("held", F.concat(
         everyone, F.transform("_tokens", lambda t: F.concat(F.lit("t:"), t)),
         F.transform("_needs", lambda t: F.concat(F.lit("r:"), t))))
 
-    left = pool.select(
-        "cand_id", "title_body", "body", "width", "height", "tier", "transit", "_tokens", "held",
-        (F.col("text") == "").alias("no_text"), F.explode("held").alias("_key"))
-    right = sigs.withColumn("_key", F.explode("keys"))
+    left = pool.withColumn("_key", F.explode("held"))
+    right = topics.withColumn("_key", F.explode("keys"))
     pairs = left.join(broadcast_if_small(right), "_key")
     # a pair sharing several keys is kept once, at its first shared key
     shared = F.get(F.filter("keys", lambda k: F.array_contains(F.col("held"), k)), F.lit(0))
     pairs = pairs.where((F.size("keys") == 1) | (F.col("_key") == shared))
-    gate = (F.size("required") == 0) | Q.gate_passes(F.col("alts"), F.col("body"))
+
+    def met(group, held):
+        return F.exists(group, lambda a: F.array_contains(F.col(held), a))
+
+    gate = (F.size("required") == 0) | F.forall("alts", lambda g: (F.size(g) == 0) | met(g, "_needs"))
     n_tokens = F.size("tokens")
     rel = F.when(n_tokens == 0, F.lit(1.0)).when(F.col("no_text"), F.lit(0.0)).otherwise(
         F.size(F.filter("tokens", lambda t: F.array_contains(F.col("_tokens"), t))) / n_tokens)
-    in_title = F.when(F.size("required") == 0, F.lit(0)).otherwise(Q.title_hits(F.col("alts"), F.col("title_body")))
+    in_title = F.when(F.size("required") == 0, F.lit(0)).otherwise(
+        F.size(F.filter("alts", lambda g: met(g, "_titled"))))
+    subject = Q.subject_score(
+        F.col("_rel"), in_title, ~F.col("asks_transit") & F.col("transit"), F.col("width"), F.col("height"), F.col("tier"))
     scored = pairs.where(gate).withColumn("_rel", rel).where((F.col("_rel") > 0) | (F.size("required") > 0)).select(
-        "sig", "cand_id",
-        Q.rank_score(
-            F.col("_rel"), in_title, ~F.col("asks_transit") & F.col("transit"), F.col("width"), F.col("height"),
-            F.col("wanted"), F.col("min_width"), F.col("min_height"), F.col("tier"),
-        ).alias("score"),
-    )
+        "topic", "cand_id", "width", "height", "_shape", "_wide", "_high", F.round(subject, 6).alias("_subject"))
+    # equal shape and size gain the same from every preference of a topic
+    alike = Window.partitionBy("topic", "_shape", "_wide", "_high").orderBy(F.col("_subject").desc(), "cand_id")
+    scored = scored.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= n)
+    preference = Q.preference_score(F.col("width"), F.col("height"), F.col("wanted"), F.col("min_width"), F.col("min_height"))
+    scored = scored.join(sigs, "topic").select(
+        "sig", "cand_id", F.round(F.col("_subject") + preference, 6).alias("score"))
     w = Window.partitionBy("sig").orderBy(F.col("score").desc(), "cand_id")
     best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return asked.select("req_id", "sig").join(best, "sig").select(

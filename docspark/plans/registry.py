@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..ordering import spread_if_few
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -24,5 +26,10 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+#: Text tables, whose rows are costly: a single small file is spread over the slots.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_if_few(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
