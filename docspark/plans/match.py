@@ -424,8 +424,8 @@ def _(spark, d):
 
 @query(
     "g15_queue_counts",
-    f"""{_RANK_WITH}, {_DONE_SQL} SELECT count_if(NOT skipped AND status = 'Sourced') AS sourced,
-        count_if(NOT skipped AND status = 'Needs-Manual') AS needs_manual, count_if(skipped) AS skipped FROM dq""",
+    f"""{_RANK_WITH}, {_DONE_SQL} SELECT count_if(NOT skipped AND status = 'Sourced')::BIGINT AS sourced,
+        count_if(NOT skipped AND status = 'Needs-Manual')::BIGINT AS needs_manual, count_if(skipped)::BIGINT AS skipped FROM dq""",
 )
 def _(spark, d):
     return M.queue_counts(_done(spark, d))
