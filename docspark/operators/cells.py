@@ -662,7 +662,10 @@ def _capped(cells: DataFrame, merges: DataFrame | None, max_rows: int, max_cols:
 
 def column_alignments(cells: DataFrame, merges: DataFrame | None = None, max_rows: int = 0, max_cols: int = 0) -> DataFrame:
     """``---:`` for columns whose values below the header are all numbers."""
-    inside, lim = _capped(cells, merges, max_rows, max_cols)
+    return _alignments(_capped(cells, merges, max_rows, max_cols)[0])
+
+
+def _alignments(inside: DataFrame) -> DataFrame:
     data = inside.where((F.col("row") > F.col("min_row")) | (F.col("last_row") == F.col("min_row")))
     numeric = F.col("type").isin("int", "float")
     return data.groupBy("sheet", "col").agg(
@@ -699,7 +702,7 @@ def markdown_table(
             F.concat(F.lit("| "), joined, F.lit(" |")).alias("line"),
         )
     )
-    aligned = column_alignments(cells, merges, max_rows, max_cols).groupBy("sheet").agg(
+    aligned = _alignments(inside).groupBy("sheet").agg(
         F.map_from_entries(F.collect_list(F.struct("col", "alignment"))).alias("_a"))
     marks = F.array_join(
         F.transform(F.sequence("min_col", "width_col"),
