@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     The folder is the one named in ``spark.checkpoint.dir``; a temporary folder
     is used only where that setting is absent, as in local tests.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/docspark-{uuid.uuid4().hex}"

@@ -74,7 +74,7 @@ def markdown_with_header(
     )
 
 
-def write_markdown(df: DataFrame, column: str, path: str) -> None:
+def write_markdown(df: DataFrame, path: str) -> None:
     """Parquet keeps one row per document, also for texts with newlines."""
     df.write.mode("errorifexists").parquet(path)
 
