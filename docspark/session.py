@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,10 +34,22 @@ def local_session(app: str = "docspark", cores: str | None = None) -> SparkSessi
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    The folder is the one named in ``spark.checkpoint.dir``; a temporary folder
-    is used only where that setting is absent, as in local tests.
+    The folder is the one named in ``spark.checkpoint.dir``. A session of one
+    machine that names none gets a temporary folder of its own; on a cluster a
+    missing setting is an error, since executors do not share local folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/docspark-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _local_folder() -> str:
+    """One folder for each Python process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
