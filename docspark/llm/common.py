@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 #: Stored size in bytes of a written table up to which it may be broadcast.
-BROADCAST_BYTES = 32 * 1024 * 1024
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:

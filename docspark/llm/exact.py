@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, written
+from .common import check_columns, small, written
 
 #: Bytes read in the first round; every later round reads GROWTH times as many.
 FIRST_BYTES, GROWTH = 64, 32
@@ -24,8 +24,8 @@ def exact_groups(
     rows or more, and only their rows go on with the rest of their bytes; a row
     that is alone in its part, or whose text has ended, is settled. Equality is
     thus shown by the bytes themselves. Counts combine before the shuffle, the
-    part table is joined back by key (broadcast by Spark where its files are
-    small, else sorted, hot parts split by AQE), so no group meets in one task.
+    part table is joined back by key (broadcast where its files are small, else
+    sorted, hot parts split by AQE), so no group meets in one task.
 
     NULL text counts as empty, and empty texts are equal. Of a group the largest id
     stays; a NULL id is below all others; of repeated rows with that id one stays.
@@ -57,10 +57,10 @@ def exact_groups(
             break
         width, first = width * growth, False
     settled = reduce(DataFrame.unionByName, done)
-    whole = settled.where("_gid IS NOT NULL").groupBy("_round", "_gid").agg(
+    whole = written(settled.where("_gid IS NOT NULL").groupBy("_round", "_gid").agg(
         F.max(F.struct("_id", "_tag")).alias("_best"), F.count(F.lit(1)).alias("_n")
-    )
-    out = settled.join(whole, ["_round", "_gid"], "left")
+    ))
+    out = settled.join(small(whole), ["_round", "_gid"], "left")
     alone = F.col("_n").isNull()
     return out.select(
         F.col("_id").alias(id_col),
@@ -86,7 +86,7 @@ def _split(rows: DataFrame, width: int, first: bool) -> tuple[DataFrame, DataFra
         keyed.groupBy("_gid", "_head").count().where("count > 1")
         .select("_gid", "_head", F.monotonically_increasing_id().alias("_part"))
     )
-    left = keyed.join(parts, ["_gid", "_head"], "left")
+    left = keyed.join(small(parts), ["_gid", "_head"], "left")
     tag = F.monotonically_increasing_id() if first else F.col("_tag")
     on = F.col("_part").isNotNull()
     ended = F.octet_length("_rest") <= width
