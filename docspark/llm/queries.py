@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, packing, records
+from . import contamination, exact, kneser_ney, packing, records, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -92,3 +92,21 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).select(
         "doc_id", "start", "n_tokens", "ids_crc32"
     )
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney scores of all documents, from six of seven of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    return kneser_ney.score(docs, model).select(
+        "doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

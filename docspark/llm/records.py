@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MASK = 0xA282EAD8
 #: Payload head: 1 if there is an id, the id, bytes of a token id, how many.
-HEAD = struct.Struct("<BqBQ")
+HEAD = "<BqBQ"
 MANIFEST = "shard int, file string, docs long, tokens long, bytes long"
 #: Bytes of a shard read at once.
 READ_BYTES = 8_000_000
@@ -84,7 +84,7 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_c
             ids = ids.astype(kind)
             start = 0
             for key, n in zip(batch.column("_id").to_pylist(), counts.tolist(), strict=True):
-                record = frame(HEAD.pack(key is not None, key or 0, width, n) + ids[start : start + n].tobytes())
+                record = frame(struct.pack(HEAD, key is not None, key or 0, width, n) + ids[start : start + n].tobytes())
                 out.write(record)
                 start += n
                 at += len(record)
@@ -131,8 +131,8 @@ def read_records(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Da
                         rows = []
                         for at in (offsets[a:b] - offsets[a]).tolist():
                             payload, _ = unframe(block, at)
-                            has, key, width, n = HEAD.unpack_from(payload)
-                            ids = np.frombuffer(payload[HEAD.size :], "<u2" if width == 2 else "<u4").astype(np.uint32)
+                            has, key, width, n = struct.unpack_from(HEAD, payload)
+                            ids = np.frombuffer(payload[struct.calcsize(HEAD) :], "<u2" if width == 2 else "<u4").astype(np.uint32)
                             if len(ids) != n:
                                 raise ValueError(f"{file}: {len(ids)} ids where {n} were written")
                             rows.append((key if has else None, base, n, zlib.crc32(ids.tobytes()), ids))
