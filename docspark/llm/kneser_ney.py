@@ -253,7 +253,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
 
     found = {r["shard"]: r for r in written(
         _counted(texts, shards, lambda: lambda batch: token_hashes(batch, "_text")[0])
-        .groupBy("shard").applyInArrow(words, "shard int, words long, tokens long")
+        .groupBy("shard").applyInArrow(words, "shard long, words long, tokens long")
     ).collect()}  # one row a shard
     vocab = [found[i]["words"] if i in found else 0 for i in range(shards)]
     for i in range(shards):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, kneser_ney, packing, records, toxicity
+from . import contamination, exact, jaccard, kneser_ney, packing, records, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -110,3 +110,9 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, model).select(
         "doc_id", kneser_ney.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op6_ngram_jaccard_join")
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share nine of ten three-word shingles."""
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), words=3, num=90)

@@ -31,11 +31,11 @@ class Plain:
         self.d = (0, *K.discounts(of(list(self.pairs.values()))))
         self.e = (0, *K.discounts(of(list(self.before.values()))))
         self.n, self.v = sum(self.count.values()), len(self.count)
+        self.rest = sum(self.e[min(c, 3)] for c in self.before.values()) / len(self.pairs)
 
     def low(self, w):
         t = len(self.pairs)
-        rest = sum(self.e[min(c, 3)] for c in self.before.values()) / t
-        return max(self.before[w] - self.e[min(self.before[w], 3)], 0) / t + rest / (self.v + 1)
+        return max(self.before[w] - self.e[min(self.before[w], 3)], 0) / t + self.rest / (self.v + 1)
 
     def p(self, a, w):
         if not self.total[a]:
