@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, jaccard, kneser_ney, packing, records, toxicity
+from . import contamination, exact, jaccard, kneser_ney, packing, records, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -116,3 +116,39 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share nine of ten three-word shingles."""
     return jaccard.near_groups(table(spark, sf_dir, "documents"), words=3, num=90)
+
+
+_OP10 = r"""
+WITH p AS (
+  SELECT page_id, url, CAST(page_id % 366 AS INT) AS day,
+         regexp_replace(regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '^www\.', ''), '\.+$', '') AS host,
+         regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/+$', '') AS path
+  FROM pages
+), h AS (
+  SELECT host, min(page_id) AS first, min(string_split(path, '/')[2]) AS part FROM p WHERE host <> '' GROUP BY host
+), e AS (
+  SELECT host AS pattern, CAST(first % 200 AS INT) AS day, 1 AS r FROM h WHERE first % 2 = 0
+  UNION ALL SELECT host, CAST(first % 200 AS INT) + 60, 0 FROM h WHERE first % 4 = 0
+  UNION ALL SELECT host, CAST(first % 200 AS INT) + 120, 1 FROM h WHERE first % 8 = 0
+  UNION ALL SELECT host || '/' || part, 30, 2 FROM h WHERE first % 3 = 0 AND part <> ''
+), k AS (
+  SELECT page_id, day, array_to_string(list_slice(l, i, len(l)), '.') AS pattern
+  FROM (SELECT page_id, day, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, day, string_split(host, '.') AS l FROM p WHERE host <> ''))
+  UNION SELECT page_id, day, host || '/' || array_to_string(list_slice(l, 2, i), '/')
+  FROM (SELECT page_id, day, host, l, unnest(range(2, len(l) + 1)) AS i FROM (SELECT page_id, day, host, string_split(path, '/') AS l FROM p WHERE host <> ''))
+), state AS (
+  SELECT k.page_id, k.pattern, arg_max(r, e.day * 10 + r) AS r FROM k JOIN e ON e.pattern = k.pattern AND e.day <= k.day GROUP BY ALL
+), best AS (
+  SELECT page_id, count(*) AS n_active, arg_max(r, (length(pattern), pattern)) AS r, arg_max(pattern, (length(pattern), pattern)) AS matched
+  FROM state WHERE r > 0 GROUP BY page_id
+)
+SELECT page_id, url, p.day, CASE r WHEN 2 THEN 'allow' WHEN 1 THEN 'block' ELSE 'none' END AS verdict, matched, coalesce(n_active, 0) AS n_active
+FROM p LEFT JOIN best USING (page_id)
+"""
+
+
+@query("op10_url_filters", _OP10)
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active on its fetch day (day of a year, from the page id)."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 366).cast("int").alias("day"))
+    return urls.url_verdicts(pages, urls.site_history(pages))
