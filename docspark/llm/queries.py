@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, jaccard, kneser_ney, packing, records, toxicity, urls
+from . import contamination, exact, jaccard, kneser_ney, licences, packing, records, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -152,3 +152,65 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the list entries active on its fetch day (day of a year, from the page id)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 366).cast("int").alias("day"))
     return urls.url_verdicts(pages, urls.site_history(pages))
+
+
+_T = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(licences.TEMPLATES))
+_OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN doc_id % 1000 = 0 THEN source || '/LICENSE-' || doc_id
+         WHEN doc_id % 100 = 0 THEN source || '/' || (doc_id // 100 % 10) || '/LICENSE-' || doc_id
+         WHEN doc_id % 10 = 0 THEN source || '/' || (doc_id // 100 % 10) || '/' || (doc_id // 10 % 10) || '/LICENSE-' || doc_id
+         ELSE source || '/' || (doc_id // 100 % 10) || '/' || (doc_id // 10 % 10) || '/f-' || doc_id END AS path,
+         doc_id % 10 = 0 AS is_license_file, coalesce(text, '') AS text FROM documents
+), l0 AS (
+  SELECT doc_id, generate_subscripts(a, 1) AS no, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM d)
+), w AS (
+  SELECT doc_id, no, term, count(*) AS tf FROM (
+    SELECT doc_id, no, unnest(list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM l0
+  ) GROUP BY ALL
+), n AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, no FROM w)), t AS (
+  SELECT i, name, term, count(*) AS tf FROM (
+    SELECT i, name, unnest(list_filter(regexp_split_to_array(text, '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM (VALUES {_T}) AS v(i, name, text)
+  ) GROUP BY ALL
+), idf AS (
+  SELECT term, ln((any_value(n.n) + 1) / (count(w.term) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN w USING (term), n GROUP BY term
+), tv AS (
+  SELECT i, name, term, tf * idf / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY i)) AS x FROM t JOIN idf USING (term)
+), wv AS (
+  SELECT doc_id, no, term, tf * coalesce(idf, ln(n.n + 1) + 1) AS x FROM w LEFT JOIN idf USING (term), n
+), norm AS (SELECT doc_id, no, sqrt(sum(x * x)) AS norm FROM wv GROUP BY ALL), c AS (
+  SELECT doc_id, name, round(sum(wv.x * tv.x) / any_value(norm), 6) AS cosine FROM wv JOIN tv USING (term) JOIN norm USING (doc_id, no) GROUP BY doc_id, no, i, name
+), own AS (
+  SELECT doc_id, max(cosine) AS cosine, arg_max(name, (cosine, name)) AS license FROM c WHERE cosine >= {licences.THRESHOLD} GROUP BY doc_id
+), f AS (SELECT doc_id, path, is_license_file, license, cosine, regexp_replace(path, '/?[^/]*$', '') AS folder FROM d LEFT JOIN own USING (doc_id)), g AS (
+  SELECT folder, arg_max(license, (cosine, license)) AS given FROM f WHERE is_license_file AND license IS NOT NULL GROUP BY folder
+), up AS (
+  SELECT doc_id, arg_max(folder, depth) AS inherited_from, arg_max(given, depth) AS given FROM (
+    SELECT doc_id, i AS depth, array_to_string(list_slice(p, 1, i), '/') AS folder
+    FROM (SELECT doc_id, p, unnest(range(0, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(folder, '/') AS p FROM f WHERE license IS NULL))
+  ) JOIN g USING (folder) GROUP BY doc_id
+)
+SELECT doc_id, path, license, cosine, coalesce(license, given) AS effective, inherited_from FROM f LEFT JOIN up USING (doc_id)
+"""
+
+
+def file_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files of a tree: a folder a source, then two levels by the id; ids ending in 0 are licence files of their level."""
+    a, b = (F.floor(F.col("doc_id") / n) % 10 for n in (100, 10))
+    ends = lambda n: F.col("doc_id") % n == 0
+    name = F.concat(F.lit("LICENSE-"), "doc_id")
+    return docs.select(
+        "doc_id", "text", ends(10).alias("is_license_file"),
+        F.when(ends(1000), F.concat_ws("/", "source", name)).when(ends(100), F.concat_ws("/", "source", a, name))
+        .when(ends(10), F.concat_ws("/", "source", a, b, name))
+        .otherwise(F.concat_ws("/", "source", a, b, F.concat(F.lit("f-"), "doc_id"))).alias("path"),
+    )
+
+
+@query("op5_license_scan", _OP5)
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files of a tree."""
+    files = file_paths(table(spark, sf_dir, "documents"))
+    own = licences.declared(files).select(F.col("doc_id").alias("_i"), "license", "cosine")
+    named = files.drop("text").join(own, F.col("doc_id") == F.col("_i")).drop("_i")
+    return licences.inherit(named).select("doc_id", "path", "license", "cosine", "effective", "inherited_from")
