@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, jaccard, kneser_ney, licences, packing, records, toxicity, urls
+from . import contamination, exact, jaccard, kneser_ney, licences, lines, packing, records, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -214,3 +214,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = licences.declared(files).select(F.col("doc_id").alias("_i"), "license", "cosine")
     named = files.drop("text").join(own, F.col("doc_id") == F.col("_i")).drop("_i")
     return licences.inherit(named).select("doc_id", "path", "license", "cosine", "effective", "inherited_from")
+
+
+@query("op4_line_dedup")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier line, exactly or with at most two edits."""
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped")
+    )
