@@ -101,6 +101,6 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns."""
     others = tuple(c for c in docs.columns if c != id_col)
     # a column of docs may be named like one of the result; inside the struct it can't clash
-    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*others).alias("_row")) if id_col != text_col else docs
+    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
     kept = exact_groups(packed, id_col, text_col, keep=("_row",)).where("kept")
     return kept.select(F.col(id_col), *[F.col(f"_row.`{c}`").alias(c) for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
