@@ -16,6 +16,7 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at apache org licenses LICENSE 2.0"),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version"),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2"),
