@@ -25,9 +25,11 @@ def parse_ref(ref: str) -> tuple[int, int]:
 
 
 def parse_range(start: str, end: str | None = None):
-    """(row, column, end row, end column); the end is None when not given."""
+    """(row, column, end row, end column); what the end doesn't give is None: ``B3:E`` has no last row."""
     if end is None and ":" in start:
         start, end = start.split(":", 1)
+    if end and re.fullmatch("[A-Za-z]{1,3}", end):
+        return (*parse_ref(start), None, parse_ref(f"{end}1")[1])
     return (*parse_ref(start), *(parse_ref(end) if end else (None, None)))
 
 

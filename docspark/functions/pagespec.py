@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip_blank
+from .text import let, strip_blank
 
-#: Largest number of pages one selection may name.
-MAX_SELECTABLE = 100_000
-DEFAULT_MAX_PAGES = 1000
 RANGE = r"^(\d+)\s*-\s*(\d+)$"
 
 
@@ -24,34 +21,56 @@ def _end(part: Column, which: int) -> Column:
     return F.when((n >= 1) & (n <= 9007199254740991), n)
 
 
-def _pages_type(c: Column) -> Column:
-    return c.cast("array<long>")
+def parse_ranges(spec: Column, limit: int | None = None) -> Column:
+    """struct(ranges, error): disjoint (lo, hi, before) in input order, repeats dropped; NULL ranges mean all.
 
+    ``before`` pages come earlier in the selection. Ranges are never unrolled; with ``limit``
+    a selection of more pages is an error.
+    """
+    span = "array<struct<lo:bigint,hi:bigint,before:bigint>>"
 
-def parse_strict(spec: Column) -> Column:
-    """struct(pages, error): input order kept, repeats dropped; NULL pages mean all."""
+    def without(acc, lo, hi):
+        """The parts of lo..hi that no earlier range has."""
+        def cut(parts, r):
+            return F.filter(F.flatten(F.transform(parts, lambda p: F.array(
+                F.struct(p["lo"].alias("lo"), F.least(p["hi"], r["lo"] - 1).alias("hi")),
+                F.struct(F.greatest(p["lo"], r["hi"] + 1).alias("lo"), p["hi"].alias("hi"))))), lambda q: q["lo"] <= q["hi"])
+
+        return F.aggregate(acc["ranges"], F.array(F.struct(lo.alias("lo"), hi.alias("hi"))), cut)
+
+    def placed(acc, parts):
+        return F.aggregate(parts, F.struct(acc["ranges"].alias("ranges"), acc["total"].alias("total")), lambda a, p: F.struct(
+            F.concat(a["ranges"], F.array(F.struct(p["lo"].alias("lo"), p["hi"].alias("hi"), a["total"].alias("before")))).cast(span).alias("ranges"),
+            (a["total"] + p["hi"] - p["lo"] + 1).alias("total")))
 
     def step(acc, part):
         lo, hi = _end(part, 1), _end(part, 2)
         wrong = F.concat(F.lit('Invalid page range: "'), spec, F.lit('"'))
         down = F.concat(F.lit('Invalid page range (start > end): "'), spec, F.lit('"'))
-        many = F.concat(wrong, F.lit(f" selects more than {MAX_SELECTABLE} pages"))
-        error = (
-            F.when(acc["error"].isNotNull(), acc["error"])
-            .when(lo.isNull() | hi.isNull(), wrong)
-            .when(lo > hi, down)
-            .when(part.contains("-") & (F.size(acc["pages"]) + hi - lo + 1 > MAX_SELECTABLE), many)
-        )
-        pages = F.when(error.isNull(), F.array_union(acc["pages"], F.sequence(lo, hi))).otherwise(acc["pages"])
-        return F.struct(pages.alias("pages"), error.alias("error"))
-
-    start = F.struct(_pages_type(F.array()).alias("pages"), F.lit(None).cast("string").alias("error"))
+        error = F.when(acc["error"].isNotNull(), acc["error"]).when(lo.isNull() | hi.isNull(), wrong).when(lo > hi, down)
+        if limit is not None:
+            many = F.concat(wrong, F.lit(f" selects more than {limit} pages"))
+            error = error.when(part.contains("-") & (acc["total"] + hi - lo + 1 > limit), many)
+        none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+        new = placed(acc, F.when(error.isNull(), without(acc, lo, hi)).otherwise(none))
+        return F.struct(new["ranges"].alias("ranges"), new["total"].alias("total"), error.alias("error"))
+
+    start = F.struct(
+        F.array().cast(span).alias("ranges"), F.lit(0).cast("long").alias("total"), F.lit(None).cast("string").alias("error"))
     got = F.aggregate(_parts(spec), start, step)
     none = F.coalesce(spec, F.lit("")) == ""
     return F.struct(
-        F.when(~none & got["error"].isNull(), got["pages"]).alias("pages"),
-        F.when(~none, got["error"]).alias("error"),
-    )
+        F.when(~none & got["error"].isNull(), got["ranges"]).alias("ranges"), F.when(~none, got["error"]).alias("error"))
+
+
+def unrolled(ranges: Column) -> Column:
+    """Every page of the ranges, for a selection that is to be shown."""
+    return F.flatten(F.transform(ranges, lambda r: F.sequence(r["lo"], r["hi"])))
+
+
+def parse_strict(spec: Column, limit: int | None = None) -> Column:
+    """struct(pages, error): :func:`parse_ranges` unrolled."""
+    return let(parse_ranges(spec, limit), lambda r: F.struct(unrolled(r["ranges"]).alias("pages"), r["error"].alias("error")))
 
 
 def parse_clamped(spec: Column, total: Column) -> Column:

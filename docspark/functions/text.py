@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
 # Marks left behind by a wrong charset guess.
-MOJIBAKE_SINGLE = "�锟ÃÂ琚佸鍦涓鏄寤骞鏈鏃鈥"
-MOJIBAKE_PAIR = "â€"
-MOJIBAKE_TRIPLE_TAILS = "™œ\x9d"
+DECODE_MARKS = [
+    "�", "锟", "Ã", "Â", "â€", "â€™", "â€œ", "â€\x9d",
+    "琚", "佸", "鍦", "涓", "鏄", "寤", "骞", "鏈", "鏃", "鈥",
+]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,12 +51,14 @@ def strip_control(c: Column) -> Column:
 
 
 def decode_quality_score(c: Column) -> Column:
-    """Decode artifacts in a text: 20 per mark, 10 per control, 50 per U+FFFD."""
-    marks = (
-        F.regexp_count(c, F.lit(f"[{MOJIBAKE_SINGLE}]"))
-        + F.regexp_count(c, F.lit(MOJIBAKE_PAIR))
-        + F.regexp_count(c, F.lit(f"{MOJIBAKE_PAIR}[{MOJIBAKE_TRIPLE_TAILS}]"))
-    )
+    """Decode artifacts in a text: 20 per mark, 10 per control, 50 per U+FFFD.
+
+    Marks may overlap and all count, so marks of one length are one pattern.
+    """
+    marks = F.lit(0)
+    for length in sorted({len(m) for m in DECODE_MARKS}):
+        same = "|".join(re.escape(m) for m in DECODE_MARKS if len(m) == length)
+        marks = marks + F.regexp_count(c, F.lit(same))
     controls = F.regexp_count(c, F.lit(CONTROL_CHARS))
     lost = F.regexp_count(c, F.lit("�"))
     return (marks * 20 + controls * 10 + lost * 50).cast("long")

@@ -23,33 +23,49 @@ def page_counts(pages: DataFrame) -> DataFrame:
 # ---- selection -----------------------------------------------------------
 
 
+def _cap(max_pages: int | None) -> int | None:
+    if max_pages is not None and max_pages < 1:
+        raise ValueError("max_pages must be positive")
+    return max_pages
+
+
 def select_pages(pages: DataFrame, specs: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Pages named by specs(doc_id, spec) in selection order, capped before the range check.
+    """Pages named by specs(doc_id, spec) in selection order, or all of a document without a spec.
 
-    pages(doc_id, page_index, ..) are 0-based; ``position`` is 1-based.
+    pages(doc_id, page_index, ..) are 0-based; ``position`` is 1-based. ``max_pages`` keeps the
+    first pages of the selection; without it nothing is cut.
     """
-    cap = P.DEFAULT_MAX_PAGES if max_pages is None or max_pages < 1 else int(max_pages)
-    parsed = specs.withColumn("_r", P.parse_strict(F.col("spec")))
-    named = parsed.where(F.col("_r.pages").isNotNull()).select(
-        "doc_id", F.posexplode(F.slice("_r.pages", 1, cap)).alias("_p", "_page"))
-    named = named.select("doc_id", (F.col("_page") - 1).alias("page_index"), (F.col("_p") + 1).cast("long").alias("position"))
-    picked = pages.join(broadcast_if_small(named), ["doc_id", "page_index"])
-    every = parsed.where(F.col("_r.pages").isNull() & F.col("_r.error").isNull()).select("doc_id")
-    whole = pages.where(F.col("page_index") < cap).join(broadcast_if_small(every), "doc_id", "left_semi").withColumn(
-        "position", F.col("page_index") + 1)
-    return picked.unionByName(whole.select(*picked.columns))
+    cap = _cap(max_pages)
+    parsed = specs.withColumn("_r", P.parse_ranges(F.col("spec"))).where(F.col("_r.error").isNull()).select(
+        "doc_id", F.col("_r.ranges").alias("_ranges"))
+    page = F.col("page_index") + 1
+    hit = F.get(F.filter("_ranges", lambda r: page.between(r["lo"], r["hi"])), F.lit(0))
+    position = F.when(F.col("_ranges").isNull(), page).otherwise(hit["before"] + page - hit["lo"] + 1).cast("long")
+    picked = pages.join(broadcast_if_small(parsed), "doc_id").withColumn("position", position).drop("_ranges")
+    picked = picked.where(F.col("position").isNotNull())
+    return picked if cap is None else picked.where(F.col("position") <= cap)
 
 
 def selection_errors(pages: DataFrame, specs: DataFrame, max_pages: int | None = None) -> DataFrame:
-    """Documents whose selection is malformed or names no existing page."""
-    cap = P.DEFAULT_MAX_PAGES if max_pages is None or max_pages < 1 else int(max_pages)
+    """Documents whose selection is malformed or names no existing page.
+
+    The message lists the pages asked for, at most ``max_pages``; without it, their ranges.
+    """
+    cap = _cap(max_pages)
     counts = page_counts(pages).select("doc_id", "page_count")
-    df = specs.withColumn("_r", P.parse_strict(F.col("spec"))).join(counts, "doc_id", "left")
-    asked = F.transform(F.slice("_r.pages", 1, cap), lambda p: p - 1)
-    n = F.coalesce("page_count", F.lit(0))
-    outside = F.col("_r.pages").isNotNull() & ~F.exists(asked, lambda p: p < n)
+    df = specs.withColumn("_r", P.parse_ranges(F.col("spec"))).join(counts, "doc_id", "left")
+    ranges, n = F.col("_r.ranges"), F.coalesce("page_count", F.lit(0))
+    if cap is None:
+        shown = F.transform(ranges, lambda r: F.when(r["lo"] == r["hi"], (r["lo"] - 1).cast("string")).otherwise(
+            F.concat(r["lo"] - 1, F.lit("-"), r["hi"] - 1)))
+        asked = ranges
+    else:
+        first = F.transform(F.filter(ranges, lambda r: r["before"] < cap), lambda r: F.struct(
+            r["lo"].alias("lo"), F.least(r["hi"], r["lo"] + cap - r["before"] - 1).alias("hi")))
+        shown, asked = F.transform(P.unrolled(first), lambda p: p - 1), first
+    outside = ranges.isNotNull() & ~F.exists(asked, lambda r: r["lo"] <= n)
     message = F.concat(
-        F.lit("PAGE_RANGE: Requested pages ["), F.array_join(asked, ", "), F.lit("] are outside the document ("), n,
+        F.lit("PAGE_RANGE: Requested pages ["), F.array_join(shown, ", "), F.lit("] are outside the document ("), n,
         F.when(n == 1, F.lit(" page)")).otherwise(F.lit(" pages)")), F.lit(". Page numbers are 0-indexed."))
     df = df.withColumn("error", F.coalesce(F.col("_r.error"), F.when(outside, message)))
     return df.where(F.col("error").isNotNull()).select("doc_id", "spec", "error")
@@ -65,7 +81,7 @@ def select_pages_skipping(pages: DataFrame, specs: DataFrame) -> DataFrame:
 
 def contiguous_ranges(pages: DataFrame) -> DataFrame:
     """Runs of neighbouring pages as (doc_id, first, last, n_pages, name), 1-based."""
-    numbered = number_within(pages.select("doc_id", "page_index"), ["doc_id"], ["page_index"], "page_index", "_n")
+    numbered = number_within(pages.select("doc_id", "page_index"), ["doc_id"], ["page_index"], "_n")
     runs = numbered.groupBy("doc_id", (F.col("page_index") - F.col("_n")).alias("_run")).agg(
         (F.min("page_index") + 1).alias("first"), (F.max("page_index") + 1).alias("last"))
     return runs.select(

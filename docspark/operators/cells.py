@@ -771,15 +771,15 @@ def workbook_report(
 # ---- plain tables and paragraphs -----------------------------------------
 
 
-def table_previews(table_cells: DataFrame) -> DataFrame:
-    """Per (doc_id, table_no) sizes and the first five rows, by 0-based row and col.
+def table_previews(table_cells: DataFrame, rows: int | None = None) -> DataFrame:
+    """Per (doc_id, table_no) sizes and the rows, or the first ``rows``, by 0-based row and col.
 
     One row per previewed table row; the cells of that row are joined in order.
     """
     sizes = table_cells.groupBy("doc_id", "table_no").agg(
         (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols"))
     first = (
-        table_cells.where(F.col("row") < 5)
+        (table_cells if rows is None else table_cells.where(F.col("row") < rows))
         .groupBy("doc_id", "table_no", "row")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), " | ").alias("preview"))
     )

@@ -68,8 +68,8 @@ def match_occurrences(assets: DataFrame, occurrences: DataFrame) -> DataFrame:
     """
     from ..ordering import number_within
 
-    a = number_within(assets, ["doc_id", "sha"], ["idx"], "idx", "rn")
-    o = number_within(occurrences.where(F.col("sha").isNotNull()), ["doc_id", "sha"], ["idx"], "idx", "rn")
+    a = number_within(assets, ["doc_id", "sha"], ["idx"], "rn")
+    o = number_within(occurrences.where(F.col("sha").isNotNull()), ["doc_id", "sha"], ["idx"], "rn")
     by_hash = a.join(o.select("doc_id", "sha", "rn", F.col("idx").alias("_o")), ["doc_id", "sha", "rn"], "left").select(
         "doc_id", "idx", "_o")
     used = by_hash.where(F.col("_o").isNotNull()).select("doc_id", F.col("_o").alias("idx"))
@@ -84,154 +84,48 @@ def match_occurrences(assets: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 # ---- ranked retrieval ----------------------------------------------------
 
-#: Patterns up to this number are tested directly in the row of each text.
-DIRECT_PATTERNS = 512
+#: Tier of images that need no credit.
+NO_ATTRIBUTION = "no-attribution"
 
 
-def _grams(text: Column) -> Column:
-    """Distinct runs of one to three characters."""
-
-    def runs(chars, n):
-        last = F.size(chars) - n
-        idx = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(idx, lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
-
-    chars = F.split(text, "")
-    return F.array_distinct(F.concat(*[runs(chars, n) for n in (1, 2, 3)]))
-
-
-def substring_hits(texts: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
-    """(key, pattern) for every patterns(pattern) contained in a text.
-
-    Equality join on the leading characters of the pattern, then the exact
-    test; no text meets a pattern it shares no characters with.
-    """
-    head = patterns.select("pattern", F.substring("pattern", 1, 3).alias("_g"))
-    grams = texts.select(key, text, F.explode(_grams(F.col(text))).alias("_g"))
-    return grams.join(broadcast_if_small(head), "_g").where(F.contains(F.col(text), F.col("pattern"))).select(
-        key, "pattern").distinct()
-
-
-def contained_patterns(texts: DataFrame, key: str, text: str, patterns: DataFrame, out: str) -> DataFrame:
-    """Adds the array of patterns(pattern) each text contains."""
-    few = [r.pattern for r in patterns.select("pattern").distinct().limit(DIRECT_PATTERNS + 1).collect()]
-    if len(few) <= DIRECT_PATTERNS:
-        listed = F.array(*[F.lit(p) for p in sorted(few)]).cast("array<string>")
-        return texts.withColumn(out, F.filter(listed, lambda p: F.contains(F.col(text), p)))
-    hits = substring_hits(texts, key, text, patterns.select("pattern").distinct())
-    found = hits.groupBy(key).agg(F.collect_set("pattern").alias(out))
-    return texts.join(found, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
-
-
-def _signatures(requests: DataFrame) -> DataFrame:
-    """Requests reduced to what a score depends on; equal ones share ``sig``,
-    those that differ in preferred shape and size only share ``topic``.
-    """
-    from ..functions import queries as Q
-
-    parts = requests.select(
-        "req_id",
-        F.array_sort(Q.query_tokens(F.col("query"))).alias("tokens"),
-        Q.mentions_transit(F.lower("query")).alias("asks_transit"),
-        F.coalesce("orientation", F.lit("")).alias("wanted"),
-        F.coalesce("min_width", F.lit(0)).alias("min_width"),
-        F.coalesce("min_height", F.lit(0)).alias("min_height"),
-        F.coalesce("required", F.array().cast("array<string>")).alias("required"),
-    )
-    return parts.withColumns({
-        "topic": F.md5(F.to_json(F.struct("tokens", "asks_transit", "required"))),
-        "sig": F.md5(F.to_json(F.struct(*[c for c in parts.columns if c != "req_id"])))})
-
-
-def _bucket(sigs: DataFrame, column: str, value: Column) -> Column:
-    """How many of the limits asked for a value reaches; the value itself when they are many."""
-    limits = [r[0] for r in sigs.select(column).distinct().limit(DIRECT_PATTERNS + 1).collect()]
-    if len(limits) > DIRECT_PATTERNS:
-        return value.cast("long")
-    return F.size(F.filter(F.array(*[F.lit(v) for v in sorted(limits)]), lambda m: value >= m)).cast("long")
-
-
-def rank_candidates(requests: DataFrame, candidates: DataFrame, n: int = 4) -> DataFrame:
+def rank_candidates(
+    requests: DataFrame, candidates: DataFrame, n: int = 4, strict_no_attribution: bool = False,
+) -> DataFrame:
     """Best ``n`` candidates per request: (req_id, rank, cand_id, score).
 
-    Requests are scored once per signature. A candidate meets a signature only
-    over a shared key: a query token it contains, or an alternative of the
-    first required group. Candidates of one kind are cut to their first ``n``
-    beforehand, and each task keeps its own best ``n`` before the shuffle.
+    requests(req_id, query, orientation, min_width, min_height, required);
+    candidates(req_id, cand_id, provider, title, author, url, license_name, license_url,
+    width, height) belong to the request that fetched them. One join by request brings
+    both together; a task keeps the first ``n`` of a request before the shuffle, so a
+    request with very many candidates stays spread. ``strict_no_attribution`` keeps only
+    candidates that need no credit. Equal scores (to six places) go by ``cand_id``.
     """
     from ..functions import licensing as L
     from ..functions import queries as Q
 
-    asked = _signatures(requests)
-    sigs = asked.select("sig", "topic", "wanted", "min_width", "min_height").dropDuplicates(["sig"])
-    topics = asked.select("topic", "tokens", "asks_transit", "required").dropDuplicates(["topic"])
-    topics = topics.withColumn("alts", Q.alternatives(F.col("required")))
-    topics = topics.withColumn("_need", F.get(F.filter("alts", lambda g: F.size(g) > 0), F.lit(0)))
-    everyone = F.array(F.lit(""))
-    keys = (
-        F.when(F.col("_need").isNotNull(), F.transform("_need", lambda a: F.concat(F.lit("r:"), a)))
-        .when((F.size("required") > 0) | (F.size("tokens") == 0), everyone)
-        .otherwise(F.transform(F.array_distinct("tokens"), lambda t: F.concat(F.lit("t:"), t)))
-    )
-    topics = topics.withColumn("keys", keys).drop("_need")
-
-    text = Q.candidate_text(F.col("title"), F.col("author"), F.col("url"))
+    asked = requests.select(
+        "req_id", Q.query_tokens(F.col("query")).alias("_tokens"), Q.mentions_transit(F.lower("query")).alias("_transit"),
+        F.coalesce("orientation", F.lit("")).alias("_wanted"), F.coalesce("min_width", F.lit(0)).alias("_wide"),
+        F.coalesce("min_height", F.lit(0)).alias("_high"), F.coalesce("required", F.array().cast("array<string>")).alias("_required"),
+    ).withColumn("_alts", Q.alternatives(F.col("_required")))
     pool = candidates.select(
-        "cand_id", Q.compact(F.coalesce("title", F.lit(""))).alias("title_body"), "width", "height", text.alias("text"),
-        L.license_tier(F.col("license_name"), F.col("license_url"), F.col("provider")).alias("tier"),
-    ).where(F.col("tier").isNotNull())
-    pool = pool.withColumns({
-        "body": Q.compact(F.col("text")), "transit": Q.mentions_transit(F.col("text")), "no_text": F.col("text") == ""})
-    tokens = topics.select(F.explode("tokens").alias("pattern"))
-    needs = topics.select(F.explode(F.flatten("alts")).alias("pattern"))
-    pool = contained_patterns(pool, "cand_id", "text", tokens, "_tokens")
-    pool = contained_patterns(pool, "cand_id", "body", needs, "_needs")
-    pool = contained_patterns(pool, "cand_id", "title_body", needs, "_titled")
-    pool = pool.select(
-        "cand_id", "width", "height", "tier", "transit", "no_text",
-        F.array_sort("_tokens").alias("_tokens"), F.array_sort("_needs").alias("_needs"), F.array_sort("_titled").alias("_titled"),
-        Q.orientation(F.col("width"), F.col("height")).alias("_shape"),
-        _bucket(sigs, "min_width", F.col("width")).alias("_wide"), _bucket(sigs, "min_height", F.col("height")).alias("_high"),
+        "req_id", "cand_id", "width", "height", Q.candidate_text(F.col("title"), F.col("author"), F.col("url")).alias("_text"),
+        Q.compact(F.coalesce("title", F.lit(""))).alias("_title"),
+        L.license_tier(F.col("license_name"), F.col("license_url"), F.col("provider")).alias("_tier"),
+    ).where(F.col("_tier") == NO_ATTRIBUTION if strict_no_attribution else F.col("_tier").isNotNull())
+    pool = pool.withColumn("_body", Q.compact(F.col("_text")))
+    both = pool.join(broadcast_if_small(asked), "req_id")
+    both = both.withColumn("_rel", Q.relevance(F.col("_tokens"), F.col("_text"))).where(
+        Q.gate_passes(F.col("_alts"), F.col("_body")) & ((F.col("_rel") > 0) | (F.size("_required") > 0)))
+    score = Q.rank_score(
+        F.col("_rel"), Q.title_hits(F.col("_alts"), F.col("_title")), ~F.col("_transit") & Q.mentions_transit(F.col("_text")),
+        F.col("width"), F.col("height"), F.col("_wanted"), F.col("_wide"), F.col("_high"), F.col("_tier"))
+    w = Window.partitionBy("req_id").orderBy(F.col("score").desc(), "cand_id")
+    return (
+        both.select("req_id", "cand_id", F.round(score, 6).alias("score"))
+        .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+        .select("req_id", F.col("rank").cast("long").alias("rank"), "cand_id", "score")
     )
-    # Candidates alike in everything but their pixels rank alike for every
-    # request, so only the first n of each kind can ever be among the best n.
-    kind = ["_tokens", "_needs", "_titled", "tier", "transit", "no_text", "_shape", "_wide", "_high"]
-    alike = Window.partitionBy(*kind).orderBy(Q.pixel_score(F.col("width"), F.col("height")).desc(), "cand_id")
-    pool = pool.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= n).drop("_r")
-    pool = pool.withColumn("held", F.concat(
-        everyone, F.transform("_tokens", lambda t: F.concat(F.lit("t:"), t)),
-        F.transform("_needs", lambda t: F.concat(F.lit("r:"), t))))
-
-    left = pool.withColumn("_key", F.explode("held"))
-    right = topics.withColumn("_key", F.explode("keys"))
-    pairs = left.join(broadcast_if_small(right), "_key")
-    # a pair sharing several keys is kept once, at its first shared key
-    shared = F.get(F.filter("keys", lambda k: F.array_contains(F.col("held"), k)), F.lit(0))
-    pairs = pairs.where((F.size("keys") == 1) | (F.col("_key") == shared))
-
-    def met(group, held):
-        return F.exists(group, lambda a: F.array_contains(F.col(held), a))
-
-    gate = (F.size("required") == 0) | F.forall("alts", lambda g: (F.size(g) == 0) | met(g, "_needs"))
-    n_tokens = F.size("tokens")
-    rel = F.when(n_tokens == 0, F.lit(1.0)).when(F.col("no_text"), F.lit(0.0)).otherwise(
-        F.size(F.filter("tokens", lambda t: F.array_contains(F.col("_tokens"), t))) / n_tokens)
-    in_title = F.when(F.size("required") == 0, F.lit(0)).otherwise(
-        F.size(F.filter("alts", lambda g: met(g, "_titled"))))
-    subject = Q.subject_score(
-        F.col("_rel"), in_title, ~F.col("asks_transit") & F.col("transit"), F.col("width"), F.col("height"), F.col("tier"))
-    scored = pairs.where(gate).withColumn("_rel", rel).where((F.col("_rel") > 0) | (F.size("required") > 0)).select(
-        "topic", "cand_id", "width", "height", "_shape", "_wide", "_high", F.round(subject, 6).alias("_subject"))
-    # equal shape and size gain the same from every preference of a topic
-    alike = Window.partitionBy("topic", "_shape", "_wide", "_high").orderBy(F.col("_subject").desc(), "cand_id")
-    scored = scored.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= n)
-    preference = Q.preference_score(F.col("width"), F.col("height"), F.col("wanted"), F.col("min_width"), F.col("min_height"))
-    scored = scored.join(sigs, "topic").select(
-        "sig", "cand_id", F.round(F.col("_subject") + preference, 6).alias("score"))
-    w = Window.partitionBy("sig").orderBy(F.col("score").desc(), "cand_id")
-    best = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return asked.select("req_id", "sig").join(best, "sig").select(
-        "req_id", F.col("rank").cast("long").alias("rank"), "cand_id", "score")
 
 
 # ---- layout choice -------------------------------------------------------

@@ -270,22 +270,23 @@ def url_usage(occurrences: DataFrame, url: str) -> DataFrame:
 # ---- names and leftover markup -------------------------------------------
 
 
-def safe_name(c: Column) -> Column:
-    """Blanks to underscores, CJK, letters, digits and underscores only, 80 characters."""
+def safe_name(c: Column, length: int | None = None) -> Column:
+    """Blanks to underscores, CJK, letters, digits and underscores only; cut where ``length`` is given."""
     flat = F.regexp_replace(F.regexp_replace(c, r"\s+", "_"), r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9_]", "")
-    return F.substring(F.regexp_replace(flat, r"_+", "_"), 1, 80)
+    name = F.regexp_replace(flat, r"_+", "_")
+    return name if length is None else F.substring(name, 1, length)
 
 
-def base_name(title: Column, url: Column) -> Column:
+def base_name(title: Column, url: Column, length: int | None = None) -> Column:
     host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"^/+|/+$", "")
     from_url = F.when(path != "", F.concat(host, F.lit("_"), path)).otherwise(F.coalesce(X.empty_to_null(host), F.lit("untitled")))
-    return F.coalesce(X.empty_to_null(safe_name(F.coalesce(title, F.lit("")))), X.empty_to_null(safe_name(from_url)), F.lit("untitled"))
+    return F.coalesce(X.empty_to_null(safe_name(F.coalesce(title, F.lit("")), length)), X.empty_to_null(safe_name(from_url, length)), F.lit("untitled"))
 
 
 def unique_names(df: DataFrame, base: str, order: str, out: str = "name") -> DataFrame:
     """Collisions get ``_2``, ``_3``, .. in order; a name shared by very many rows stays spread."""
-    numbered = number_within(df, [base], [order], order, "_n")
+    numbered = number_within(df, [base], [order], "_n")
     return numbered.withColumn(out, F.when(F.col("_n") == 1, F.col(base)).otherwise(
         F.concat(F.col(base), F.lit("_"), F.col("_n")))).drop("_n")
 
@@ -316,21 +317,22 @@ def images_to_markdown(md: Column) -> Column:
 # ---- annotations ---------------------------------------------------------
 
 
-def _preview(n: Column) -> Column:
+def _preview(n: Column, length: int | None) -> Column:
     """Leading text of a text element; a node's place in the array is its number."""
     inner = F.get(F.col("nodes"), n["node_id"] + 1)
     leading = F.when((inner["tag"] == "#text") & (inner["parent_id"] == n["node_id"]), inner["text"])
-    return F.when(n["tag"] == "text", F.substring(X.strip_blank(F.coalesce(leading, F.lit(""))), 1, 50)).otherwise(F.lit(""))
+    text = X.strip_blank(F.coalesce(leading, F.lit("")))
+    return F.when(n["tag"] == "text", text if length is None else F.substring(text, 1, length)).otherwise(F.lit(""))
 
 
-def annotations(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """Elements flagged for edit, with note and a 50-character preview of text elements."""
+def annotations(pages: DataFrame, key: str = "page_id", preview: int | None = None) -> DataFrame:
+    """Elements flagged for edit, with note and the text of text elements, or its first ``preview`` characters."""
     hits = F.filter("nodes", lambda n: attr(n, "data-edit-target") == "true")
     rows = pages.select(key, F.inline(F.transform(hits, lambda n: F.struct(
         F.coalesce(attr(n, "id"), F.lit("(no id)")).alias("element_id"),
         F.regexp_extract(n["tag"], r"([^:}]*)$", 1).alias("tag"),
         F.coalesce(attr(n, "data-edit-annotation"), F.lit("")).alias("annotation"),
-        _preview(n).alias("content_preview")))))
+        _preview(n, preview).alias("content_preview")))))
     return rows
 
 

@@ -300,11 +300,13 @@ def drift_summary(drift: DataFrame, file: str) -> DataFrame:
     return drift.groupBy("category", "value").agg(F.count(file).alias("files")).orderBy("category", F.col("files").desc(), "value")
 
 
-def small_size_drift(used: DataFrame, file: str, size: str, allowed: list[str], body: float) -> DataFrame:
+def small_size_drift(
+    used: DataFrame, file: str, size: str, allowed: list[str], body: float, shown: int | None = None,
+) -> DataFrame:
     """(file, message): undeclared sizes that read as left over from a template.
 
-    Two counting steps keep a file with very many uses spread; only the five
-    smallest sizes of a file are brought together for its message.
+    Two counting steps keep a file with very many uses spread; only the distinct
+    sizes of a file, or the ``shown`` smallest, are brought together for its message.
     """
     if not allowed or not body or body <= 0:
         raise ValueError("allowed sizes and a positive body size are needed")
@@ -320,11 +322,14 @@ def small_size_drift(used: DataFrame, file: str, size: str, allowed: list[str],
     per_file = counted.groupBy(file).agg(F.count(F.lit(1)).alias("distinct"), F.sum("n").alias("total"), under.alias("under"))
     flagged = per_file.where((F.col("distinct") >= 2) | (F.col("total") >= 4) | (F.col("under") == 1))
     w = Window.partitionBy(file).orderBy("_v", size)
-    top = counted.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 5)
+    top = counted.withColumn("_r", F.row_number().over(w))
+    if shown is not None:
+        top = top.where(F.col("_r") <= shown)
     text = F.concat(F.col(size), F.when(F.col("n") > 1, F.concat(F.lit("x"), "n")).otherwise(F.lit("")))
     samples = top.groupBy(file).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", text.alias("t")))), lambda s: s["t"]), ", ").alias("_sample"))
-    more = F.when(F.col("distinct") > 5, F.concat(F.lit(" (+"), F.col("distinct") - 5, F.lit(" more)"))).otherwise(F.lit(""))
+    more = F.lit("") if shown is None else F.when(
+        F.col("distinct") > shown, F.concat(F.lit(" (+"), F.col("distinct") - shown, F.lit(" more)"))).otherwise(F.lit(""))
     return flagged.join(samples, file).select(file, F.concat(
         F.lit("possible template font-size drift: undeclared sub-body size(s) "), "_sample", more,
         F.lit(". Map each text item to a spec_lock typography role first, then reflow card height / y / dy / line-height "

@@ -24,15 +24,16 @@ def split_lines(docs: DataFrame, text: str = "text", keep: tuple = ("doc_id",))
 
 # ---- repeated headers and footers ----------------------------------------
 
-# Sampling and bands of the repeated-text rule.
-SAMPLE_LIMIT, SAMPLE_EDGE, BAND, MIN_PAGES = 40, 20, 0.15, 3
+# Bands and fewest pages of the repeated-text rule.
+BAND, MIN_PAGES = 0.15, 3
 
 
-def repeated_edge_text(blocks: DataFrame, pages: DataFrame, threshold: float = 0.6) -> DataFrame:
+def repeated_edge_text(blocks: DataFrame, pages: DataFrame, threshold: float = 0.6, sample: int | None = None) -> DataFrame:
     """Noise texts (doc_id, band, text) of blocks(doc_id, page_no, y0, y1, page_h, text).
 
     pages(doc_id, page_no) lists every page, 0-based. Counts are occurrences
-    over the scanned pages; a block touching the top band counts as header only.
+    over all pages, or over the first and last ``sample / 2`` of a longer document
+    if ``sample`` is given; a block touching the top band counts as header only.
     """
     n_pages = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
     text = X.strip_blank(F.col("text"))
@@ -46,9 +47,9 @@ def repeated_edge_text(blocks: DataFrame, pages: DataFrame, threshold: float = 0
     counted = edge.groupBy("doc_id", "page_no", "band", "text").agg(F.count(F.lit(1)).alias("n"))
     joined = counted.join(broadcast_if_small(n_pages), "doc_id").where(F.col("n_pages") >= MIN_PAGES)
     n, p = F.col("n_pages"), F.col("page_no")
-    scanned = joined.where((n <= SAMPLE_LIMIT) | (p < SAMPLE_EDGE) | (p >= n - SAMPLE_EDGE))
+    scanned = joined if sample is None else joined.where((n <= sample) | (p < sample // 2) | (p >= n - sample // 2))
     hits = scanned.groupBy("doc_id", "band", "text").agg(F.sum("n").alias("hits"), F.first("n_pages").alias("n_pages"))
-    total = F.least(F.col("n_pages"), F.lit(SAMPLE_LIMIT))
+    total = F.col("n_pages") if sample is None else F.least(F.col("n_pages"), F.lit(sample))
     return hits.where(F.col("hits") / total > threshold).select(
         "doc_id", "band", "text", "hits", total.alias("scanned_pages"))
 

@@ -2,80 +2,84 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import shared_dir
+
 #: Upper bound in bytes under which a side may be broadcast on purpose.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+#: Plan nodes after which the optimizer's size estimate says nothing: they can make many rows of one.
+UNSOUND = re.compile(r"Generate|Expand|Join (?!Left(Semi|Anti))|MapIn|MapPartitions|FlatMap|Python|Arrow|ExternalRDD|LogicalRDD")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the optimizer's size estimate proves it small.
+    """Hint a broadcast only where the size of the files behind ``df`` proves it small.
+
+    Where the plan makes rows (explode, joins, Python) or stands on no files, there is no
+    hint: Spark shuffles both sides, and AQE decides by the sizes it then sees.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if UNSOUND.search(plan.toString()):
+        return df
+    return F.broadcast(df) if int(str(plan.stats().sizeInBytes())) <= limit else df
 
-    Beyond the limit the frame is returned without a hint, so Spark shuffles
-    both sides and AQE may split skewed partitions.
+
+def _ranged(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` dealt into sampled ranges of ``columns`` and written below the shared folder, ``_part`` ascending with them.
+
+    Ranges are cut by rows, not by values: they follow any ordering column, and the rows of
+    a hot key are spread over as many ranges as they fill. The input is computed once.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= limit else df
-
-
-def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    range_col: str,
-    out: str,
-    width: int = 1_000_000,
-) -> DataFrame:
-    """1-based row number per key without sending a whole key to one task.
-
-    ``range_col`` is the leading, non-negative integer order column. Rows are
-    cut into ranges of ``width`` along it; each (key, range) is numbered on its
-    own and shifted by the number of rows in the earlier ranges of the key.
+    path = f"{shared_dir(df.sparkSession)}/ranged"
+    dealt = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
+    dealt.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """1-based row number per key in ``order`` without sending a whole key to one task.
+
+    Each (range, key) is numbered on its own and shifted by the rows that the key has in
+    the ranges before; a range holds a key once, so that list is as short as the key's ranges.
     """
-    cut = df.withColumn("_range", F.floor(F.col(range_col) / F.lit(width)).cast("long"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _ranged(df, [*keys, *order])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shift = (
-        cut.groupBy(*keys, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
+        cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    shift = shift.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_range").alias("_r"),
-        "_shift",
+        .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_shift")
     )
-    within = Window.partitionBy(*keys, "_range").orderBy(*order)
-    same = F.col("_range") == F.col("_r")
+    same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (
-        cut.withColumn("_rn", F.row_number().over(within).cast("long"))
-        .join(shift, same)
+        cut.withColumn("_rn", F.row_number().over(within).cast("long")).join(shift, same)
         .withColumn(out, F.col("_rn") + F.col("_shift"))
-        .drop("_rn", "_range", "_r", "_shift", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_rn", "_part", "_p", "_shift", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
-def running_offsets(
-    counts: DataFrame, key: str, count_col: str, out: str, width: int = 1_000_000
-) -> DataFrame:
-    """Exclusive running sum of ``count_col`` in order of the integer ``key``.
+def running_offsets(counts: DataFrame, key: str, count_col: str, out: str) -> DataFrame:
+    """Exclusive running sum of ``count_col`` in order of ``key``, which may be of any ordered type.
 
-    Two levels: ranges of ``width`` keys are summed first, the short list of
-    range totals is accumulated, then each range accumulates on its own.
+    Sampled ranges are summed first, the list of their totals (one row a partition) is
+    accumulated, then each range accumulates on its own.
     """
-    cut = counts.withColumn("_range", F.floor(F.col(key) / F.lit(width)).cast("long"))
-    totals = cut.groupBy("_range").agg(F.sum(count_col).alias("_t"))
-    # one row per range of `width` keys: short even for billions of keys
-    acc = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("_range", F.coalesce(F.sum("_t").over(acc), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    cut = _ranged(counts, [key])
+    acc = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = cut.groupBy("_part").agg(F.sum(count_col).alias("_t")).select(
+        "_part", F.coalesce(F.sum("_t").over(acc), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.join(broadcast_if_small(base), "_range")
+        cut.join(base, "_part")
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(count_col).over(inner), F.lit(0)))
-        .drop("_range", "_base")
+        .drop("_part", "_base")
     )
 
 

@@ -43,8 +43,7 @@ _SP = f"""sp AS (SELECT DISTINCT conv_id AS doc_id, {_pick_sql(_SPECS, 'conv_id'
   en AS (SELECT *, CASE WHEN regexp_full_match(p, '\\d+') THEN p::BIGINT WHEN regexp_full_match(p, '\\d+\\s*-\\s*\\d+') THEN regexp_extract(p, '^(\\d+)', 1)::BIGINT END AS lo,
      CASE WHEN regexp_full_match(p, '\\d+') THEN p::BIGINT WHEN regexp_full_match(p, '\\d+\\s*-\\s*\\d+') THEN regexp_extract(p, '(\\d+)$', 1)::BIGINT END AS hi FROM pt),
   er AS (SELECT doc_id, spec, min_by(e, i) AS error FROM (SELECT *, CASE WHEN lo IS NULL OR lo < 1 OR hi < 1 THEN 'Invalid page range: "' || spec || '"'
-     WHEN lo > hi THEN 'Invalid page range (start > end): "' || spec || '"'
-     WHEN hi - lo + 1 > 100000 THEN 'Invalid page range: "' || spec || '" selects more than 100000 pages' END AS e FROM en) WHERE e IS NOT NULL GROUP BY ALL),
+     WHEN lo > hi THEN 'Invalid page range (start > end): "' || spec || '"' END AS e FROM en) WHERE e IS NOT NULL GROUP BY ALL),
   ex AS (SELECT doc_id, page, min(i) AS i FROM (SELECT e.doc_id, i, unnest(range(lo, hi + 1)) AS page FROM en e WHERE NOT EXISTS
      (SELECT 1 FROM er WHERE er.doc_id = e.doc_id)) GROUP BY ALL),
   po AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY i, page) AS position FROM ex)"""

@@ -81,7 +81,7 @@ def _(spark, d):
 def _(spark, d):
     docs = table(spark, d, "documents").select(
         "source", "doc_id", F.md5(F.concat(F.substring("lang", 1, 1), F.col("n_chars") % 40)).alias("sha"))
-    n = number_within(docs, ["source"], ["doc_id"], "doc_id", "n")
+    n = number_within(docs, ["source"], ["doc_id"], "n")
     assets = n.select(F.col("source").alias("doc_id"), (F.col("n") - 1).alias("idx"), "sha", F.col("doc_id").alias("d"))
     size = assets.groupBy("doc_id").agg(F.max("idx").alias("_m"))
     k = F.col("d")
@@ -207,10 +207,15 @@ def _(spark, d):
         "req_id", F.col("step").cast("long").alias("step"), F.col("q").alias("query"))
 
 
+def fetched(spark, d):
+    """Candidates with the request that fetched them: the one of their number, wrapping round the parts."""
+    n = table(spark, d, "part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row, known as such by its aggregate
+    return candidates(spark, d).crossJoin(F.broadcast(n)).withColumn("req_id", F.col("cand_id") % F.col("_n")).drop("_n")
+
+
 def scored_pairs(spark, d):
-    """Each candidate beside the request of the same number, wrapping round the parts."""
-    n = table(spark, d, "part").count()
-    return candidates(spark, d).withColumn("req_id", F.col("cand_id") % n).join(request_queries(spark, d), "req_id")
+    return fetched(spark, d).join(request_queries(spark, d), "req_id")
 
 
 _PAIRS = "pr AS (SELECT c.*, q.req_id, q.p_size, q.query, q.tokens FROM tier c JOIN kp q ON q.req_id = c.cand_id % (SELECT count(*) FROM part))"
@@ -303,29 +308,30 @@ def requests(spark, d):
         (size % 2 * 300).alias("min_height"), _terms(size).alias("required"))
 
 
-_RANKED = f"""rs AS (SELECT req_id, query, tokens, lower(trim({_pick_sql(_WANTED, 'p_size')})) AS wanted, (p_size % 3) * 400 AS min_width,
-     (p_size % 2) * 300 AS min_height, {_TERMS_SQL.format(k='p_size')} AS terms FROM kp),
-  sg AS (SELECT min(req_id) AS sid, query, tokens, wanted, min_width, min_height, terms FROM rs GROUP BY ALL),
-  cx AS (SELECT cand_id, width, height, tier, {_TEXT_SQL} AS txt, {_COMPACT.format(c=_TEXT_SQL)} AS body, {_COMPACT.format(c='title')} AS tbody FROM tier WHERE tier IS NOT NULL),
-  tk AS (SELECT DISTINCT unnest(tokens) AS t FROM sg), hit AS (SELECT cand_id, list(t) AS hits FROM cx JOIN tk ON contains(txt, t) GROUP BY 1),
-  gr AS (SELECT DISTINCT unnest(terms) AS g FROM sg),
-  al AS (SELECT g, list_filter(list_transform(string_split(g, '|'), lambda a: {_COMPACT.format(c='a')}), lambda a: a <> '') AS a FROM gr),
-  gh AS (SELECT cand_id, list(g) FILTER (len(a) = 0 OR len(list_filter(a, lambda y: contains(body, y))) > 0) AS okg,
-           list(g) FILTER (len(list_filter(a, lambda y: contains(tbody, y))) > 0) AS tig FROM cx, al GROUP BY cand_id),
-  c2 AS (SELECT cx.*, coalesce(hits, []) AS hits, coalesce(okg, []) AS okg, coalesce(tig, []) AS tig FROM cx LEFT JOIN hit USING (cand_id) LEFT JOIN gh USING (cand_id)),
-  pp AS (SELECT sid, cand_id, query, tokens, wanted, min_width, min_height, terms, width, height, tier, txt, okg, tig,
-           CASE WHEN len(tokens) = 0 THEN 1.0 ELSE len(list_filter(tokens, lambda t: list_contains(hits, t))) / len(tokens) END AS rel FROM sg, c2),
-  sc AS (SELECT sid, cand_id, ({_SCORE_SQL.format(rel='rel', title='len(list_filter(terms, lambda g: list_contains(tig, g)))')})::DOUBLE AS score FROM pp
-         WHERE (rel > 0 OR len(terms) > 0) AND list_has_all(okg, terms)),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, cand_id) AS rank FROM sc),
-  ranked AS (SELECT rs.req_id, rk.rank, rk.cand_id, round(score, 4) AS score FROM rs JOIN sg ON sg.query = rs.query AND sg.wanted = rs.wanted AND sg.min_width = rs.min_width
-         AND sg.min_height = rs.min_height AND sg.terms = rs.terms JOIN rk ON rk.sid = sg.sid WHERE rank <= 4)"""
-_RANK_WITH = f"WITH {_CAND}, {_TIERED}, {_REQ}, {_KEPT}, {_RANKED}"
+_RANKED = f"""r1 AS (SELECT *, {_TEXT_SQL} AS txt, lower(trim({_pick_sql(_WANTED, 'p_size')})) AS wanted, (p_size % 3) * 400 AS min_width,
+     (p_size % 2) * 300 AS min_height, {_TERMS_SQL.format(k='p_size')} AS terms FROM pr WHERE tier IS NOT NULL),
+  r2 AS (SELECT *, {_COMPACT.format(c='txt')} AS body, {_COMPACT.format(c='title')} AS tbody, {_REL_SQL} AS rel FROM r1),
+  r3 AS (SELECT *, len(list_filter(terms, lambda g: len(list_filter(string_split(g, '|'), lambda a: {_COMPACT.format(c='a')} <> ''
+           AND contains(tbody, {_COMPACT.format(c='a')}))) > 0)) AS th FROM r2
+         WHERE len({_miss('terms', 'body')}) = 0 AND (rel > 0 OR len(terms) > 0)),
+  r4 AS (SELECT req_id, cand_id, tier, round(({_SCORE_SQL.format(rel='rel', title='th')})::DOUBLE, 6) AS score FROM r3),
+  ranked AS (SELECT req_id, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, cand_id) AS rank, cand_id, round(score, 4) AS score
+         FROM r4 QUALIFY rank <= 4)"""
+_RANK_WITH = f"WITH {_CAND}, {_TIERED}, {_REQ}, {_KEPT}, {_PAIRS}, {_RANKED}"
 
 
 @query("g11_ranked_top_n", f"{_RANK_WITH} SELECT * FROM ranked")
 def _(spark, d):
-    return M.rank_candidates(requests(spark, d), candidates(spark, d), 4).withColumn("score", F.round("score", 4))
+    return M.rank_candidates(requests(spark, d), fetched(spark, d), 4).withColumn("score", F.round("score", 4))
+
+
+@query(
+    "g11_ranked_no_attribution",
+    f"""{_RANK_WITH} SELECT req_id, row_number() OVER (PARTITION BY req_id ORDER BY score DESC, cand_id) AS rank, cand_id, round(score, 4) AS score
+        FROM r4 WHERE tier = 'no-attribution' QUALIFY rank <= 2""",
+)
+def _(spark, d):
+    return M.rank_candidates(requests(spark, d), fetched(spark, d), 2, strict_no_attribution=True).withColumn("score", F.round("score", 4))
 
 
 @query(
@@ -406,7 +412,7 @@ def _(spark, d):
 def _done(spark, d):
     items = queue_items(spark, d)
     work = items.where(F.col("status").isin(M.PENDING, M.FAILED))
-    best = M.rank_candidates(work, candidates(spark, d), 1)
+    best = M.rank_candidates(work, fetched(spark, d), 1)
     return M.run_queue(items, best)
 
 

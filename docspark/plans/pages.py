@@ -190,9 +190,9 @@ def _(spark, d):
 @query(
     "d10_safe_names",
     """WITH t AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Same  title!' ELSE regexp_extract(html, '(?s)<title>(.*?)</title>', 1) END AS title FROM pages),
-       s AS (SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(title, '\\s+', '_', 'g'), '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'), 80) AS a,
-         left(regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1) || coalesce('_' || nullif(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), ''), ''),
-           '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g'), 80) AS b FROM t),
+       s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(title, '\\s+', '_', 'g'), '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g') AS a,
+         regexp_replace(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1) || coalesce('_' || nullif(trim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), ''), ''),
+           '[^\\x{4e00}-\\x{9fa5}a-zA-Z0-9_]', '', 'g'), '_+', '_', 'g') AS b FROM t),
        n AS (SELECT page_id, coalesce(nullif(a, ''), b) AS base FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS rn FROM n)
        SELECT page_id, base, CASE WHEN rn = 1 THEN base ELSE base || '_' || rn END AS name FROM r""",
 )
@@ -257,7 +257,7 @@ def annotated_pages(spark, d):
     "h22_annotation_scan",
     """WITH i AS (SELECT page_id, unnest(range(1, len(string_split(html, '<p>')))) AS i FROM pages WHERE NOT contains(split_part(html, '</head>', 1), '<p>'))
        SELECT page_id, 't' || page_id AS element_id, 'text' AS tag, 'fix & go' AS annotation, '' AS content_preview FROM i
-       UNION ALL SELECT page_id, '(no id)', 'text', '', repeat('x', 50) FROM i""",
+       UNION ALL SELECT page_id, '(no id)', 'text', '', repeat('x', 60) FROM i""",
 )
 def _(spark, d):
     return P.annotations(annotated_pages(spark, d))

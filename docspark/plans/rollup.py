@@ -344,8 +344,8 @@ def _(spark, d):
        o AS (SELECT file, s, v, count(*) AS n FROM u WHERE s NOT IN ('18', '24', '12') AND (v <= 13.5 OR v < 12) GROUP BY ALL),
        f AS (SELECT file, count(*) AS k, sum(n) AS t, bool_or(v < 12) AS b FROM o GROUP BY 1 HAVING count(*) >= 2 OR sum(n) >= 4 OR bool_or(v < 12)),
        r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY v) AS rn FROM o)
-       SELECT f.file, 'possible template font-size drift: undeclared sub-body size(s) ' || (SELECT string_agg(s || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, ', ' ORDER BY v) FROM r WHERE r.file = f.file AND rn <= 5)
-         || CASE WHEN k > 5 THEN ' (+' || (k - 5) || ' more)' ELSE '' END || '. Map each text item to a spec_lock typography role first, then reflow card height / y / dy / line-height from the locked px values.' AS message
+       SELECT f.file, 'possible template font-size drift: undeclared sub-body size(s) ' || (SELECT string_agg(s || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, ', ' ORDER BY v) FROM r WHERE r.file = f.file)
+         || '. Map each text item to a spec_lock typography role first, then reflow card height / y / dy / line-height from the locked px values.' AS message
        FROM f""",
 )
 def _(spark, d):

@@ -38,7 +38,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared_dir(spark)
     T.write_texts(table(spark, d, "documents"), "text", path)
-    texts = T.split_records(T.read_whole_texts(spark, path))
+    texts = T.written_text(T.read_whole_texts(spark, path))
     return texts.groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,7 +82,7 @@ def _(spark, d):
 def _(spark, d):
     path = shared_dir(spark)
     T.write_texts(table(spark, d, "documents"), "text", path)
-    texts = T.split_records(T.read_directory(spark, path, "*.txt"))
+    texts = T.written_text(T.read_directory(spark, path, "*.txt"))
     clean = X.collapse_newlines(X.strip_control(F.col("text")))
     return texts.groupBy(F.md5(clean).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -89,7 +89,7 @@ _HEADED = """CASE WHEN (doc_id // 20) % 10 < 8 THEN 'Header of ' || source || '
 
 def edge_blocks(spark, d):
     pages = number_within(
-        docs(spark, d).select("source", "doc_id", _headed().alias("text")), ["source"], ["doc_id"], "doc_id", "n")
+        docs(spark, d).select("source", "doc_id", _headed().alias("text")), ["source"], ["doc_id"], "n")
     pages = pages.select(F.col("source").alias("doc_id"), (F.col("n") - 1).alias("page_no"), "text")
     lines = pages.select("doc_id", "page_no", F.split("text", "\n").alias("l"))
     n = F.col("n_lines")
@@ -104,10 +104,9 @@ _EDGE = f"""pg AS (SELECT source AS doc_id, row_number() OVER (PARTITION BY sour
       FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM pg)),
   np AS (SELECT doc_id, count(*) AS n FROM pg GROUP BY 1),
   ed AS (SELECT b.doc_id, CASE WHEN y0 < 150 THEN 'header' ELSE 'footer' END AS band, trim(text) AS text, n
-      FROM bl b JOIN np USING (doc_id) WHERE trim(text) <> '' AND (y0 < 150 OR y1 > 850) AND n >= 3
-        AND (n <= 40 OR page_no < 20 OR page_no >= n - 20)),
-  noise AS (SELECT doc_id, band, text, count(*) AS hits, least(any_value(n), 40) AS scanned_pages FROM ed
-      GROUP BY ALL HAVING count(*) / least(any_value(n), 40) > 0.6)"""
+      FROM bl b JOIN np USING (doc_id) WHERE trim(text) <> '' AND (y0 < 150 OR y1 > 850) AND n >= 3),
+  noise AS (SELECT doc_id, band, text, count(*) AS hits, any_value(n) AS scanned_pages FROM ed
+      GROUP BY ALL HAVING count(*) / any_value(n) > 0.6)"""
 
 
 @query("e04_repeated_edge_text", f"WITH {_EDGE} SELECT * FROM noise")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.text import strip_blank
 
 #: Record separator used when many texts share one file.
-RECORD_SEP = "\x1e"
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
@@ -49,14 +48,9 @@ def capped_scan_flags(df: DataFrame, max_rows: int = 0, max_cols: int = 0) -> Da
     )
 
 
-def write_texts(df: DataFrame, column: str, path: str, per_file: int = 10_000) -> None:
-    """Write one text per record, a bounded number of records per file."""
-    (
-        df.select(F.concat(F.col(column), F.lit(RECORD_SEP)).alias("value"))
-        .write.option("lineSep", "\n")
-        .option("maxRecordsPerFile", per_file)
-        .text(path)
-    )
+def write_texts(df: DataFrame, column: str, path: str) -> None:
+    """Write every text as a file of its own, ended by one line feed."""
+    df.select(F.col(column).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -74,10 +68,9 @@ def read_directory(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
-def split_records(df: DataFrame, column: str = "text") -> DataFrame:
-    """Back from whole files to single records."""
-    parts = F.split(F.col(column), f"{RECORD_SEP}\n")
-    return df.select(F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("text"))
+def written_text(df: DataFrame, column: str = "text") -> DataFrame:
+    """Texts as they were before :func:`write_texts` ended them."""
+    return df.withColumn(column, F.regexp_replace(column, "\n\\z", ""))
 
 
 # Extensions of each source type.
