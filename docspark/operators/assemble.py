@@ -237,44 +237,103 @@ def _list_segments(flagged: DataFrame, head: Column, tail: str, part: int) -> Da
     return df.select("doc_id", F.lit(part).cast("long").alias("part"), "page_index", text.alias("text"))
 
 
+def _body(pages: DataFrame) -> DataFrame:
+    df = _with_ends(pages)
+    lead = F.when(F.col("page_index") == F.col("first_page"), F.lit("")).otherwise(F.lit("\n\n"))
+    return df.select("doc_id", F.lit(1).cast("long").alias("part"), "page_index",
+                     F.concat(lead, F.coalesce("markdown", F.lit(""))).alias("text"))
+
+
+def _warned(warnings: DataFrame, before: str, behind: str) -> DataFrame:
+    """The warning of each document that has one, as its first segment."""
+    return warnings.where(F.col("warning").isNotNull()).select(
+        "doc_id", F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("page_index"),
+        F.concat(F.lit(before), "warning", F.lit(behind)).alias("text"))
+
+
+_WARNING_HEAD = "<!-- OCR warning: "
+
+
 def markdown_segments(pages: DataFrame) -> DataFrame:
     """Pages joined by a blank line, after a comment naming the flagged pages."""
-    head = F.concat(F.lit("<!-- OCR warning: "), F.col("_n"), F.lit(" page(s) ["))
+    head = F.concat(F.lit(_WARNING_HEAD), F.col("_n"), F.lit(" page(s) ["))
     warn = _list_segments(
         pages.where(F.col("needs_ocr")).select("doc_id", "page_index"), head,
         "] flagged for OCR; native text may be incomplete. -->\n\n", 0)
-    df = _with_ends(pages)
-    lead = F.when(F.col("page_index") == F.col("first_page"), F.lit("")).otherwise(F.lit("\n\n"))
-    body = df.select("doc_id", F.lit(1).cast("long").alias("part"), "page_index",
-                     F.concat(lead, F.coalesce("markdown", F.lit(""))).alias("text"))
-    return warn.unionByName(body)
+    return warn.unionByName(_body(pages))
 
 
-def json_segments(pages: DataFrame) -> DataFrame:
-    """The nested document as JSON: head, one piece per page, the flagged list, tail."""
+def ocr_markdown_segments(pages: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """As :func:`markdown_segments` for recognised pages(.., hosted_recommended).
+
+    The comment holds the document's warning(doc_id, warning), else it names the pages that
+    still look incomplete.
+    """
+    hosted = pages.where(F.col("hosted_recommended")).select("doc_id", "page_index")
+    out = _body(pages)
+    if warnings is not None:
+        said = warnings.where(F.col("warning").isNotNull())
+        out = out.unionByName(_warned(said, "<!-- ", " -->\n\n"))
+        hosted = hosted.join(said.select("doc_id"), "doc_id", "left_anti")
+    head = F.concat(F.lit(_WARNING_HEAD), F.col("_n"), F.lit(" page(s) ["))
+    return out.unionByName(_list_segments(hosted, head, "] look incomplete after local OCR. -->\n\n", 0))
+
+
+#: Page lists of the JSON document: its name and the flag column.
+PAGE_LISTS = (("pagesNeedingOcr", "needs_ocr"), ("pagesWithTables", "has_table"), ("pagesWithColumns", "has_columns"))
+
+
+def json_segments(pages: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """The nested document as JSON: head, one piece per page, the page lists, tail.
+
+    pages(doc_id, page_index, markdown, needs_ocr, text_items) may have ``has_table`` and
+    ``has_columns`` for further lists, and ``source, ocr_confidence, hosted_recommended,
+    warnings`` for the provenance of recognised pages; classes(doc_id, pdf_type, confidence)
+    may give type and confidence, else ``Unknown`` and 0.
+    """
     df = _with_ends(pages)
+    if classes is None:
+        df = df.withColumns({"_type": F.lit("Unknown"), "_sure": F.lit(0.0)})
+    else:
+        known = classes.select("doc_id", F.col("pdf_type").alias("_type"), F.col("confidence").cast("double").alias("_sure"))
+        df = df.join(broadcast_if_small(known), "doc_id", "left").withColumns({
+            "_type": F.coalesce("_type", F.lit("Unknown")), "_sure": F.coalesce("_sure", F.lit(0.0))})
     first = F.col("page_index") == F.col("first_page")
-    doc = F.to_json(F.struct(
-        F.col("page_index").alias("pageIndex"), F.col("markdown"), F.col("needs_ocr").alias("needsOcr"),
-        F.col("text_items").alias("textItems")), {"ignoreNullFields": "false"})
-    head = F.concat(F.lit('{"docId":'), "doc_id", F.lit(',"pageCount":'), "page_count", F.lit(',"pages":['))
-    body = df.select(
+    fields = [F.col("page_index").alias("pageIndex"), F.col("markdown"), F.col("needs_ocr").alias("needsOcr"), F.col("text_items").alias("textItems")]
+    page = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    if "source" in pages.columns:
+        given = F.to_json(F.struct(
+            "source", F.col("ocr_confidence").alias("ocrConfidence"), F.col("hosted_recommended").alias("hostedRecommended"), "warnings"))
+        page = F.when(F.col("source").isNull(), page).otherwise(
+            F.concat(F.expr("substring(_page, 1, length(_page) - 1)"), F.lit(',"ocrProvenance":'), given, F.lit("}")))
+        df = df.withColumn("_page", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    head = F.concat(
+        F.lit('{"docId":'), "doc_id", F.lit(',"pageCount":'), "page_count", F.lit(',"pdfType":'), F.to_json(F.array("_type")).substr(F.lit(2), F.length(F.to_json(F.array("_type"))) - 2),
+        F.lit(',"confidence":'), F.col("_sure").cast("string"), F.lit(',"pages":['))
+    out = df.select(
         "doc_id", F.lit(0).cast("long").alias("part"), "page_index",
-        F.concat(F.when(first, head).otherwise(F.lit(",")), doc).alias("text"))
+        F.concat(F.when(first, head).otherwise(F.lit(",")), page).alias("text"))
     ends = page_counts(pages)
-    middle = ends.select("doc_id", F.lit(1).cast("long").alias("part"), F.lit(0).cast("long").alias("page_index"),
-                         F.lit('],"pagesNeedingOcr":[').alias("text"))
-    flagged = pages.where(F.col("needs_ocr")).select("doc_id", "page_index")
-    marks = flagged.join(broadcast_if_small(flagged.groupBy("doc_id").agg(F.min("page_index").alias("_f"))), "doc_id").select(
-        "doc_id", F.lit(2).cast("long").alias("part"), "page_index",
-        F.concat(F.when(F.col("page_index") == F.col("_f"), F.lit("")).otherwise(F.lit(",")),
-                 F.col("page_index").cast("string")).alias("text"))
-    tail = ends.select("doc_id", F.lit(3).cast("long").alias("part"), F.lit(0).cast("long").alias("page_index"), F.lit("]}").alias("text"))
-    return body.unionByName(middle).unionByName(marks).unionByName(tail)
-
-
-def provenance_segments(pages: DataFrame) -> DataFrame:
-    """Text with OCR provenance: pages(.., source, ocr_confidence, hosted_recommended)."""
+    part, before = 1, "]"
+    for name, flag in PAGE_LISTS:
+        if flag not in pages.columns:
+            continue
+        out = out.unionByName(ends.select(
+            "doc_id", F.lit(part).cast("long").alias("part"), F.lit(0).cast("long").alias("page_index"), F.lit(f'{before},"{name}":[').alias("text")))
+        marked = pages.where(F.col(flag)).select("doc_id", "page_index")
+        out = out.unionByName(marked.join(marked.groupBy("doc_id").agg(F.min("page_index").alias("_f")), "doc_id").select(
+            "doc_id", F.lit(part + 1).cast("long").alias("part"), "page_index",
+            F.concat(F.when(F.col("page_index") == F.col("_f"), F.lit("")).otherwise(F.lit(",")), F.col("page_index").cast("string")).alias("text")))
+        part, before = part + 2, "]"
+    return out.unionByName(ends.select(
+        "doc_id", F.lit(part).cast("long").alias("part"), F.lit(0).cast("long").alias("page_index"), F.lit("]}").alias("text")))
+
+
+def provenance_segments(pages: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """Text with OCR provenance: pages(.., source, ocr_confidence, hosted_recommended).
+
+    A document's warning(doc_id, warning) stands before its first page.
+    """
     n = F.col("page_index") + 1
     confidence = F.when(F.col("ocr_confidence").isNotNull(),
                         F.concat(F.lit(" (confidence "), F.format_string("%.2f", "ocr_confidence"), F.lit(")"))).otherwise(F.lit(""))
@@ -282,7 +341,8 @@ def provenance_segments(pages: DataFrame) -> DataFrame:
     incomplete = F.when(F.col("hosted_recommended"), F.concat(
         F.lit("(Page "), n, F.lit(": OCR result looks incomplete — consider a hosted parser)")))
     parts = F.concat_ws("\n\n", _label(), applied, incomplete, F.nullif("markdown", F.lit("")))
-    return _joined(_with_ends(pages), parts, PAGE_BREAK)
+    out = _joined(_with_ends(pages), parts, PAGE_BREAK)
+    return out if warnings is None else out.unionByName(_warned(warnings, "", "\n\n"))
 
 
 def write_segments(segments: DataFrame, path: str) -> None:

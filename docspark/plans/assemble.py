@@ -214,27 +214,76 @@ def _(spark, d):
     return A.markdown_segments(pages(spark, d))
 
 
-@query("f12_json_segments")
+def recognised(spark, d):
+    """Pages with the provenance of a recogniser."""
+    p = F.col("page_index")
+    conf = F.floor(F.length("markdown") / 2000.0 * 100 + 0.5) / 100
+    return pages(spark, d).withColumns({
+        "source": _pick(["Native", "Ocr", "Mixed"], p), "ocr_confidence": F.when(p % 2 == 0, conf),
+        "hosted_recommended": p % 4 == 1})
+
+
+def setup_warnings(spark, d):
+    """Warnings of the route for every fifth document."""
+    docs = specs(spark, d).select(
+        "doc_id", F.lit("force").alias("mode"), F.lit(1).alias("flagged"), F.when(F.col("doc_id") % 5 == 0, F.lit(_ENGINE[0])).alias("engine_error"))
+    return A.ocr_route(docs).select("doc_id", "warning")
+
+
+_WARN_SQL = f"""wn AS (SELECT DISTINCT doc_id, 'Local OCR unavailable ({_ENGINE[0]}); returning native text, which may be incomplete for scanned pages.' AS warning
+   FROM pg WHERE doc_id % 5 = 0)"""
+
+
+@query(
+    "f11_ocr_markdown_segments",
+    f"""WITH {_PG}, {_WARN_SQL}, fl AS (SELECT doc_id, page_index, count(*) OVER w AS n, min(page_index) OVER w AS a, max(page_index) OVER w AS b FROM pg
+          WHERE page_index % 4 = 1 AND doc_id % 5 <> 0 WINDOW w AS (PARTITION BY doc_id))
+        SELECT doc_id, 0::BIGINT AS part, page_index, CASE WHEN page_index = a THEN '<!-- OCR warning: ' || n || ' page(s) [' ELSE ', ' END || (page_index + 1) ||
+          CASE WHEN page_index = b THEN '] look incomplete after local OCR. -->' || chr(10) || chr(10) ELSE '' END AS text FROM fl
+        UNION ALL SELECT doc_id, 0, 0, '<!-- ' || warning || ' -->' || chr(10) || chr(10) FROM wn
+        UNION ALL SELECT pg.doc_id, 1, page_index, CASE WHEN page_index = f THEN '' ELSE chr(10) || chr(10) END || markdown FROM pg JOIN pc USING (doc_id)""",
+)
+def _(spark, d):
+    return A.ocr_markdown_segments(recognised(spark, d), setup_warnings(spark, d))
+
+
+def _list_sql(part, name, flag, before="]"):
+    return f"""UNION ALL SELECT doc_id, {part}, 0, '{before},"{name}":[' FROM pc
+        UNION ALL SELECT doc_id, {part + 1}, page_index, CASE WHEN page_index = min(page_index) OVER (PARTITION BY doc_id) THEN '' ELSE ',' END || page_index FROM pg WHERE {flag}"""
+
+
+@query(
+    "f12_json_segments",
+    f"""WITH {_PG}, it AS (SELECT conv_id AS doc_id, turn AS page_index, CASE WHEN role = 'assistant' THEN '[]' ELSE to_json(string_split(text, ' '))::VARCHAR END AS items FROM conversations),
+        q AS (SELECT pg.*, items, f, n FROM pg JOIN it USING (doc_id, page_index) JOIN pc USING (doc_id))
+        SELECT doc_id, 0::BIGINT AS part, page_index, CASE WHEN page_index = f THEN '{{"docId":' || doc_id || ',"pageCount":' || n || ',"pdfType":"' ||
+            CASE WHEN doc_id % 3 = 0 THEN 'Scanned' ELSE 'Unknown' END || '","confidence":' || CASE WHEN doc_id % 3 = 0 THEN '0.5' ELSE '0.0' END || ',"pages":[' ELSE ',' END ||
+          '{{"pageIndex":' || page_index || ',"markdown":' || to_json(markdown)::VARCHAR || ',"needsOcr":' || needs_ocr || ',"textItems":' || items ||
+          ',"ocrProvenance":{{"source":"' || ['Native', 'Ocr', 'Mixed'][CAST(page_index % 3 AS INT) + 1] || '","hostedRecommended":' || (page_index % 4 = 1) ||
+          ',"warnings":[]}}}}' AS text FROM q
+        {_list_sql(1, 'pagesNeedingOcr', 'needs_ocr')} {_list_sql(3, 'pagesWithTables', 'has_table')} {_list_sql(5, 'pagesWithColumns', 'has_columns')}
+        UNION ALL SELECT doc_id, 7, 0, ']}}' FROM pc""",
+)
 def _(spark, d):
-    return A.json_segments(A.items_by_page(pages(spark, d), page_items(spark, d)))
+    given = A.items_by_page(recognised(spark, d), page_items(spark, d)).withColumns({
+        "ocr_confidence": F.lit(None).cast("double"), "warnings": F.array().cast("array<string>")})
+    classes = specs(spark, d).where(F.col("doc_id") % 3 == 0).select("doc_id", F.lit("Scanned").alias("pdf_type"), F.lit(0.5).alias("confidence"))
+    return A.json_segments(given, classes)
 
 
 @query(
     "f13_provenance_segments",
-    f"""WITH {_PG}, q AS (SELECT *, ['Native', 'Ocr', 'Mixed'][CAST(page_index % 3 AS INT) + 1] AS source, CASE WHEN page_index % 2 = 0 THEN length(markdown) / 2000.0 END AS conf,
+    f"""WITH {_PG}, {_WARN_SQL}, q AS (SELECT *, ['Native', 'Ocr', 'Mixed'][CAST(page_index % 3 AS INT) + 1] AS source, CASE WHEN page_index % 2 = 0 THEN length(markdown) / 2000.0 END AS conf,
           page_index % 4 = 1 AS hosted FROM pg)
         SELECT q.doc_id, 1::BIGINT AS part, page_index, CASE WHEN page_index = f THEN '' ELSE chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) END ||
           regexp_replace(concat_ws(chr(10) || chr(10), '[Page ' || (page_index + 1) || ']', CASE WHEN source <> 'Native' THEN '(Page ' || (page_index + 1) || ': local OCR applied'
             || coalesce(' (confidence ' || printf('%.2f', (floor(conf * 100 + 0.5) / 100)::DOUBLE) || ')', '') || ')' END,
           CASE WHEN hosted THEN '(Page ' || (page_index + 1) || ': OCR result looks incomplete — consider a hosted parser)' END, nullif(markdown, '')),
-          CASE WHEN page_index = l THEN '\\s+$' ELSE '^$' END, '') AS text FROM q JOIN pc USING (doc_id)""",
+          CASE WHEN page_index = l THEN '\\s+$' ELSE '^$' END, '') AS text FROM q JOIN pc USING (doc_id)
+        UNION ALL SELECT doc_id, 0, 0, warning || chr(10) || chr(10) FROM wn""",
 )
 def _(spark, d):
-    p = F.col("page_index")
-    conf = F.floor(F.length("markdown") / 2000.0 * 100 + 0.5) / 100
-    return A.provenance_segments(pages(spark, d).withColumns({
-        "source": _pick(["Native", "Ocr", "Mixed"], p), "ocr_confidence": F.when(p % 2 == 0, conf),
-        "hosted_recommended": p % 4 == 1}))
+    return A.provenance_segments(recognised(spark, d), setup_warnings(spark, d))
 
 
 _MESSAGES = ["Cannot find native binding for x", "InvalidFileHeader at 0", "selected page 7 is invalid", "file is ENCRYPTED", "broken ToUnicode map",
