@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import a1
 from ..functions.text import is_blank, strip_blank
-from ..ordering import broadcast_if_small
+from ..ordering import broadcast_if_small, map_of
 
 CELL_COLUMNS = ["sheet", "row", "col", "value", "num", "type"]
 KEY = ["sheet", "row", "col"]
@@ -314,7 +314,8 @@ def merged_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
             "sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), "value", "num", "type"),
         ["sheet", "r0", "c0"],
     )
-    rows = top.withColumn("row", F.explode(F.sequence("r0", "r1")))
+    # a merged range may be a whole column: its rows are made in chunks
+    rows = _dense_rows(top.withColumnsRenamed({"r0": "min_row", "r1": "max_row"}), ["sheet", "c0", "c1", "value", "num", "type"])
     return rows.withColumn("col", F.explode(F.sequence("c0", "c1"))).select(*CELL_COLUMNS)
 
 
@@ -470,16 +471,25 @@ def formula_rejects(formulas: DataFrame) -> DataFrame:
 # ---- validation rules ----------------------------------------------------
 
 
+#: Rows of a sheet that share a join key with its rules.
+BLOCK_ROWS = 4096
+
+
 def validation_for_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """First rule, by number, whose range covers the cell.
 
-    rules(rule_no, sheet, r0, c0, r1, c1, validation_type, ...). The rules of a
-    sheet travel as one array beside each cell, so the cells are not shuffled.
+    rules(rule_no, sheet, r0, c0, r1, c1, validation_type, ...). The join key is the sheet
+    and a block of its rows, so a sheet of any length is spread; the rules that touch a
+    block, ranges of an open sheet included, travel as one array beside each of its cells.
     """
-    per_sheet = rules.groupBy("sheet").agg(
+    ends = bounds(cells).select(F.col("sheet").alias("_s"), F.col("max_row").alias("_last"))
+    inside = rules.join(broadcast_if_small(ends), F.col("sheet") == F.col("_s")).withColumn("r1", F.least("r1", "_last")).where("r0 <= r1")
+    blocks = F.sequence(F.floor(F.col("r0") / BLOCK_ROWS), F.floor(F.col("r1") / BLOCK_ROWS))
+    per_block = inside.withColumn("_block", F.explode(blocks)).groupBy("sheet", "_block").agg(
         F.sort_array(F.collect_list(F.struct("rule_no", "r0", "c0", "r1", "c1", "validation_type"))).alias("_rules")
     )
-    joined = cells.join(broadcast_if_small(per_sheet), "sheet", "left")
+    joined = cells.withColumn("_block", F.floor(F.col("row") / BLOCK_ROWS)).join(
+        broadcast_if_small(per_block), ["sheet", "_block"], "left").drop("_block")
     first = F.get(
         F.filter("_rules", lambda r: F.col("row").between(r["r0"], r["r1"]) & F.col("col").between(r["c0"], r["c1"])),
         F.lit(0),
@@ -558,12 +568,13 @@ def _number(df: DataFrame, name: str) -> Column:
 
 
 def summary_table(
-    df: DataFrame, rows: list[str], values: list[str], columns: list[str] | None = None, agg_func: str = "sum"
+    df: DataFrame, rows: list[str], values: list[str], columns: list[str] | None = None, agg_func: str = "sum",
+    every_combination: bool = False,
 ) -> DataFrame:
-    """One row per combination of the distinct row-field values, seen or not.
+    """One row per seen combination of the row-field values; groups without numbers give 0.
 
-    Groups without numbers give 0. The combinations are the result itself; they
-    are built from the distinct values of the already aggregated groups.
+    ``every_combination`` also gives the unseen ones: their number is the product of the
+    distinct values of the fields, built from the already aggregated groups.
     """
     agg = AGGREGATES.get(agg_func.lower())
     if agg is None:
@@ -579,8 +590,8 @@ def summary_table(
         df.select(*text, *nums).groupBy(*row_fields)
         .agg(*[agg(f"_v{i}").cast("double").alias(n) for i, n in enumerate(named)])
     )
-    combos = None
-    for f in row_fields:
+    combos = None if every_combination else groups.select(*row_fields)
+    for f in row_fields if every_combination else []:
         distinct = groups.select(f).distinct()
         combos = distinct if combos is None else combos.crossJoin(distinct)
     return combos.join(groups, row_fields, "left").select(
@@ -688,8 +699,7 @@ def markdown_table(
     grid_rows = _dense_rows(frame, ["sheet", "min_col", "width_col"])
     first_row = frame.select("sheet", F.col("min_row").alias("first_row"))
     texts = inside.groupBy("sheet", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct(
-            "col", cell_text(F.col("value"), F.col("num"), F.col("type"))))).alias("_m")
+        map_of("col", cell_text(F.col("value"), F.col("num"), F.col("type"))).alias("_m")
     )
     joined = F.array_join(
         F.transform(F.sequence("min_col", "width_col"),
@@ -703,7 +713,7 @@ def markdown_table(
         )
     )
     aligned = _alignments(inside).groupBy("sheet").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "alignment"))).alias("_a"))
+        map_of("col", F.col("alignment")).alias("_a"))
     marks = F.array_join(
         F.transform(F.sequence("min_col", "width_col"),
                     lambda c: F.coalesce(F.try_element_at(F.col("_a"), c), F.lit("---"))), " | ")

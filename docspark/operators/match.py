@@ -35,26 +35,31 @@ def match_titles(titles: DataFrame, stems: DataFrame) -> DataFrame:
     """titles(title) to stems(stem): exact, unique normalised form, unique leading
     number, unique containment; a step with several hits falls through.
 
-    Containment is an equality join: every substring of a stem's normalised
-    name is an index key, and keys shared by several stems are dropped.
+    Only titles left open by the first three steps are looked for inside stems: a
+    stem is cut into its substrings of the lengths that those titles have, and an
+    equality join keeps the ones that are such a title.
     """
     stems = stems.select("stem").distinct().withColumns({
         "norm": F.nullif(normalize_title(F.col("stem")), F.lit("")), "num": leading_number(F.col("stem"))})
-    subs = stems.where(F.col("norm").isNotNull()).select("stem", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.lit(1), F.length("norm")),
-        lambda i: F.transform(F.sequence(F.lit(1), F.length("norm") - i + 1), lambda n: F.substring(F.col("norm"), i, n)),
-    )))).alias("sub"))
     asked = titles.select("title").distinct().withColumns({
         "_norm": normalize_title(F.col("title")), "_num": leading_number(F.col("title"))})
     steps = [
         (stems.select(F.col("stem").alias("_exact"), F.col("stem").alias("_k0")), F.col("title") == F.col("_k0")),
         (_unique(stems, "norm", "_by_norm"), F.col("_norm") == F.col("norm")),
         (_unique(stems, "num", "_by_num"), F.col("_num") == F.col("num")),
-        (_unique(subs, "sub", "_by_sub"), F.col("_norm") == F.col("sub")),
     ]
     for side, on in steps:
         asked = asked.join(broadcast_if_small(side), on, "left")
-    return asked.select("title", F.coalesce("_exact", "_by_norm", "_by_num", "_by_sub").alias("stem"))
+    asked = asked.select("title", "_norm", F.coalesce("_exact", "_by_norm", "_by_num").alias("_found"))
+    wanted = asked.where(F.col("_found").isNull() & (F.col("_norm") != "")).select(F.col("_norm").alias("sub")).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("sub")).alias("_lengths"))  # one row, as many numbers as titles have lengths
+    cut = F.array_distinct(F.flatten(F.transform(
+        F.filter("_lengths", lambda n: n <= F.length("norm")),
+        lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n)))))
+    subs = stems.where(F.col("norm").isNotNull()).crossJoin(F.broadcast(lengths)).select("stem", F.explode(cut).alias("sub"))
+    inside = _unique(subs.join(wanted, "sub"), "sub", "_by_sub")
+    return asked.join(inside, F.col("_found").isNull() & (F.col("_norm") == F.col("sub")), "left").select(
+        "title", F.coalesce("_found", "_by_sub").alias("stem"))
 
 
 # ---- assets and occurrences ----------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..ordering import broadcast_if_small
+from ..ordering import broadcast_if_small, map_of
 
 # ---- duplicates ----------------------------------------------------------
 
@@ -189,7 +189,7 @@ def chart_grid(points: DataFrame, series: DataFrame, categories: DataFrame | Non
         row(F.transform(F.concat(F.array(corner), names), lambda _: F.lit("---"))))).alias("_p", "line"))
     top = top.select("chart_id", (F.col("_p") + 1).cast("long").alias("line_no"), "line")
     values = points.groupBy("chart_id", "idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("series_pos", chart_value(F.col("value"))))).alias("_v"))
+        map_of("series_pos", chart_value(F.col("value"))).alias("_v"))
     if categories is None:
         rows = values.withColumn("label", (F.col("idx") + 1).cast("string"))
     else:

@@ -91,6 +91,14 @@ def ordered_concat(value: Column | str, order: Column | str, sep: str) -> Column
     return F.array_join(F.transform(pairs, lambda p: p["v"]), sep)
 
 
+def map_of(key: Column | str, value: Column) -> Column:
+    """Aggregate a map of a bounded group; of values of one key the largest stays, so repeated keys do no harm."""
+    k = F.col(key) if isinstance(key, str) else key
+    pairs = F.sort_array(F.collect_list(F.struct(k.alias("k"), value.alias("v"))))
+    last = F.filter(pairs, lambda p, i: F.coalesce(F.get(pairs, i + 1)["k"] != p["k"], F.lit(True)))
+    return F.map_from_entries(last)
+
+
 def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by ``keys`` only when the input has fewer splits than there are slots.
 

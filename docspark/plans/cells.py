@@ -427,11 +427,8 @@ def _(spark, d):
 
 @query(
     "c16_summary_table",
-    """WITH g AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, sum(l_extendedprice) AS e FROM lineitem GROUP BY ALL),
-       a AS (SELECT DISTINCT l_returnflag FROM lineitem), b AS (SELECT DISTINCT l_linestatus FROM lineitem)
-       SELECT a.l_returnflag, b.l_linestatus, round(coalesce(q, 0), 2) AS "l_quantity (sum)",
-              round(coalesce(e, 0), 2) AS "l_extendedprice (sum)"
-       FROM a CROSS JOIN b LEFT JOIN g ON g.l_returnflag = a.l_returnflag AND g.l_linestatus = b.l_linestatus""",
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS "l_quantity (sum)",
+              round(sum(l_extendedprice), 2) AS "l_extendedprice (sum)" FROM lineitem GROUP BY ALL""",
 )
 def _(spark, d):
     out = C.summary_table(
@@ -454,7 +451,7 @@ for _agg in ("average", "count", "min", "max"):
     )
     def _(spark, d, agg=_agg):
         out = C.summary_table(
-            table(spark, d, "part"), ["p_brand", "p_type", "p_size"], ["p_retailprice", "p_name"], agg_func=agg)
+            table(spark, d, "part"), ["p_brand", "p_type", "p_size"], ["p_retailprice", "p_name"], agg_func=agg, every_combination=True)
         return out.withColumn(f"p_retailprice ({agg})", F.round(F.col(f"`p_retailprice ({agg})`"), 4))
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip_blank
 
-#: Record separator used when many texts share one file.
-
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Read a table in a columnar, CSV or JSON form."""
+    """Read a table in a columnar, CSV or JSON form.
+
+    CSV needs a header row; without a schema all its columns are strings (``inferSchema`` as an
+    option reads the file twice to find types). JSON is one object a line, types as found.
+    """
     if fmt not in ("parquet", "orc", "csv", "json"):
         raise ValueError(f"unsupported table format {fmt!r}")
     reader = spark.read.format(fmt)

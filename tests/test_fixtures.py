@@ -36,7 +36,7 @@ def test_summary_table_fixture(spark):
 
 def test_summary_table_gives_zero_for_unseen_combinations(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 2.0), (None, "x", 3.0)], "p STRING, q STRING, v DOUBLE")
-    rows = {(r.p, r.q): r["v (min)"] for r in cells.summary_table(df, ["p", "q"], ["v"], agg_func="min").collect()}
+    rows = {(r.p, r.q): r["v (min)"] for r in cells.summary_table(df, ["p", "q"], ["v"], agg_func="min", every_combination=True).collect()}
     assert rows == {("a", "x"): 1.0, ("a", "y"): 0.0, ("b", "x"): 0.0, ("b", "y"): 2.0, ("None", "x"): 3.0, ("None", "y"): 0.0}
 
 
@@ -333,3 +333,24 @@ def test_operators_do_not_collect():
             if re.search(r"\.collect\(\)|toPandas|localCheckpoint|\.rdd\b", line):
                 hits.append((f.name, line.strip()))
     assert not hits, hits
+
+
+def test_tables_from_csv_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a, b"), (2, None)], "k INT, v STRING")
+    rows.write.option("header", True).csv(f"{tmp_path}/c")
+    rows.write.json(f"{tmp_path}/j")
+    assert sorted(map(tuple, tables.read_table(spark, f"{tmp_path}/c", "csv").collect())) == [("1", "a, b"), ("2", None)]
+    assert sorted(map(tuple, tables.read_table(spark, f"{tmp_path}/c", "csv", "k INT, v STRING").collect())) == [(1, "a, b"), (2, None)]
+    assert sorted(map(tuple, tables.read_table(spark, f"{tmp_path}/j", "json").collect())) == [(1, "a, b"), (2, None)]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, f"{tmp_path}/c", "xml")
+
+
+def test_two_values_at_one_address_and_a_whole_column_merge(spark):
+    grid = spark.createDataFrame(
+        [("s", 1, 1, "a", None, "str"), ("s", 1, 2, "b", None, "str"), ("s", 2, 1, "x", None, "str"), ("s", 2, 1, "y", None, "str")],
+        "sheet STRING, row LONG, col LONG, value STRING, num DOUBLE, type STRING")
+    lines = [r.line for r in cells.markdown_table(grid).orderBy("line_no").collect()]
+    assert lines == ["| a | b |", "| --- | --- |", "| y |  |"]
+    merges = spark.createDataFrame([("s", 1, 2, 200_000, 2)], "sheet STRING, r0 LONG, c0 LONG, r1 LONG, c1 LONG")
+    assert cells.merged_cells(grid, merges).count() == 200_000
