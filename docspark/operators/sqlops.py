@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 def run_sql(
     spark: SparkSession, tables: dict[str, DataFrame], sql: str, params: list | None = None
 ) -> DataFrame:
-    """Run one statement over the named frames with positional ``?`` binds."""
+    """Run one statement over the named frames with positional ``?`` binds.
+
+    The names hold for this statement only: views of the session that have such a name are
+    put back as soon as the statement is analysed.
+    """
     if not sql.strip():
         raise ValueError("sql must not be empty")
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql, args=params) if params else spark.sql(sql)
+    views = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in tables if name in views}
+    try:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        return spark.sql(sql, args=params) if params else spark.sql(sql)
+    finally:
+        for name in tables:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
 
 
 def insert_rows(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -146,7 +146,15 @@ def _(spark, d):
     return figures(spark, d)
 
 
-@query("i06_contained_suppression")
+@query(
+    "i06_contained_suppression",
+    f"""WITH {_RC}, s AS (SELECT doc_id, page_no, list([{{'pos': pos, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'area': (x1 - x0) * (y1 - y0)}}]
+          ORDER BY -((x1 - x0) * (y1 - y0)), pos) AS l FROM rc GROUP BY ALL),
+        k AS (SELECT doc_id, page_no, list_reduce(l, lambda kept, r: CASE WHEN r[1].area > 0 AND len(list_filter(kept, lambda o:
+            greatest(0, least(o.x1, r[1].x1) - greatest(o.x0, r[1].x0)) * greatest(0, least(o.y1, r[1].y1) - greatest(o.y0, r[1].y0)) / r[1].area >= 0.9)) > 0
+            THEN kept ELSE list_concat(kept, r) END) AS kept FROM s)
+        SELECT doc_id, page_no, r.pos, r.x0, r.y0, r.x1, r.y1 FROM (SELECT doc_id, page_no, unnest(kept) AS r FROM k)""",
+)
 def _(spark, d):
     return L.suppress_contained(rects(spark, d))
 

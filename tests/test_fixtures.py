@@ -354,3 +354,10 @@ def test_two_values_at_one_address_and_a_whole_column_merge(spark):
     assert lines == ["| a | b |", "| --- | --- |", "| y |  |"]
     merges = spark.createDataFrame([("s", 1, 2, 200_000, 2)], "sheet STRING, r0 LONG, c0 LONG, r1 LONG, c1 LONG")
     assert cells.merged_cells(grid, merges).count() == 200_000
+
+
+def test_statement_leaves_the_views_of_the_session_alone(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    got = sqlops.run_sql(spark, {"mine": spark.range(5), "other": spark.range(7)}, "SELECT count(*) AS n FROM mine, other WHERE other.id > ?", [5])
+    assert got.first().n == 5
+    assert spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
