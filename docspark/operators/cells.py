@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import a1
 from ..functions.text import is_blank, strip_blank
-from ..ordering import broadcast_if_small, map_of
+from ..ordering import broadcast_if_small, map_of, stored
 
 CELL_COLUMNS = ["sheet", "row", "col", "value", "num", "type"]
 KEY = ["sheet", "row", "col"]
@@ -664,6 +664,7 @@ def _capped(cells: DataFrame, merges: DataFrame | None, max_rows: int, max_cols:
         "last_row": F.when(row_cut, F.col("min_row") + max_rows - 1).otherwise(F.col("max_row")),
         "last_col": F.when(col_cut, F.col("min_col") + max_cols - 1).otherwise(F.col("max_col")),
     })
+    lim = stored(lim)  # one row a sheet
     filled = cells if merges is None else fill_merged(cells, merges)
     filled = filled.where(~is_blank(F.col("value")))
     inside = filled.join(broadcast_if_small(lim.select("sheet", "min_row", "min_col", "last_row", "last_col")), "sheet")
@@ -673,14 +674,22 @@ def _capped(cells: DataFrame, merges: DataFrame | None, max_rows: int, max_cols:
 
 def column_alignments(cells: DataFrame, merges: DataFrame | None = None, max_rows: int = 0, max_cols: int = 0) -> DataFrame:
     """``---:`` for columns whose values below the header are all numbers."""
-    return _alignments(_capped(cells, merges, max_rows, max_cols)[0])
+    return _alignments(_grid_rows(_capped(cells, merges, max_rows, max_cols)[0]))
 
 
-def _alignments(inside: DataFrame) -> DataFrame:
-    data = inside.where((F.col("row") > F.col("min_row")) | (F.col("last_row") == F.col("min_row")))
-    numeric = F.col("type").isin("int", "float")
-    return data.groupBy("sheet", "col").agg(
-        F.when(F.every(numeric), F.lit("---:")).otherwise(F.lit("---")).alias("alignment")
+def _grid_rows(inside: DataFrame) -> DataFrame:
+    """One row per grid row with the texts and kinds of its cells by column: all a table is made of."""
+    return inside.groupBy("sheet", "row").agg(
+        map_of("col", cell_text(F.col("value"), F.col("num"), F.col("type"))).alias("_m"),
+        map_of("col", F.col("type").isin("int", "float")).alias("_numeric"),
+        F.max("col").alias("_width"), F.first("min_row").alias("min_row"), F.first("last_row").alias("last_row"),
+    )
+
+
+def _alignments(rows: DataFrame) -> DataFrame:
+    data = rows.where((F.col("row") > F.col("min_row")) | (F.col("last_row") == F.col("min_row")))
+    return data.select("sheet", F.explode("_numeric").alias("col", "numeric")).groupBy("sheet", "col").agg(
+        F.when(F.every("numeric"), F.lit("---:")).otherwise(F.lit("---")).alias("alignment")
     )
 
 
@@ -693,14 +702,13 @@ def markdown_table(
     row, at most the column limit of a sheet, meet in one group.
     """
     inside, lim = _capped(cells, merges, max_rows, max_cols)
-    width = inside.groupBy("sheet").agg(F.max("col").alias("width_col"))
+    rows = stored(_grid_rows(inside))
+    width = rows.groupBy("sheet").agg(F.max("_width").alias("width_col"))
     frame = lim.join(width, "sheet").select(
         "sheet", "min_row", "min_col", F.col("last_row").alias("max_row"), "width_col")
     grid_rows = _dense_rows(frame, ["sheet", "min_col", "width_col"])
     first_row = frame.select("sheet", F.col("min_row").alias("first_row"))
-    texts = inside.groupBy("sheet", "row").agg(
-        map_of("col", cell_text(F.col("value"), F.col("num"), F.col("type"))).alias("_m")
-    )
+    texts = rows.select("sheet", "row", "_m")
     joined = F.array_join(
         F.transform(F.sequence("min_col", "width_col"),
                     lambda c: F.coalesce(F.try_element_at(F.col("_m"), c), F.lit(""))), " | ")
@@ -712,7 +720,7 @@ def markdown_table(
             F.concat(F.lit("| "), joined, F.lit(" |")).alias("line"),
         )
     )
-    aligned = _alignments(inside).groupBy("sheet").agg(
+    aligned = _alignments(rows).groupBy("sheet").agg(
         map_of("col", F.col("alignment")).alias("_a"))
     marks = F.array_join(
         F.transform(F.sequence("min_col", "width_col"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..ordering import broadcast_if_small, map_of
+from ..ordering import broadcast_if_small, map_of, stored
 
 # ---- duplicates ----------------------------------------------------------
 
@@ -54,7 +54,8 @@ def canonical_markdown(c: Column) -> Column:
 
 def equivalent_documents(docs: DataFrame, text: str, path: str) -> DataFrame:
     """Each path with the first path of equal canonical content."""
-    keyed = docs.select(path, F.sha2(canonical_markdown(F.col(text)), 256).alias("_key"))
+    # the patterns run once over the texts
+    keyed = stored(docs.select(path, F.sha2(canonical_markdown(F.col(text)), 256).alias("_key")))
     first = keyed.groupBy("_key").agg(F.min(path).alias("first_path"), F.count(F.lit(1)).alias("copies"))
     return keyed.join(broadcast_if_small(first), "_key").select(path, "first_path", "copies")
 

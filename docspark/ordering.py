@@ -29,16 +29,20 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if int(str(plan.stats().sizeInBytes())) <= limit else df
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read back: what is used again is computed once."""
+    path = f"{shared_dir(df.sparkSession)}/stored"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _ranged(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` dealt into sampled ranges of ``columns`` and written below the shared folder, ``_part`` ascending with them.
 
     Ranges are cut by rows, not by values: they follow any ordering column, and the rows of
     a hot key are spread over as many ranges as they fill. The input is computed once.
     """
-    path = f"{shared_dir(df.sparkSession)}/ranged"
-    dealt = df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id())
-    dealt.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(dealt.schema).parquet(path)
+    return stored(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()))
 
 
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
