@@ -178,15 +178,18 @@ def near_groups(
     lists = joined.where("_id = rep").dropDuplicates(["rep", "d1", "d2"]).select(
         F.col("rep").alias("id"), "n", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "token")
     )
-    lists = written(lists)
     shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1").select("token", "head")
     lists = written(lists.join(small(written(shared)), "token"))
 
     linked = lambda df: df.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common")))
     far = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
 
-    # leaders: the list head a set met most often
-    met = lists.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("c"))
+    # leaders: the list head a set met most often; one met by chance, in a few lists of many, is not worth a test
+    needed = _least(F.col("n"), F.col("n"), num, den) - (F.col("n") - F.col("k"))
+    met = (
+        lists.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("k").alias("k"))
+        .where(4 * F.col("c") >= needed)
+    )
     proposed = met.groupBy("id").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b"))
     first = linked(overlaps(known, proposed, words)).withColumn("dist", far)
     leaders = written(first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("leader"), F.min("dist").alias("dist")))
