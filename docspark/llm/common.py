@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -13,15 +11,21 @@ from ..session import shared_dir
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
-def written(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` stored below the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t"
-    writer = df.write.option("compression", "zstd")
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing computed later depends on: their readers are written themselves."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to).getParent()
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -72,6 +76,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
         large = written(large)
+        discard(edges)
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         star = (
             large.join(lowest, "u")
@@ -79,20 +84,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .where("u <> v").distinct()
         )
         edges = written(star)
+        discard(large)
         now = _marks(edges)
         if now == seen:
             break
         seen = now
     roots = edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct().join(roots.select("id"), "id", "left_anti"))
-
-
-def prefixed(df: DataFrame, prefix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
-
-
-Verify = Callable[[DataFrame], DataFrame]
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

@@ -15,9 +15,9 @@ FIRST_BYTES, GROWTH = 64, 32
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    first_bytes: int = FIRST_BYTES, growth: int = GROWTH, keep: tuple[str, ...] = (),
+    first_bytes: int = FIRST_BYTES, growth: int = GROWTH,
 ) -> DataFrame:
-    """One row per input row: ``id, keep_id, group_size, kept, text_sha256`` and the ``keep`` columns.
+    """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
     The length of a text is its first digit, its bytes are the next ones. A round
     counts the rows of every (group, next bytes), numbers the parts that hold two
@@ -29,16 +29,14 @@ def exact_groups(
 
     NULL text counts as empty, and empty texts are equal. Of a group the largest id
     stays; a NULL id is below all others; of repeated rows with that id one stays.
-    An empty table gives an empty result. Other columns are ignored unless named in
-    ``keep``; the result has the id under its own name.
+    An empty table gives an empty result. Other columns are ignored; the result has the id under its own name.
     """
-    check_columns(docs, id_col, text_col, *keep)
+    check_columns(docs, id_col, text_col)
     if first_bytes < 1 or growth < 1:
         raise ValueError("first_bytes and growth must be positive")
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(
         F.col(id_col).alias("_id"), F.sha2(raw, 256).alias("_sha"), raw.alias("_rest"),
-        F.struct(F.lit(0).alias("_none"), *[F.col(c) for c in keep]).alias("_kept_cols"),
         F.octet_length(raw).cast("long").alias("_gid"),
     )
     done: list[DataFrame] = []
@@ -46,12 +44,12 @@ def exact_groups(
     while True:
         rows, parts = _split(rows, width, first)
         done.append(rows.where(F.col("_part").isNull() | F.col("_ended")).select(
-            "_id", "_sha", "_kept_cols", F.col("_part").alias("_gid"), F.lit(len(done)).alias("_round"), "_tag"
+            "_id", "_sha", F.col("_part").alias("_gid"), F.lit(len(done)).alias("_round"), "_tag"
         ))
         if parts.isEmpty():
             break
         rows = rows.where(F.col("_part").isNotNull() & ~F.col("_ended")).select(
-            "_id", "_sha", "_rest", "_kept_cols", F.col("_part").alias("_gid"), "_tag"
+            "_id", "_sha", "_rest", F.col("_part").alias("_gid"), "_tag"
         )
         if rows.isEmpty():
             break
@@ -68,7 +66,6 @@ def exact_groups(
         F.coalesce(F.col("_n"), F.lit(1)).alias("group_size"),
         (alone | (F.col("_tag") == F.col("_best._tag"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
-        *[F.col(f"_kept_cols.{c}").alias(c) for c in keep if c != id_col],
     )
 
 
@@ -91,16 +88,29 @@ def _split(rows: DataFrame, width: int, first: bool) -> tuple[DataFrame, DataFra
     on = F.col("_part").isNotNull()
     ended = F.octet_length("_rest") <= width
     out = left.select(
-        "_id", "_sha", "_kept_cols", "_part", tag.alias("_tag"), ended.alias("_ended"),
+        "_id", "_sha", "_part", tag.alias("_tag"), ended.alias("_ended"),
         F.when(on & ~ended, F.expr(f"substring(_rest, {width + 1})")).alias("_rest"),
     )
     return written(out), parts
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    others = tuple(c for c in docs.columns if c != id_col)
-    # a column of docs may be named like one of the result; inside the struct it can't clash
-    packed = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"))
-    kept = exact_groups(packed, id_col, text_col, keep=("_row",)).where("kept")
-    return kept.select(F.col(id_col), *[F.col(f"_row.`{c}`").alias(c) for c in others]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Rows to drop are known by id and digest, so the rows that stay are not shuffled where
+    that table is small. Of repeated rows (one id, one text) one stays.
+    """
+    found = written(exact_groups(docs.select(id_col, text_col), id_col, text_col).select(
+        F.col(id_col).alias("_gid"), F.col("text_sha256").alias("_gsha"), "kept", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("_best")))
+    gone = written(found.where("NOT _best").select("_gid", "_gsha").distinct())
+    twice = written(found.where("_best AND NOT kept").select("_gid", "_gsha").distinct())
+    sha = F.sha2(F.coalesce(F.col(f"_d.`{text_col}`"), F.lit("")).cast("binary"), 256)
+    mine = [F.col(f"_d.`{c}`") for c in docs.columns]
+    same = F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_gid")) & (sha == F.col("_gsha"))
+    stay = docs.alias("_d").join(small(gone), same, "left_anti")
+    if twice.isEmpty():
+        return stay.select(*mine)
+    once = stay.join(small(twice), same, "left_anti").select(*mine)
+    pairs = stay.join(small(twice), same, "left_semi").select(*[c.alias(f"_c{i}") for i, c in enumerate(mine)], sha.alias("_s"))
+    first = pairs.dropDuplicates([f"_c{docs.columns.index(id_col)}", "_s"]).drop("_s")
+    return once.unionByName(first.toDF(*docs.columns))

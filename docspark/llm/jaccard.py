@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import arrays
-from .common import check_columns, components, small, written
+from .common import check_columns, components, discard, small, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -126,7 +126,9 @@ def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
         sets = written(wanted.mapInArrow(make, "_id long, _set binary"))
         both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a").join(
             sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
-        return written(both.select("a", "b", "_sa", "_sb").mapInArrow(meet, "a long, b long, common long, na long, nb long"))
+        found = written(both.select("a", "b", "_sa", "_sb").mapInArrow(meet, "a long, b long, common long, na long, nb long"))
+    discard(sets, ids, pairs)
+    return found
 
 
 def _least(n1: Column, n2: Column, num: int, den: int) -> Column:
@@ -194,14 +196,15 @@ def near_groups(
     first = linked(overlaps(known, proposed, words)).withColumn("dist", far)
     leaders = written(first.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("leader"), F.min("dist").alias("dist")))
     roots = written(components(leaders.select(F.col("id").alias("a"), F.col("leader").alias("b"))))
-    entries = written(
+    placed = written(
         lists.drop("head").join(small(roots), "id", "left").join(small(leaders), "id", "left").select(
             "token", "id", "n", "k", "pos", F.coalesce("root", "id").alias("comp"), F.coalesce("leader", "id").alias("leader"),
             F.coalesce("dist", F.lit(0.0)).alias("dist"), F.col("root").isNull().alias("alone"),
         )
     )
-    open_lists = written(entries.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token"))
-    entries = written(entries.join(small(open_lists), "token", "left_semi"))
+    open_lists = written(placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token"))
+    entries = written(placed.join(small(open_lists), "token", "left_semi"))
+    discard(placed)
     z = entries.select("token", *[F.col(c).alias(f"z{c}") for c in ("id", "n", "k", "pos", "comp", "alone")])
     y = entries.select("token", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "k", "pos", "comp", "leader", "dist", "alone")])
     per_pair = lambda df: df.groupBy(F.col("zid").alias("a"), F.col("yid").alias("b")).agg(
@@ -228,6 +231,7 @@ def near_groups(
     for more in (second, third, fourth):
         links = links.unionByName(more.select("a", "b"))
     final = written(components(links.unionByName(joined.where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b")))))
+    discard(classes, lists, leaders, roots, entries, open_lists)
     return sets.join(small(final), F.col("_id") == F.col("id"), "left").select(
         F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("root", "_id").alias("component_id"),
