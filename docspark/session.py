@@ -44,7 +44,11 @@ def shared_dir(spark: SparkSession) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/docspark-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/docspark-{uuid.uuid4().hex}"
+    if not base.partition("://")[1] or base.startswith("file:"):
+        # tables on the way are of use to this process only
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+    return path
 
 
 @functools.cache
