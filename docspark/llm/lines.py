@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import check_columns, components, small, written
+from .common import check_columns, components, discard, small, written
 
 #: A line of fewer characters than this many a tolerated edit is compared for equality only.
 CHARS_AN_EDIT = 10
+#: Letters counted before a distance is worked out; any kinds would do.
+KINDS = ("eio", "atr", "ns ", "hld")
 
 
 def edit_distance_within(a: Column, b: Column, k: int) -> Column:
@@ -64,9 +66,11 @@ def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
     return start.cast("int"), (base + F.when(F.lit(i) > plain, 1).otherwise(0)).cast("int")
 
 
-def _keys(line: Column, k: int) -> Column:
-    """Segments of a line for its own length, and its substrings that can be a segment of a line up to ``k`` shorter."""
-    n, out = F.length(line), []
+def _keys(line: Column, n: Column, k: int) -> Column:
+    """Segments of a line for its own length ``n``, and its substrings that can be a segment of a line up to ``k`` shorter."""
+    out = []
+    # in a line of ASCII a character is a byte, which is found without reading what stands before it
+    plain = F.octet_length(line) == n
     for shorter in range(k + 1):
         for i in range(1, k + 2):
             start, size = _segment(n - shorter, i, k)
@@ -75,11 +79,29 @@ def _keys(line: Column, k: int) -> Column:
                 at = start + shift
                 own = shorter == 0 and shift == 0
                 fits = (at >= 1) & (at + size - 1 <= n)
-                key = F.xxhash64((n - shorter).cast("int"), F.lit(i), F.substring(line, at, size))
+                part = F.when(plain, F.substring(line.cast("binary"), at, size)).otherwise(F.substring(line, at, size).cast("binary"))
+                key = F.xxhash64(F.lit(k), (n - shorter).cast("int"), F.lit(i), part)
                 out.append(F.when(fits, F.struct(key.alias("key"), F.lit(own).alias("own"))))
     return F.filter(F.array(*out), lambda s: s.isNotNull())
 
 
+def _entries(distinct: DataFrame, k: int, chars_an_edit: int) -> DataFrame:
+    """``(id, keys)``, each ``(key, own)``: lines cut for as many edits as the longer line of a pair may have.
+
+    A line of ``n`` characters tolerates ``e = min(k, n / chars_an_edit)`` edits as the longer one
+    and looks for partners among lines cut into ``e + 1`` segments; as the shorter one it is
+    listed for every such number that a line up to that much longer has.
+    """
+    tolerated = lambda n: F.least(F.lit(k), F.floor(n / chars_an_edit).cast("int"))
+    n, parts = F.col("n"), []
+    for e in range(1, k + 1):
+        asks = tolerated(n) == e
+        listed = (tolerated(n) <= e) & (tolerated(n + e) >= e)
+        keys = _keys(F.col("line"), n, e)
+        parts.append(distinct.where(listed | asks).select("id", F.when(asks, keys).otherwise(F.filter(keys, lambda s: s["own"])).alias("keys")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def line_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, chars_an_edit: int = CHARS_AN_EDIT,
 ) -> tuple[DataFrame, DataFrame]:
@@ -96,38 +118,47 @@ def line_classes(
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     stand = rows.select("_id", "_text", F.posexplode(F.split("_t", "\n")).alias("no", "line")).where("trim(line) <> ''")
     two = [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
-    distinct = written(stand.groupBy("line").count().select(F.monotonically_increasing_id().alias("id"), "line", "count", *two))
-    # a line may be up to k shorter than one that is long enough for an edit
-    entries = distinct.where(F.length("line") >= chars_an_edit - k).select("id", F.explode(_keys(F.col("line"), k)).alias("s")).select("id", "s.key", "s.own")
+    distinct = written(stand.groupBy("line").count().select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "count", *two))
+    keyed = written(_entries(distinct, k, chars_an_edit))
+    entries = keyed.select("id", F.explode("keys").alias("s")).select("id", "s.key", "s.own")
     lists = written(
         entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.when(F.col("own"), F.col("id"))).alias("head"))
         .where("lo <> hi AND head IS NOT NULL").select("key", "head")
     )
     entries = written(entries.join(small(lists), "key"))
-    texts = distinct.select("id", "line")
+    discard(keyed)
+    texts = distinct.select("id", "line", "n")
 
     def tested(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("a", "b").distinct())
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(
-            texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-        near = both.where(F.abs(F.length("la") - F.length("lb")) <= k).select(
-            "a", "b", F.greatest(F.length("la"), F.length("lb")).alias("longer"), edit_distance_within(F.col("la"), F.col("lb"), k).alias("d"))
-        return written(near.where((F.col("d") <= k) & (chars_an_edit * F.col("d") <= F.col("longer"))).select("a", "b"))
+        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("n").alias("na")), "a").join(
+            texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("n").alias("nb")), "b")
+        # an edit changes the number of letters of a kind by one at most
+        alike = F.abs(F.col("na") - F.col("nb")) <= k
+        for letters in KINDS:
+            alike = alike & (F.abs(F.length(F.translate("la", letters, "")) - F.length(F.translate("lb", letters, ""))) <= k)
+        # most candidates are far apart: the built-in test drops them, the distance is worked out for the rest
+        near = both.where(alike).where(F.levenshtein("la", "lb", k) >= 0).select(
+            "a", "b", F.greatest("na", "nb").alias("longer"), edit_distance_within(F.col("la"), F.col("lb"), k).alias("d"))
+        found = written(near.where((F.col("d") <= k) & (chars_an_edit * F.col("d") <= F.col("longer"))).select("a", "b"))
+        discard(pairs)
+        return found
 
     met = entries.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("c"))
     first = tested(met.groupBy("id").agg(F.max(F.struct("c", -F.col("head"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.col2")).alias("b")))
     roots = written(components(first))
     placed = written(entries.drop("head").join(small(roots), "id", "left").select("key", "id", "own", F.coalesce("root", "id").alias("comp")))
     still_open = written(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    placed = written(placed.join(small(still_open), "key", "left_semi"))
-    x = placed.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
-    y = placed.where("own").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+    crossing = written(placed.join(small(still_open), "key", "left_semi"))
+    x = crossing.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"))
+    y = crossing.where("own").select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
     second = tested(x.join(y, "key").where("ca <> cb"))
     final = written(components(first.unionByName(second)))
     lines = written(
         distinct.join(small(final), "id", "left").where("count > 1 OR root IS NOT NULL")
         .select("line", "h1", "h2", F.coalesce("root", "id").alias("class_id"))
     )
+    discard(distinct, lists, entries, roots, placed, final)
     occurrences = stand.select("_id", "_text", "no", *two).join(small(lines).select("h1", "h2", "class_id"), ["h1", "h2"]).drop("h1", "h2")
     return lines.select("line", "class_id"), occurrences
 
