@@ -120,12 +120,12 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = (
+    bad = written(
         contamination(docs.select(id_col, text_col), items, id_col, text_col, **options).where("contaminated")
         .select(F.col(id_col).alias("_bad"), F.col("text_hash").alias("_bad_text")).distinct()
     )
     same = F.col(f"_d.{id_col}").eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(F.col(f"_d.{text_col}"), F.lit(""))) == F.col("_bad_text"))
-    return docs.alias("_d").join(bad, same, "left_anti").select(*[F.col(f"_d.`{c}`") for c in docs.columns])
+    return docs.alias("_d").join(small(bad), same, "left_anti").select(*[F.col(f"_d.`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
