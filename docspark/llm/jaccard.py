@@ -136,6 +136,11 @@ def _least(n1: Column, n2: Column, num: int, den: int) -> Column:
     return F.ceil(num * (n1 + n2) / F.lit(num + den) - F.lit(1e-9))
 
 
+def _sizes(num: int, den: int) -> Column:
+    """Two sets of sizes that can link."""
+    return den * F.least("zn", "yn") >= num * F.greatest("zn", "yn")
+
+
 def _met(z: str, y: str, num: int, den: int) -> Column:
     """Two entries of one list that may be a pair's first common shingle: blocks of other sizes and positions are skipped."""
     nz, ny, pz, py = (F.col(c) for c in (f"{z}n", f"{y}n", f"{z}pos", f"{y}pos"))
@@ -143,10 +148,21 @@ def _met(z: str, y: str, num: int, den: int) -> Column:
     return sizes & (F.least(nz - pz, ny - py) >= _least(nz, ny, num, den))
 
 
-def _enough(n1: str, k1: str, n2: str, k2: str, num: int, den: int) -> Column:
-    """The common prefix shingles and all that can follow behind a prefix reach the smallest overlap."""
-    rest = F.greatest(F.col(n1) - F.col(k1), F.col(n2) - F.col(k2))
-    return F.col("shared") + rest >= _least(F.col(n1), F.col(n2), num, den)
+def _pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` from all list entries two sets have in common.
+
+    The first common prefix shingle must leave enough behind it in both sets, and the common
+    prefix shingles with all that can follow behind a prefix must reach the smallest overlap.
+    Sizes are keys, since rows that share an id can have sets of several sizes.
+    """
+    n1, k1, n2, k2 = (F.col(c) for c in ("zn", "zk", "yn", "yk"))
+    least = _least(n1, n2, num, den)
+    found = met.groupBy(F.col("zid").alias("a"), F.col("yid").alias("b"), "zn", "zk", "yn", "yk").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("zpos").alias("zpos"), F.min("ypos").alias("ypos")
+    )
+    return found.where(
+        (F.least(n1 - F.col("zpos"), n2 - F.col("ypos")) >= least) & (F.col("shared") + F.greatest(n1 - k1, n2 - k2) >= least)
+    ).select("a", "b")
 
 
 def near_groups(
@@ -207,10 +223,7 @@ def near_groups(
     discard(placed)
     z = entries.select("token", *[F.col(c).alias(f"z{c}") for c in ("id", "n", "k", "pos", "comp", "alone")])
     y = entries.select("token", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "k", "pos", "comp", "leader", "dist", "alone")])
-    per_pair = lambda df: df.groupBy(F.col("zid").alias("a"), F.col("yid").alias("b")).agg(
-        F.count(F.lit(1)).alias("shared"), *[F.max(c).alias(c) for c in ("zn", "zk", "yn", "yk")]
-    ).where(_enough("zn", "zk", "yn", "yk", num, den)).select("a", "b")
-    direct = per_pair(z.where("zalone").join(y.where("yalone"), "token").where("zid > yid").where(_met("z", "y", num, den)))
+    direct = _pairs(z.where("zalone").join(y.where("yalone"), "token").where("zid > yid").where(_sizes(num, den)), num, den)
     second = linked(overlaps(known, direct, words))
 
     # a set and a group: the leader decides first
@@ -221,9 +234,10 @@ def near_groups(
     tested = overlaps(known, via, words).withColumn("far", far)
     third = linked(tested)
     rest = tested.join(third.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("zid"), F.col("b").alias("yleader"), "far")
-    members = per_pair(
+    members = _pairs(
         z.join(small(written(rest)), "zid").join(y.where("NOT yalone"), ["token", "yleader"])
-        .where(other & (F.col("yid") != F.col("yleader")) & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9)).where(_met("z", "y", num, den))
+        .where(other & (F.col("yid") != F.col("yleader")) & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9)).where(_met("z", "y", num, den)),
+        num, den,
     )
     fourth = linked(overlaps(known, members, words))
 

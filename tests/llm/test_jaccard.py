@@ -42,6 +42,34 @@ def test_against_all_pairs(spark, n, num):
             assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]), r
 
 
+def changed(words, places, mark):
+    return [f"{mark}{i}" if i in places else w for i, w in enumerate(words)]
+
+
+def families(rare, footer):
+    """Families whose smallest id links to none of the rest, and footers alone."""
+    rows, end = [], [f"f{i}" for i in range(footer)]
+    for f in range(6):
+        base = [f"r{f}_{i}" for i in range(rare)]
+        whole = base + end
+        rows += [base, changed(whole, {20 + f}, f"y{f}_"), changed(whole, {90 + f}, f"z{f}_")]
+    rows += [[f"o{i}_{j}" for j in range(30)] + end for i in range(40)]
+    return [(d, " ".join(w)) for d, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize(
+    ("n", "num", "rare", "footer"), [(3, 90, 178, 24), (5, 80, 154, 50)],
+)
+def test_links_beside_the_smallest_id(spark, n, num, rare, footer):
+    rows = families(rare, footer)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: shingles(t, n) for d, t in rows}
+    want = components(sets, num)
+    for f in range(0, 18, 3):
+        assert [want[d] - f for d in (f, f + 1, f + 2)] == [0, 1, 1]
+    assert {r.doc_id: r.component_id for r in J.near_groups(docs, n, num).collect()} == want
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v")], "doc_id long, text string")
     assert {r.component_id for r in J.near_groups(docs).collect()} == {1}
