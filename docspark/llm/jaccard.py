@@ -141,13 +141,6 @@ def _sizes(num: int, den: int) -> Column:
     return den * F.least("zn", "yn") >= num * F.greatest("zn", "yn")
 
 
-def _met(z: str, y: str, num: int, den: int) -> Column:
-    """Two entries of one list that may be a pair's first common shingle: blocks of other sizes and positions are skipped."""
-    nz, ny, pz, py = (F.col(c) for c in (f"{z}n", f"{y}n", f"{z}pos", f"{y}pos"))
-    sizes = den * F.least(nz, ny) >= num * F.greatest(nz, ny)
-    return sizes & (F.least(nz - pz, ny - py) >= _least(nz, ny, num, den))
-
-
 def _pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """``a, b`` from all list entries two sets have in common.
 
@@ -236,7 +229,7 @@ def near_groups(
     rest = tested.join(third.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("zid"), F.col("b").alias("yleader"), "far")
     members = _pairs(
         z.join(small(written(rest)), "zid").join(y.where("NOT yalone"), ["token", "yleader"])
-        .where(other & (F.col("yid") != F.col("yleader")) & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9)).where(_met("z", "y", num, den)),
+        .where(other & (F.col("yid") != F.col("yleader")) & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9)).where(_sizes(num, den)),
         num, den,
     )
     fourth = linked(overlaps(known, members, words))

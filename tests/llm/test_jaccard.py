@@ -46,28 +46,35 @@ def changed(words, places, mark):
     return [f"{mark}{i}" if i in places else w for i, w in enumerate(words)]
 
 
-def families(rare, footer):
-    """Families whose smallest id links to none of the rest, and footers alone."""
+def families(n, rare, footer, edits):
+    """Families whose smallest id links to none of the rest, or to a member of which a further set links only, and footers alone."""
     rows, end = [], [f"f{i}" for i in range(footer)]
     for f in range(6):
         base = [f"r{f}_{i}" for i in range(rare)]
         whole = base + end
         rows += [base, changed(whole, {20 + f}, f"y{f}_"), changed(whole, {90 + f}, f"z{f}_")]
+    for f in range(6):
+        base = [f"s{f}_{i}" for i in range(rare)] + end
+        member = changed(base, edits[0], f"m{f}_")
+        rows += [base, member, changed(member, edits[1], f"l{f}_")]
     rows += [[f"o{i}_{j}" for j in range(30)] + end for i in range(40)]
     return [(d, " ".join(w)) for d, w in enumerate(rows)]
 
 
 @pytest.mark.parametrize(
-    ("n", "num", "rare", "footer"), [(3, 90, 178, 24), (5, 80, 154, 50)],
+    ("n", "num", "rare", "footer", "edits"),
+    [(3, 90, 178, 24, ({30, 60}, {100, 130})), (5, 80, 154, 50, ({20, 50, 80}, {35, 65, 100}))],
 )
-def test_links_beside_the_smallest_id(spark, n, num, rare, footer):
-    rows = families(rare, footer)
+def test_links_beside_the_smallest_id(spark, n, num, rare, footer, edits):
+    rows = families(n, rare, footer, edits)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     sets = {d: shingles(t, n) for d, t in rows}
     want = components(sets, num)
     for f in range(0, 18, 3):
         assert [want[d] - f for d in (f, f + 1, f + 2)] == [0, 1, 1]
+        assert 100 * len(sets[f + 18] & sets[f + 20]) < num * len(sets[f + 18] | sets[f + 20]) and want[f + 20] == f + 18
     assert {r.doc_id: r.component_id for r in J.near_groups(docs, n, num).collect()} == want
+    assert {r.doc_id for r in J.drop_near(docs, n, num).collect()} == {d for d, root in want.items() if d == root}
 
 
 def test_edges(spark):
