@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, exact, jaccard, kneser_ney, licences, lines, packing, records, toxicity, urls
+from . import codebooks, collocations, contamination, exact, jaccard, kneser_ney, licences, lines, packing, records, repeats, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -222,3 +222,99 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped")
     )
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11 = rf"""
+WITH p AS (
+  SELECT row_number() OVER () AS id, lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang), g AS (
+  SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(m) WHERE len(w) >= m)
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2
+), cut AS (
+  SELECT lang, m, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS pl, array_to_string(list_slice(w, k + 1, m), ' ') AS pr
+  FROM c, (VALUES (1), (2)) AS s(k) WHERE k < m
+), s AS (
+  SELECT cut.*, fl.f AS l, fr.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(fl.f AS HUGEINT) * fr.f) AS BIGINT) AS score
+  FROM cut JOIN f AS fl ON fl.lang = cut.lang AND fl.phrase = pl JOIN f AS fr ON fr.lang = cut.lang AND fr.phrase = pr
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1), inn AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(list_slice(w, 1, 2), ' ') AS phrase FROM c WHERE m = 3
+    UNION ALL SELECT lang, a, array_to_string(list_slice(w, 2, 3), ' ') FROM c WHERE m = 3
+  ) GROUP BY ALL
+), kept AS (SELECT best.* FROM best LEFT JOIN inn USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _OP11)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of two and three words that belong together, language by language, over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def _op12() -> str:
+    """Six rounds over the parts of all vectors, each one step of the statement."""
+    steps = ["""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT row, part, list_slice(e, part * len(e) // 8 + 1, (part + 1) * len(e) // 8) AS v FROM v, range(8) AS s(part)
+), b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM x WHERE row <= 16)"""]
+    near = """a{i} AS MATERIALIZED (
+  SELECT row, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT row, x.part, entry, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d FROM x JOIN b{i} AS b ON b.part = x.part
+  ) GROUP BY ALL
+)"""
+    mean = """b{j} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{i} AS b LEFT JOIN (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT part, entry, i, sum(c) AS s, count(*) AS n
+      FROM (SELECT part, entry, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS c FROM x JOIN a{i} USING (row, part)) GROUP BY ALL
+    ) GROUP BY ALL
+  ) AS m USING (part, entry)
+)"""
+    for i in range(6):
+        steps += [near.format(i=i), mean.format(i=i, j=i + 1)]
+    steps.append(near.format(i=6))
+    return ", ".join(steps) + """, o AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b6) AS codebooks_sha256
+FROM o JOIN v USING (row)
+"""
+
+
+@query("op12_vector_codes", _op12())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by eight codebooks of sixteen entries."""
+    return codebooks.encode(table(spark, sf_dir, "embeddings"))[0]
+
+
+_OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), g AS MATERIALIZED (
+  SELECT row, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g HAVING min(doc_id) < max(doc_id)), gone AS (
+  SELECT row, list(DISTINCT p) AS p FROM (SELECT row, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (g) WHERE doc_id > first) GROUP BY row
+), kept AS (
+  SELECT row, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT row, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM d) LEFT JOIN gone USING (row)
+  WHERE p IS NULL OR NOT list_contains(p, i) GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (row) LEFT JOIN kept USING (row)
+"""
+
+
+@query("op13_substring_dedup", _OP13)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of thirteen words or more that an earlier document has."""
+    return repeats.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
