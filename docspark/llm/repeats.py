@@ -9,19 +9,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
 from . import arrays, kneser_ney
-from .common import check_columns, discard, small, written
+from .common import check_columns, discard, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 U64 = np.uint64
 #: Rows of the sketch, cells of one file of it, windows a task holds before it sends its sketch.
 DEPTH, SHARD_BITS, HELD = 2, 22, 4_000_000
+#: Windows estimated repeated that a task holds before it sends them.
+HELD_FOUND = 2_000_000
 #: Text worked on at once.
 BLOCK_BYTES = 1_000_000
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -62,6 +64,10 @@ class Words:
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         return windows(self.hash, self.counts, size, _STEPS[0])
 
+    def text(self) -> np.ndarray:
+        """Text of each word."""
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
     def second(self, size: int) -> np.ndarray:
         """Other 64 bits of every window, in the same order."""
         return windows(arrays.mix(self.hash ^ U64(0x5851F42D4C957F2D)), self.counts, size, _STEPS[1])[0]
@@ -72,8 +78,8 @@ def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (arrays.mix(keys + U64(row)) >> U64(64 - bits)).astype(np.int64)
 
 
-def sketch(texts: DataFrame, size: int, bits: int, folder: str) -> None:
-    """Writes for every part of the sketch which cells were met twice or more, one bit a cell.
+def sketch(texts: DataFrame, size: int, bits: int, folder: str) -> np.ndarray:
+    """Writes for every part of the sketch which cells were met twice or more, one bit a cell; returns which parts there are.
 
     A task's sketch holds its cells (at most twice each, since more makes no difference) as 16-bit
     places in ranges of 65,536 cells; the part's task adds them up, whatever the number of tasks.
@@ -113,13 +119,21 @@ def sketch(texts: DataFrame, size: int, bits: int, folder: str) -> None:
                 np.add.at(total, at, np.uint8(1))
                 np.minimum(total, 2, out=total)
         kneser_ney._write(folder, f"cells-{key[0].as_py()}.bits", np.packbits(total >= 2, bitorder="little"))
-        yield pa.RecordBatch.from_pydict({"n": [int((total >= 2).sum())]}, schema=pa.schema([("n", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()]}, schema=pa.schema([("part", pa.int32())]))
+
+    return _parts(texts.mapInArrow(run, "part int, sizes binary, places binary").groupBy("part").applyInArrow(merge, "part int"), DEPTH * parts)
+
 
-    discard(written(texts.mapInArrow(run, "part int, sizes binary, places binary").groupBy("part").applyInArrow(merge, "n long")))
+def _parts(made: DataFrame, size: int) -> np.ndarray:
+    """Runs a job that writes files and returns which of their numbers there are (one row a file)."""
+    made, there = written(made), np.zeros(size, bool)
+    there[[r["part"] for r in made.collect()]] = True
+    discard(made)
+    return there
 
 
-def estimated_repeated(keys: np.ndarray, bits: int, mapped: kneser_ney.Arrays) -> np.ndarray:
-    """Windows that every row of the sketch has twice or more: all repeated ones and a few others."""
+def estimated_repeated(keys: np.ndarray, bits: int, mapped: kneser_ney.Arrays, there: np.ndarray) -> np.ndarray:
+    """Places of the windows that every row of the sketch has twice or more: all repeated ones and a few others."""
     parts = 1 << (bits - SHARD_BITS)
     left = np.arange(len(keys))
     for row in range(DEPTH):
@@ -127,44 +141,96 @@ def estimated_repeated(keys: np.ndarray, bits: int, mapped: kneser_ney.Arrays) -
         order = np.argsort(at)
         at, hit = at[order], np.zeros(len(left), bool)
         edges = np.searchsorted(at, np.arange(parts + 1) << SHARD_BITS)
-        for p in np.flatnonzero(np.diff(edges)).tolist():
+        for p in np.flatnonzero(np.diff(edges) * there[row * parts : (row + 1) * parts]).tolist():
             mine = at[edges[p] : edges[p + 1]] & ((1 << SHARD_BITS) - 1)
             hit[order[edges[p] : edges[p + 1]]] = mapped.get(f"cells-{row * parts + p}.bits", "u1")[mine >> 3] >> (mine & 7).astype(np.uint8) & 1
         left = left[hit]
     return left
 
 
-def _digest(text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+def _first_docs(k1: np.ndarray, k2: np.ndarray, low: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each window, sorted: its smallest document, and whether more than one document has it."""
+    order = np.lexsort((k2, k1))
+    k1, k2, low, several = k1[order], k2[order], low[order], several[order]
+    if not len(k1):
+        return k1, k2, low, several
+    first = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+    least = np.minimum.reduceat(low, first)
+    return k1[first], k2[first], least, np.logical_or.reduceat(several, first) | (least != np.maximum.reduceat(low, first))
 
 
-def later_windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``_doc, _text_hash, _at``: sorted places of the windows of a document that also start in one with a smaller id."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("_doc"), _digest(text_col).alias("_text_hash"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    letters = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = max(SHARD_BITS, int(letters // 2).bit_length())  # cells for each two bytes: more than windows, whatever the words
-    folder = f"{shared_dir(docs.sparkSession)}/sketch"
-    sketch(texts.select("_text"), size, bits, folder)
+def repeated_windows(texts: DataFrame, size: int, bits: int, there: np.ndarray, folder: str) -> np.ndarray:
+    """Writes the windows that more than one document has, with the smallest document of each, as sorted arrays.
+
+    A task sends one entry for each window it holds, so a passage of all documents is one entry a task.
+    """
+    parts = 1 << (bits - SHARD_BITS)
+    kinds = (("k1", "<u8"), ("k2", "<u8"), ("low", "<i8"), ("several", "?"))
+
+    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        entries = _first_docs(*map(np.concatenate, zip(*held, strict=True)))
+        edges = np.searchsorted(_part(entries[0], parts), np.arange(parts + 1))
+        rows = [(p, *(x[edges[p] : edges[p + 1]].tobytes() for x in entries)) for p in np.flatnonzero(np.diff(edges)).tolist()]
+        return pa.RecordBatch.from_pydict(
+            {c: [r[i] for r in rows] for i, c in enumerate(("part", *(k for k, _ in kinds)))},
+            schema=pa.schema([("part", pa.int32()), *((k, pa.binary()) for k, _ in kinds)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped = kneser_ney.Arrays(folder)
+        mapped, held, have = kneser_ney.Arrays(folder), [], 0
         for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             words = Words(batch.column("_text"))
             keys, at = words.windows(size)
-            hit = estimated_repeated(keys, bits, mapped) if len(keys) else at
-            hit.sort()
-            text = np.repeat(np.arange(len(words.counts)), words.counts)[at[hit]]
-            first = np.cumsum(words.counts) - words.counts
-            yield pa.RecordBatch.from_arrays([
-                pa.array(keys[hit].view(np.int64)), pa.array(words.second(size)[hit].view(np.int64)),
-                batch.column("_doc").take(pa.array(text)), batch.column("_text_hash").take(pa.array(text)), pa.array((at[hit] - first[text]).astype(np.int32)),
-            ], names=["_k1", "_k2", "_doc", "_text_hash", "_place"])
+            hit = estimated_repeated(keys, bits, mapped, there)
+            if len(hit):
+                doc = np.asarray(batch.column("_doc"))[words.text()[at[hit]]]
+                held.append((keys[hit], words.second(size)[hit], doc, np.zeros(len(hit), bool)))
+                have += len(hit)
+            if have >= HELD_FOUND:
+                yield sent(held)
+                held, have = [], 0
+        if have:
+            yield sent(held)
 
-    found = written(texts.mapInArrow(run, "_k1 long, _k2 long, _doc long, _text_hash long, _place int"))
-    first = written(found.groupBy("_k1", "_k2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last").drop("_last"))
-    later = found.join(small(first), ["_k1", "_k2"]).where("_doc > _first")
-    return later.groupBy("_doc", "_text_hash").agg(F.sort_array(F.collect_set("_place")).alias("_at"))
+    def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, held, have = [np.zeros(0, kind) for _, kind in kinds], [], 0
+        for batch in batches:
+            for blobs in zip(*(batch.column(k).to_pylist() for k, _ in kinds), strict=True):
+                held.append([np.frombuffer(b, kind) for b, (_, kind) in zip(blobs, kinds, strict=True)])
+                have += len(held[-1][0])
+                if have > max(len(whole[0]), 1 << 18):
+                    whole, held, have = _first_docs(*map(np.concatenate, zip(whole, *held, strict=True))), [], 0
+        k1, k2, low, several = _first_docs(*map(np.concatenate, zip(whole, *held, strict=True)))
+        for name, values in (("k1", k1), ("k2", k2), ("low", low)):
+            kneser_ney._write(folder, f"windows-{key[0].as_py()}.{name}", values[several])
+        yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()] * bool(several.any())}, schema=pa.schema([("part", pa.int32())]))
+
+    schema = "part int, k1 binary, k2 binary, low binary, several binary"
+    return _parts(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, "part int"), parts)
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each window by its leading bits."""
+    return (keys >> U64(65 - parts.bit_length())).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+
+
+def first_docs(k1: np.ndarray, k2: np.ndarray, mapped: kneser_ney.Arrays, there: np.ndarray) -> np.ndarray:
+    """Smallest document that has each window; the largest number where only one has it."""
+    out = np.full(len(k1), np.iinfo(np.int64).max)
+    order = np.argsort(k1)
+    edges = np.searchsorted(_part(k1[order], len(there)), np.arange(len(there) + 1))
+    for p in np.flatnonzero(np.diff(edges) * there).tolist():
+        mine = order[edges[p] : edges[p + 1]]
+        have, second, low = (mapped.get(f"windows-{p}.{name}", kind) for name, kind in (("k1", "<u8"), ("k2", "<u8"), ("low", "<i8")))
+        at = np.searchsorted(have, k1[mine])
+        while len(mine):  # entries with one first half follow each other
+            inside = at < len(have)
+            mine, at = mine[inside], at[inside]
+            same = have[at] == k1[mine]
+            mine, at = mine[same], at[same]
+            hit = second[at] == k2[mine]
+            out[mine[hit]] = low[at[hit]]
+            mine, at = mine[~hit], at[~hit] + 1
+    return out
 
 
 def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
@@ -174,40 +240,47 @@ def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_c
     consecutive words of its document covers it whose words also start in a document with a smaller id;
     windows are judged on the input. What stays is joined by one blank.
 
-    A count-min sketch over all windows, one part of it a task, is merged from all tasks and never counts too
-    little, so no repeated window is lost; only the windows it has twice or more are grouped, by two independent
-    64-bit hashes of their words (128 bits). Smallest ids are aggregated before the join, so a passage that
-    every document has is one row a task; AQE splits what is left of it in the join.
+    Three passes. A count-min sketch over all windows, one part of it a task, is merged from all tasks and never
+    counts too little, so no repeated window is lost. Only the windows it has twice or more are grouped, by two
+    independent 64-bit hashes of their words (128 bits), and those that several documents have are kept with the
+    smallest of them. The last pass looks its windows up in these arrays, mapped into memory, and writes the
+    result of each row; no text is shuffled and no group of occurrences is brought together.
 
     NULL and empty texts have no words. A NULL id neither removes nor is removed. Rows that share an id don't
-    remove each other and each gets its own result. Texts may be of any length (a document's places meet in one
-    row); an empty table gives an empty result; other columns are ignored.
+    remove each other and each gets its own result. Texts may be of any length; an empty table gives an
+    empty result; other columns are ignored.
     """
     check_columns(docs, id_col, text_col)
     if size < 1:
         raise ValueError("a window has at least one word")
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"{id_col} must be an integer column")
-    places = written(later_windows(docs, size, id_col, text_col))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), _digest(text_col).alias("_h"))
-    both = rows.join(small(places), (F.col("_id").cast("long") == F.col("_doc")) & (F.col("_h") == F.col("_text_hash")), "left")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    texts = rows.where("_doc IS NOT NULL").select("_doc", "_text")
+    letters = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    bits = max(SHARD_BITS, int(letters // 2).bit_length())  # cells for each two bytes: more than windows, whatever the words
+    folder = f"{shared_dir(docs.sparkSession)}/windows"
+    cells_there = sketch(texts.select("_text"), size, bits, folder)
+    there = repeated_windows(texts, size, bits, cells_there, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped = kneser_ney.Arrays(folder)
         for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             words = Words(batch.column("_text"))
-            at = batch.column("_at")
-            each = np.asarray(pa.compute.list_value_length(at).fill_null(0), np.int64)
-            first = np.cumsum(words.counts) - words.counts
-            starts = np.asarray(pa.compute.list_flatten(at), np.int64) + np.repeat(first, each)
+            keys, at = words.windows(size)
+            hit = estimated_repeated(keys, bits, mapped, cells_there)
+            if len(hit):
+                own = np.asarray(batch.column("_doc").fill_null(np.iinfo(np.int64).min))[words.text()[at[hit]]]
+                hit = hit[first_docs(keys[hit], words.second(size)[hit], mapped, there) < own]
             cover = np.zeros(len(words.starts) + 1, np.int32)
-            np.add.at(cover, starts, 1)
-            np.add.at(cover, starts + size, -1)
+            np.add.at(cover, at[hit], 1)
+            np.add.at(cover, at[hit] + size, -1)
             keep = np.cumsum(cover[:-1]) == 0
             sizes = words.ends[keep] - words.starts[keep]
             ends = np.cumsum(sizes + 1)  # each word and a blank
             data = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
             data[arrays.ragged(ends - sizes - 1, sizes)] = words.raw[arrays.ragged(words.starts[keep], sizes)]
-            upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([first, [len(keep)]])]
+            upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(words.counts)])]
             edge = np.concatenate([[0], ends])[upto].tolist()
             whole = data.tobytes()
             texts = [whole[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -221,5 +294,5 @@ def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["_id", "n_words", "n_removed", "kept_sha256", *["kept"] * with_text]
-    done = both.select("_id", "_text", "_at").mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    done = rows.mapInArrow(run, f"_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
     return done.withColumnRenamed("_id", id_col)
