@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..session import shared_dir
 from . import arrays, kneser_ney
-from .common import check_columns, discard, small, stored_bytes, written
+from .common import check_columns, discard, small, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -23,8 +23,8 @@ U64 = np.uint64
 BREAKS = arrays.separators((0x2E, 0x2E), (0x2C, 0x2C), (0x3A, 0x3B), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D))
 #: Bytes between words: those and blank and tab.
 SPACES = BREAKS | arrays.separators((0x20, 0x20), (0x09, 0x09))
-#: Text worked on at once, phrases held by a task before they are sent, input bytes for a hash partition.
-BLOCK_BYTES, HELD, SHARD_BYTES = 1_000_000, 4_000_000, 16_000_000
+#: Text worked on at once, phrases held by a task before they are sent, bytes of text for a hash partition.
+BLOCK_BYTES, HELD, SHARD_BYTES = 1_000_000, 4_000_000, 30_000_000
 #: Counters of a summary for each one that the guarantee needs: fewer phrases survive that are not frequent.
 SLACK = 2
 SUMMARY = "shard int, keys binary, counts binary, error long"
@@ -298,7 +298,8 @@ def collocations(
     if not 2 <= shortest <= longest or threshold < 1 or top < 1 or inside[0] < 0 or inside[1] < 1:
         raise ValueError("2 <= shortest <= longest, positive threshold and top, and a share of an inner phrase are needed")
     texts = _texts(docs, text_col, lang_col)
-    shards = 1 << max(3, int(stored_bytes(docs) // SHARD_BYTES).bit_length())
+    letters = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shards = 1 << max(3, int(letters // SHARD_BYTES).bit_length())
     folder = f"{shared_dir(docs.sparkSession)}/phrases"
     mass, words = masses(texts, longest, shards)
     survivors(texts, longest, threshold, mass, folder)
