@@ -31,13 +31,48 @@ def _unique(stems: DataFrame, key: str, out: str) -> DataFrame:
     )
 
 
+#: Characters of an index entry; shorter titles are looked up by entries of their own length.
+GRAM = 4
+
+
+def _entries(text: str, sizes: Column) -> Column:
+    """array(struct(gram, at)): all pieces of the sizes in use, with their 0-based place; linear in the text."""
+    none = F.array().cast("array<struct<gram:string,at:int>>")
+    return F.flatten(F.array(*[
+        F.when(F.array_contains(sizes, n), F.transform(
+            F.regexp_extract_all(F.col(text), F.lit(f"(?=(.{{{n}}}))"), F.lit(1)),
+            lambda g, i: F.struct(g.alias("gram"), i.alias("at")))).otherwise(none)
+        for n in range(1, GRAM + 1)]))
+
+
+def titles_inside(wanted: DataFrame, stems: DataFrame) -> DataFrame:
+    """(sub, stem): each text of wanted(sub) with every stem of stems(stem, norm) whose norm contains it.
+
+    An index of the stems' pieces of GRAM characters; a text is looked up by its rarest piece alone, and
+    the places found are verified in the stem. A text that has a piece no stem has is dropped unseen. Index
+    rows hold a hash of the stem instead of the stem, so they are as many as its characters and no wider.
+    """
+    size = F.least(F.length("sub"), F.lit(GRAM))
+    sizes = wanted.agg(F.collect_set(size).alias("_sizes"))  # one row of at most GRAM numbers
+    index = stems.join(F.broadcast(sizes), F.length("norm") > 0).select(
+        F.xxhash64("stem").alias("_stem"), F.inline(_entries("norm", F.col("_sizes"))))
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    asked = wanted.select("sub", F.inline(_entries("sub", F.array(size))).alias("gram", "_at"))
+    anchors = (
+        asked.join(often, "gram", "left").groupBy("sub")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_at").alias("at"), "gram")).alias("_a"))
+        .where("_a.n > 0").select("sub", F.col("_a.at").alias("_at"), F.col("_a.gram").alias("gram"))
+    )
+    places = anchors.join(index, "gram").where("at >= _at").select("sub", "_stem", (F.col("at") - F.col("_at") + 1).alias("_from"))
+    return places.join(stems.select("stem", "norm", F.xxhash64("stem").alias("_stem")), "_stem").where(
+        F.substring(F.col("norm"), F.col("_from"), F.length("sub")) == F.col("sub")).select("sub", "stem").distinct()
+
+
 def match_titles(titles: DataFrame, stems: DataFrame) -> DataFrame:
     """titles(title) to stems(stem): exact, unique normalised form, unique leading
     number, unique containment; a step with several hits falls through.
 
-    Only titles left open by the first three steps are looked for inside stems: a
-    stem is cut into its substrings of the lengths that those titles have, and an
-    equality join keeps the ones that are such a title.
+    Only titles left open by the first three steps are looked for inside stems.
     """
     stems = stems.select("stem").distinct().withColumns({
         "norm": F.nullif(normalize_title(F.col("stem")), F.lit("")), "num": leading_number(F.col("stem"))})
@@ -52,12 +87,7 @@ def match_titles(titles: DataFrame, stems: DataFrame) -> DataFrame:
         asked = asked.join(broadcast_if_small(side), on, "left")
     asked = asked.select("title", "_norm", F.coalesce("_exact", "_by_norm", "_by_num").alias("_found"))
     wanted = asked.where(F.col("_found").isNull() & (F.col("_norm") != "")).select(F.col("_norm").alias("sub")).distinct()
-    lengths = wanted.agg(F.collect_set(F.length("sub")).alias("_lengths"))  # one row, as many numbers as titles have lengths
-    cut = F.array_distinct(F.flatten(F.transform(
-        F.filter("_lengths", lambda n: n <= F.length("norm")),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("norm") - n + 1), lambda i: F.substring(F.col("norm"), i, n)))))
-    subs = stems.where(F.col("norm").isNotNull()).crossJoin(F.broadcast(lengths)).select("stem", F.explode(cut).alias("sub"))
-    inside = _unique(subs.join(wanted, "sub"), "sub", "_by_sub")
+    inside = _unique(titles_inside(wanted, stems.where(F.col("norm").isNotNull()).select("stem", "norm")), "sub", "_by_sub")
     return asked.join(inside, F.col("_found").isNull() & (F.col("_norm") == F.col("sub")), "left").select(
         "title", F.coalesce("_found", "_by_sub").alias("stem"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..ordering import broadcast_if_small, ordered_concat
+from ..ordering import broadcast_if_small, map_of, ordered_concat
 from .match import match_titles
 
 PAGE = ["doc_id", "page_no"]
@@ -264,23 +264,23 @@ def section_notes(docs: DataFrame, stems: DataFrame, text: str = "text") -> Data
     """(doc_id, stem, notes): lines belong to the last heading that matched a stem.
 
     Unmatched headings stay as text, rules are dropped, sections of one stem
-    are joined by a blank line.
+    are joined by a blank line. Sections are cut in the document's row; only its
+    headings are matched in a table of their own.
     """
-    raw = F.regexp_extract("text", r"^#{1,6}\s*(.+?)\s*$", 1)
-    lines = split_lines(docs, text).withColumn("_title", X.empty_to_null(raw))
-    heads = lines.where(F.col("_title").isNotNull()).select(F.col("_title").alias("title")).distinct()
-    keys = match_titles(heads, stems).where(F.col("stem").isNotNull())
-    lines = lines.join(broadcast_if_small(keys), F.col("_title") == F.col("title"), "left").drop("title")
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    lines = lines.withColumns({
-        "_key": F.last("stem", ignorenulls=True).over(w),
-        "_section": F.count("stem").over(w),
-    })
-    lines = lines.where(F.col("_key").isNotNull())
-    body = F.when(F.col("stem").isNull() & ~F.col("text").rlike(r"^\s*[-*]{3,}\s*$"), F.col("text"))
-    sections = lines.groupBy("doc_id", "_section").agg(
-        F.first("_key").alias("stem"), X.strip_blank(ordered_concat(body, "line_no", "\n")).alias("_text"))
-    return sections.groupBy("doc_id", "stem").agg(
+    title = lambda line: X.empty_to_null(F.regexp_extract(line, r"^#{1,6}\s*(.+?)\s*$", 1))
+    lines = docs.select("doc_id", F.split(F.col(text), "\n").alias("_lines"))
+    heads = lines.select("doc_id", F.explode(F.array_distinct(F.filter(F.transform("_lines", title), lambda t: t.isNotNull()))).alias("title"))
+    keys = match_titles(heads.select("title"), stems).where(F.col("stem").isNotNull())
+    known = heads.distinct().join(keys, "title").groupBy("doc_id").agg(map_of("title", F.col("stem")).alias("_stems"))
+    rows = lines.join(known, "doc_id").withColumn("_at", F.filter(
+        F.transform("_lines", lambda x, i: F.struct(i.alias("i"), F.element_at(F.col("_stems"), title(x)).alias("stem"))),
+        lambda h: h["stem"].isNotNull()))
+    body = lambda h, k: F.filter(
+        F.slice("_lines", h["i"] + 2, F.coalesce(F.get(F.col("_at"), k + 1)["i"], F.size("_lines")) - h["i"] - 1),
+        lambda x: ~x.rlike(r"^\s*[-*]{3,}\s*$"))
+    cut = F.transform("_at", lambda h, k: F.struct(
+        h["stem"].alias("stem"), k.alias("_section"), X.strip_blank(F.array_join(body(h, k), "\n")).alias("_text")))
+    return rows.select("doc_id", F.inline(cut)).groupBy("doc_id", "stem").agg(
         ordered_concat(X.empty_to_null(F.col("_text")), "_section", "\n\n").alias("notes"))
 
 
