@@ -7,12 +7,15 @@ is brought together; documents of any length stay spread over pages.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as X
-from ..ordering import broadcast_if_small
+from ..ordering import broadcast_if_small, stored
 
 PAGE = ["doc_id", "page_no"]
 LINE = ["doc_id", "page_no", "block_no", "line_no"]
@@ -108,19 +111,82 @@ def assemble_lines(spans: DataFrame, sizes: DataFrame, noise: DataFrame | None =
                         F.col("_i.is_list").alias("is_list"), "is_code")
 
 
-def _other(rects: DataFrame) -> DataFrame:
-    return rects.select(*[F.col(c).alias(f"_{c}") for c in PAGE], *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _level(b) -> Column:
+    """Tiles of side 2 ** level that are about as long as the rectangle."""
+    side = F.greatest(b[2] - b[0], b[3] - b[1])
+    return F.when(side > 1, F.ceil(F.log2(side))).otherwise(0).cast("int")
+
+
+def _tiles(rects: DataFrame, levels: Column) -> DataFrame:
+    """``rects`` once for each tile that they touch on each of the levels."""
+    on = lambda v, n: F.floor(v / F.pow(F.lit(2.0), n))
+    cells = lambda n: F.flatten(F.transform(
+        F.sequence(on(F.col("x0"), n), on(F.col("x1"), n)),
+        lambda x: F.transform(F.sequence(on(F.col("y0"), n), on(F.col("y1"), n)), lambda y: F.struct(n.alias("tn"), x.alias("tx"), y.alias("ty")))))
+    return rects.select("*", F.inline(F.flatten(F.transform(levels, cells))))
+
+
+def _met(mine: DataFrame, others: DataFrame, when: Column, narrower: int | None, columns: list[str]) -> DataFrame:
+    """Distinct ``columns`` of ``mine`` for which some rectangle of the page in ``others`` (columns ``_x0`` ..) satisfies ``when``.
+
+    ``when`` holds only for rectangles that overlap. Each of ``others`` stands in the tiles of its own
+    size; ``mine`` looks in the tiles of that size that it touches, on its own level less ``narrower``
+    and on all wider ones in use. Without ``narrower`` the others look for ``mine`` as well. A pair is thus
+    compared only where the two are close, however many rectangles a page has; it is only asked
+    whether there is a match, so several common tiles do no harm.
+    """
+    some = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    mine, others, level = mine.where(some), others.where(some), _level(G.box())
+
+    def looks(asking: DataFrame, asked: DataFrame) -> DataFrame:
+        used = asked.agg(F.collect_set(level).alias("_used"))  # one row, at most as many numbers as doubles have exponents
+        return _tiles(asking.join(F.broadcast(used)), F.filter("_used", lambda n: n >= level - (narrower or 0))).drop("_used")
+
+    stands = lambda r: _tiles(r, F.array(level))
+    found = None
+    for here, there in [(looks(mine, others), stands(others))] + [(stands(mine), looks(others, mine))] * (narrower is None):
+        there = there.select(*[F.col(c).alias(f"_{c}") for c in there.columns])
+        same = [F.col(c) == F.col(f"_{c}") for c in (*PAGE, "tn", "tx", "ty")]
+        got = here.join(there, reduce(Column.__and__, same, when), "left_semi").select(*columns)
+        found = got if found is None else found.unionByName(got)
+    return found.distinct()
+
 
+#: Rectangles of a page up to which they are compared one by one, or folded in one row.
+FEW = 128
 
-def _same_page() -> Column:
-    return (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_no") == F.col("_page_no"))
+
+def _crowded(rects: DataFrame) -> DataFrame:
+    """Pages of more rectangles than FEW."""
+    return rects.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > FEW).select(*PAGE)
+
+
+def _without_met(rects: DataFrame, others: DataFrame, when: Column, narrower: int | None) -> DataFrame:
+    """``rects`` without those that ``when`` matches to one of ``others`` on the page: page by page where those are few, else by tiles."""
+    whole = lambda p: (F.col(f"{p}x1") > F.col(f"{p}x0")) & (F.col(f"{p}y1") > F.col(f"{p}y0"))
+    spots, crowded = [*PAGE, *BOX], _crowded(others)
+    few = others.join(crowded, PAGE, "left_anti").select(*[F.col(c).alias(f"_{c}") for c in spots])
+    same = [F.col(c) == F.col(f"_{c}") for c in PAGE]
+    left = rects.join(few, reduce(Column.__and__, [*same, whole(""), whole("_")], when), "left_anti")
+    many = others.join(crowded, PAGE, "left_semi").select(*spots)
+    return left.join(_met(rects.select(*spots), many, when, narrower, spots), spots, "left_anti").select(rects.columns)
 
 
 def drop_blocks_in_tables(blocks: DataFrame, tables: DataFrame, share: float = 0.6) -> DataFrame:
     """Blocks of which no table covers more than the share."""
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
     mine, theirs = G.box(), G.box("_")
     covered = G.overlap(mine, theirs) > share * G.area(mine)
-    return blocks.join(broadcast_if_small(_other(tables)), _same_page() & covered, "left_anti")
+    return _without_met(blocks, tables, covered, _narrower(share))
+
+
+def _narrower(share: float) -> int:
+    """Levels by which a rectangle that covers so much of another may be narrower than it."""
+    return 1 + math.ceil(math.log2(1 / share))
 
 
 # Padding and limits of figure regions.
@@ -143,17 +209,27 @@ def figure_candidates(drawings: DataFrame, tables: DataFrame) -> DataFrame:
     big = padded.where((w >= MIN_WIDTH) & (h >= MIN_HEIGHT) & (G.area(G.box()) >= MIN_AREA) & (aspect <= MAX_ASPECT))
     mine, theirs = G.box(), G.box("_")
     in_table = G.overlap(mine, theirs) > 0.5 * F.least(G.area(mine), G.area(theirs))
-    return big.join(broadcast_if_small(_other(tables)), _same_page() & in_table, "left_anti")
+    return _without_met(big, tables, in_table, None)
 
 
 def suppress_contained(rects: DataFrame, share: float = 0.9) -> DataFrame:
     """Largest first, a rectangle mostly inside a kept one goes; output in (y0, x0) order per page.
 
-    The choice depends on earlier choices, so the rectangles of one page are
-    folded in order of size.
+    The choice depends on earlier choices. A page of few rectangles is folded in its row, in order of
+    size; all larger pages are settled together, in rounds.
     """
-    item = F.struct((-G.area(G.box())).alias("a"), "pos", "x0", "y0", "x1", "y1")
-    pages = rects.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("_r"))
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    columns = [*PAGE, "pos", *BOX]
+    rects = rects.select(*columns)
+    crowded = stored(_crowded(rects))
+    kept = _folded(rects.join(broadcast_if_small(crowded), PAGE, "left_anti"), share)
+    return kept if crowded.isEmpty() else kept.unionByName(_in_rounds(rects.join(broadcast_if_small(crowded), PAGE, "left_semi"), share))
+
+
+def _folded(rects: DataFrame, share: float) -> DataFrame:
+    item = F.struct((-G.area(G.box())).alias("a"), "pos", *BOX)
+    pages = rects.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("_r"))  # FEW at most
 
     def step(kept, r):
         inner = (r["x0"], r["y0"], r["x1"], r["y1"])
@@ -162,7 +238,32 @@ def suppress_contained(rects: DataFrame, share: float = 0.9) -> DataFrame:
         return F.when(inside, kept).otherwise(F.concat(kept, F.array(r)))
 
     kept = F.aggregate(F.slice("_r", F.lit(2), F.size("_r")), F.slice("_r", 1, 1), step)
-    return pages.select(*PAGE, F.inline(kept)).select(*PAGE, "pos", "x0", "y0", "x1", "y1")
+    return pages.select(*PAGE, F.inline(kept)).select(*PAGE, "pos", *BOX)
+
+
+def _in_rounds(rects: DataFrame, share: float) -> DataFrame:
+    """Rounds of two steps, each written; what a kept rectangle contains goes at once.
+
+    First the FEW largest open rectangles of each page are folded, so every round settles that many
+    whatever contains what; then each rectangle that no larger open one contains is kept, which
+    settles all parts of a page side by side.
+    """
+    columns = rects.columns
+    flat = ~F.coalesce(G.area(G.box()) > 0, F.lit(False))  # no area: neither contained nor containing
+    rank = lambda p: F.struct(-G.area(G.box(p)), *[F.col(f"{p}{c}") for c in ("pos", *BOX)])
+    holds = (rank("_") < rank("")) & (G.overlap(G.box(), G.box("_")) / G.area(G.box()) >= share)
+    inside = lambda mine, others: _met(mine, others, holds, _narrower(share), columns)
+    done, is_open = rects.where(flat), stored(rects.where(~flat).distinct())
+    while not is_open.isEmpty():
+        placed = is_open.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy(rank(""))))
+        head = stored(placed.where(F.col("_n") <= FEW).drop("_n"))
+        stay = stored(_folded(head, share))
+        rest = stored(is_open.join(head, columns, "left_anti").join(inside(is_open, stay), columns, "left_anti"))
+        below = stored(inside(rest, rest))
+        more = stored(rest.join(below, columns, "left_anti"))
+        is_open = stored(below.join(inside(below, more), columns, "left_anti"))
+        done = done.unionByName(stay).unionByName(more)
+    return done
 
 
 def reading_order(shapes: DataFrame, top: str = "y0", left: str | None = "x0", tie: str = "pos") -> DataFrame:
