@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import a1
+from ..functions import intervals as IV
 from ..functions.text import is_blank, strip_blank
 from ..ordering import broadcast_if_small, map_of, stored
 
@@ -309,24 +310,51 @@ def delete_sheet(cells: DataFrame, name: str) -> DataFrame:
 
 def merged_cells(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Every cell of merges(sheet, r0, c0, r1, c1) with its top-left content."""
-    top = merges.join(
-        cells.where(~is_blank(F.col("value"))).select(
-            "sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), "value", "num", "type"),
-        ["sheet", "r0", "c0"],
-    )
+    return _grid(_tops(cells.where(~is_blank(F.col("value"))), merges))
+
+
+def _tops(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    return broadcast_if_small(merges).join(
+        cells.select("sheet", F.col("row").alias("r0"), F.col("col").alias("c0"), "value", "num", "type"), ["sheet", "r0", "c0"])
+
+
+def _grid(top: DataFrame) -> DataFrame:
     # a merged range may be a whole column: its rows are made in chunks
     rows = _dense_rows(top.withColumnsRenamed({"r0": "min_row", "r1": "max_row"}), ["sheet", "c0", "c1", "value", "num", "type"])
     return rows.withColumn("col", F.explode(F.sequence("c0", "c1"))).select(*CELL_COLUMNS)
 
 
+def cells_in_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Cells beside each of ranges(sheet, r0, c0, r1, c1, ..) that covers them; other columns of both stay.
+
+    A range stands under the dyadic intervals of its rows, a cell asks for its interval on every
+    level in use: equal keys, so only ranges that share the cell's rows are looked at. The key table
+    is written, and where it is small the cells are not shuffled.
+    """
+    spans = stored(ranges.select(
+        F.col("sheet").alias("_s"), *[c for c in ranges.columns if c != "sheet"], F.inline(IV.cover(F.col("r0"), F.col("r1"))).alias("_level", "_at")))
+    levels = spans.agg(F.collect_set("_level").alias("_levels"))  # one row of at most LEVELS numbers
+    asked = cells.join(F.broadcast(levels)).withColumn("_p", F.explode(IV.places(F.col("row"), F.col("_levels")))).drop("_levels")
+    same = (F.col("sheet") == F.col("_s")) & (F.col("_p.level") == F.col("_level")) & (F.col("_p.at") == F.col("_at"))
+    return asked.join(broadcast_if_small(spans), same & F.col("col").between(F.col("c0"), F.col("c1"))).drop("_p", "_s", "_level", "_at")
+
+
 def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Empty cells of a merged range take the top-left content."""
-    fills = merged_cells(cells, merges).select(*KEY, *[F.col(c).alias(f"_{c}") for c in CELL_COLUMNS[3:]])
-    both = cells.join(fills, KEY, "full")
-    take = is_blank(F.col("value")) & F.col("_value").isNotNull()
-    return both.select(
-        *KEY, *[F.when(take, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in CELL_COLUMNS[3:]]
-    )
+    """Empty cells of a merged range take the top-left content.
+
+    Only cells inside merged ranges are brought together with them; a cell outside, or one with
+    a value, is passed on as it is.
+    """
+    merges = stored(merges.select("sheet", "r0", "c0", "r1", "c1"))
+    inside = stored(cells_in_ranges(cells.select(*CELL_COLUMNS), merges))
+    top = stored(_tops(inside.where(~is_blank(F.col("value")) & (F.col("row") == F.col("r0")) & (F.col("col") == F.col("c0"))).select(*CELL_COLUMNS).distinct(), merges))
+    content = [F.col(f"_{c}").alias(c) for c in CELL_COLUMNS[3:]]
+    named = top.select("sheet", "r0", "c0", "r1", "c1", *[F.col(c).alias(f"_{c}") for c in CELL_COLUMNS[3:]])
+    blank = stored(inside.where(is_blank(F.col("value"))).join(broadcast_if_small(named), ["sheet", "r0", "c0", "r1", "c1"]).select(*KEY, *content))
+    as_is = cells.select(*CELL_COLUMNS).where(~is_blank(F.col("value"))).unionByName(
+        cells.select(*CELL_COLUMNS).where(is_blank(F.col("value"))).join(broadcast_if_small(blank.select(*KEY)), KEY, "left_anti"))
+    new = _grid(top).join(inside.select(*KEY).distinct(), KEY, "left_anti")
+    return as_is.unionByName(blank).unionByName(new)
 
 
 def content_bounds(cells: DataFrame, merges: DataFrame | None = None) -> DataFrame:
@@ -471,35 +499,41 @@ def formula_rejects(formulas: DataFrame) -> DataFrame:
 # ---- validation rules ----------------------------------------------------
 
 
-#: Rows of a sheet that share a join key with its rules.
-BLOCK_ROWS = 4096
+#: Rows of a sheet that share a join key with its rules, and rules up to which each cell of the block looks at all of them.
+BLOCK_ROWS, FEW_RULES = 4096, 64
 
 
 def validation_for_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     """First rule, by number, whose range covers the cell.
 
     rules(rule_no, sheet, r0, c0, r1, c1, validation_type, ...). The join key is the sheet
-    and a block of its rows, so a sheet of any length is spread; the rules that touch a
+    and a block of its rows, so a sheet of any length is spread; the few rules that touch a
     block, ranges of an open sheet included, travel as one array beside each of its cells.
+    Cells of a block with more rules find theirs by the dyadic intervals of their rows.
     """
     ends = bounds(cells).select(F.col("sheet").alias("_s"), F.col("max_row").alias("_last"))
     inside = rules.join(broadcast_if_small(ends), F.col("sheet") == F.col("_s")).withColumn("r1", F.least("r1", "_last")).where("r0 <= r1")
+    parts = ["rule_no", "r0", "c0", "r1", "c1", "validation_type"]
     blocks = F.sequence(F.floor(F.col("r0") / BLOCK_ROWS), F.floor(F.col("r1") / BLOCK_ROWS))
-    per_block = inside.withColumn("_block", F.explode(blocks)).groupBy("sheet", "_block").agg(
-        F.sort_array(F.collect_list(F.struct("rule_no", "r0", "c0", "r1", "c1", "validation_type"))).alias("_rules")
-    )
-    joined = cells.withColumn("_block", F.floor(F.col("row") / BLOCK_ROWS)).join(
-        broadcast_if_small(per_block), ["sheet", "_block"], "left").drop("_block")
+    touched = inside.select("sheet", *parts, F.explode(blocks).alias("_block"))
+    counts = touched.groupBy("sheet", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = counts.where(F.col("_n") > FEW_RULES).select("sheet", "_block", F.lit(True).alias("_crowded"))
+    per_block = touched.join(crowded, ["sheet", "_block"], "left_anti").groupBy("sheet", "_block").agg(
+        F.sort_array(F.collect_list(F.struct(*parts))).alias("_rules"))
+    placed = cells.withColumn("_block", F.floor(F.col("row") / BLOCK_ROWS))
+    table = stored(per_block.select("*", F.lit(False).alias("_crowded")).unionByName(
+        crowded.withColumn("_rules", F.array().cast(per_block.schema["_rules"].dataType))))
+    joined = placed.join(broadcast_if_small(table), ["sheet", "_block"], "left")
     first = F.get(
         F.filter("_rules", lambda r: F.col("row").between(r["r0"], r["r1"]) & F.col("col").between(r["c0"], r["c1"])),
         F.lit(0),
     )
-    return (
-        joined.withColumn("_hit", first)
-        .withColumn("rule_no", F.col("_hit.rule_no"))
-        .withColumn("validation_type", F.col("_hit.validation_type"))
-        .drop("_rules", "_hit")
-    )
+    columns = [F.col(c) for c in cells.columns]
+    few = joined.where(~F.coalesce("_crowded", F.lit(False))).withColumn("_hit", first).select(*columns, "_hit.rule_no", "_hit.validation_type")
+    many = joined.where("_crowded").select(*columns)
+    asked = touched.join(crowded, ["sheet", "_block"], "left_semi").select("sheet", *parts).distinct()
+    hits = cells_in_ranges(many.select(*KEY).distinct(), asked).groupBy(*KEY).agg(F.min(F.struct("rule_no", "validation_type")).alias("_hit"))
+    return few.unionByName(many.join(hits, KEY, "left").select(*columns, "_hit.rule_no", "_hit.validation_type"))
 
 
 def rule_values(rules: DataFrame, cells: DataFrame) -> DataFrame:
@@ -526,11 +560,7 @@ def rule_values(rules: DataFrame, cells: DataFrame) -> DataFrame:
         a1.ref_row(F.split_part(ref, F.lit(":"), F.lit(-1))).alias("r1"),
         a1.ref_col(F.split_part(ref, F.lit(":"), F.lit(-1))).alias("c1"),
     )
-    inside = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
-    found = (
-        cells.where(F.col("value").isNotNull()).select("sheet", "row", "col", "value")
-        .join(broadcast_if_small(ranged.withColumnRenamed("sheet", "_s")), (F.col("sheet") == F.col("_s")) & inside)
-    )
+    found = cells_in_ranges(cells.where(F.col("value").isNotNull()).select("sheet", "row", "col", "value"), ranged)
     hits = found.select("rule_no", F.col("row").alias("pos_row"), F.col("col").alias("pos_col"), "value")
     none = ranged.join(hits.select("rule_no").distinct(), "rule_no", "left_anti").select(
         "rule_no", F.lit(0).cast("long").alias("pos_row"), F.lit(0).cast("long").alias("pos_col"),
