@@ -418,13 +418,15 @@ def landscape_suggestion(images: DataFrame, explicit: DataFrame | None = None) -
 def read_back_misses(tokens: DataFrame, outputs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct tokens(doc_id, slide, token) that the output text does not contain.
 
-    All blanks are ignored; an empty token always passes.
+    All blanks are ignored; an empty token always passes. A document's tokens come
+    together as one row, so its text is moved and flattened once.
     """
-    want = tokens.select("doc_id", "slide", "token").distinct()
-    got = outputs.select("doc_id", X.remove_whitespace(F.col(text)).alias("_flat"))
-    joined = want.join(got, "doc_id", "left")
-    return joined.where(~F.coalesce(F.contains(F.col("_flat"), X.remove_whitespace(F.col("token"))), F.lit(False))
-                        & (X.remove_whitespace(F.col("token")) != "")).select("doc_id", "slide", "token")
+    flat = X.remove_whitespace
+    want = tokens.select("doc_id", "slide", "token").distinct().groupBy("doc_id").agg(
+        F.collect_list(F.struct("slide", "token", flat(F.col("token")).alias("flat"))).alias("_want"))
+    got = outputs.select("doc_id", flat(F.col(text)).alias("_flat"))
+    missed = F.filter("_want", lambda t: ~F.coalesce(F.contains(F.col("_flat"), t["flat"]), F.lit(False)) & (t["flat"] != ""))
+    return want.join(got, "doc_id", "left").select("doc_id", F.inline(missed)).select("doc_id", "slide", "token")
 
 
 _HEX = re.compile(r"#(?:[0-9A-Fa-f]{3,4}|[0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})")

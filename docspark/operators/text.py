@@ -43,15 +43,18 @@ def repeated_edge_text(blocks: DataFrame, pages: DataFrame, threshold: float = 0
         "doc_id", "page_no", text.alias("text"),
         F.when(top, F.lit("header")).when(bottom, F.lit("footer")).alias("band"),
     ).where(F.col("band").isNotNull() & (F.col("text") != ""))
-    # per page first: a document of any length is counted in two small steps
-    counted = edge.groupBy("doc_id", "page_no", "band", "text").agg(F.count(F.lit(1)).alias("n"))
-    joined = counted.join(broadcast_if_small(n_pages), "doc_id").where(F.col("n_pages") >= MIN_PAGES)
+    edge = edge.withColumn("_h", F.xxhash64("text"))
     n, p = F.col("n_pages"), F.col("page_no")
-    scanned = joined if sample is None else joined.where((n <= sample) | (p < sample // 2) | (p >= n - sample // 2))
-    hits = scanned.groupBy("doc_id", "band", "text").agg(F.sum("n").alias("hits"), F.first("n_pages").alias("n_pages"))
-    total = F.col("n_pages") if sample is None else F.least(F.col("n_pages"), F.lit(sample))
-    return hits.where(F.col("hits") / total > threshold).select(
-        "doc_id", "band", "text", "hits", total.alias("scanned_pages"))
+    if sample is not None:
+        edge = edge.join(broadcast_if_small(n_pages), "doc_id").where((n <= sample) | (p < sample // 2) | (p >= n - sample // 2)).drop("n_pages")
+    total = n if sample is None else F.least(n, F.lit(sample))
+    enough = (n >= MIN_PAGES) & (F.col("hits") / total > threshold)
+    # hashes are counted first: equal ones only add up to more, so no repeated text is lost, and few are left to count as texts
+    likely = edge.groupBy("doc_id", "band", "_h").agg(F.count(F.lit(1)).alias("hits"))
+    likely = likely.join(broadcast_if_small(n_pages), "doc_id").where(enough).select("doc_id", "band", "_h", "n_pages")
+    hits = edge.select("doc_id", "band", "text", "_h").join(likely, ["doc_id", "band", "_h"]).groupBy("doc_id", "band", "text").agg(
+        F.count(F.lit(1)).alias("hits"), F.first("n_pages").alias("n_pages"))
+    return hits.where(enough).select("doc_id", "band", "text", "hits", total.alias("scanned_pages"))
 
 
 def remove_noise(lines: DataFrame, noise: DataFrame, text: str = "text") -> DataFrame:
