@@ -641,6 +641,25 @@ def cross_tab(
     return wide.na.fill(0.0)
 
 
+def cross_tab_map(df: DataFrame, rows: list[str], column: str, value: str, agg_func: str = "sum") -> DataFrame:
+    """Row fields beside ``values``, a map from every value of one column (as text) to its number; empty groups give 0.
+
+    The values are found by the query itself: each row's map is filled up from the one set of all of
+    them, which is as large as a row. A NULL value has the key ``null``.
+    """
+    agg = AGGREGATES.get(agg_func.lower())
+    if agg is None:
+        raise ValueError(f"Invalid aggregation function. Must be one of: {', '.join(sorted(AGGREGATES))}")
+    row_fields = [_field(df, f) for f in rows]
+    key = F.coalesce(F.col(_field(df, column)).cast("string"), F.lit("null")).alias("_key")
+    groups = df.select(*row_fields, key, F.col(_field(df, value)).alias("_value")).groupBy(*row_fields, "_key").agg(
+        agg("_value").cast("double").alias("_value"))
+    own = groups.groupBy(*row_fields).agg(map_of("_key", F.col("_value")).alias("_own"))
+    keys = groups.agg(F.sort_array(F.collect_set("_key")).alias("_keys"))  # one row
+    full = F.transform("_keys", lambda k: F.coalesce(F.element_at(F.col("_own"), k), F.lit(0.0)))
+    return own.join(F.broadcast(keys)).select(*row_fields, F.map_from_arrays("_keys", full).alias("values"))
+
+
 CHART_TYPES = ["line", "bar", "pie", "scatter", "area"]
 
 

@@ -465,6 +465,18 @@ def _(spark, d):
     return C.cross_tab(table(spark, d, "lineitem"), ["l_linestatus"], "l_returnflag", "l_quantity", "sum", ["A", "N", "R"])
 
 
+@query(
+    "c17_cross_tab_found_values",
+    """WITH g AS (SELECT l_linestatus, l_shipmode AS k, round(sum(l_quantity), 2) AS v FROM (SELECT *, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE 'S' || l_orderkey % 7 || l_returnflag END AS l_shipmode FROM lineitem) GROUP BY ALL),
+         a AS (SELECT l_linestatus, coalesce(k, 'null') AS k, v FROM g), f AS (SELECT l_linestatus, k FROM (SELECT DISTINCT l_linestatus FROM a), (SELECT DISTINCT k FROM a))
+       SELECT f.l_linestatus, f.k, coalesce(v, 0) AS v FROM f LEFT JOIN a ON a.l_linestatus = f.l_linestatus AND a.k = f.k""",
+)
+def _(spark, d):
+    kind = F.when(F.col("l_orderkey") % 7 != 0, F.concat(F.lit("S"), F.col("l_orderkey") % 7, "l_returnflag"))
+    wide = C.cross_tab_map(table(spark, d, "lineitem").withColumn("kind", kind), ["l_linestatus"], "kind", "l_quantity")
+    return wide.select("l_linestatus", F.explode("values").alias("k", "v")).withColumn("v", F.round("v", 2))
+
+
 _MONTHLY = """SELECT strftime(o_orderdate, '%Y-%m') AS m, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS f,
    round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS o FROM orders GROUP BY 1"""
 

@@ -238,3 +238,68 @@ def _(spark, d):
         .agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_totalprice").alias("top_price"))
     )
     return S.create_table_as(summary, shared_dir(spark))
+
+
+# ---- recursion of any depth ----------------------------------------------
+
+
+@query(
+    "b07_recursive_chain",
+    """WITH RECURSIVE hop AS (SELECT max(p_partkey) // 110 + 1 AS w FROM part), walk(k, depth, total) AS (
+         SELECT p_partkey, 1, CAST(p_size AS BIGINT) FROM part, hop WHERE p_partkey <= w
+         UNION SELECT p.p_partkey, depth + 1, (total + p.p_size) % 1000 FROM walk, hop, part p WHERE p.p_partkey = k + w)
+       SELECT k AS p_partkey, depth, total FROM walk""",
+)
+def _(spark, d):
+    """Chains of parts about 110 steps deep, whatever the scale: beyond the depth that Spark's own recursion allows."""
+    part = table(spark, d, "part").select("p_partkey", "p_size")
+    hop = S.stored(part.selectExpr("max(p_partkey) div 110 + 1 AS w"))
+    return S.run_recursive_sql(
+        spark, {"part": part, "hop": hop}, "walk",
+        "SELECT p_partkey AS k, 1 AS depth, CAST(p_size AS BIGINT) AS total FROM part, hop WHERE p_partkey <= w",
+        "SELECT p.p_partkey, depth + 1, (total + p.p_size) % 1000 FROM walk, hop, part p WHERE p.p_partkey = k + w",
+        "SELECT k AS p_partkey, depth, total FROM walk",
+    )
+
+
+# ---- row changes of a stored table ---------------------------------------
+
+
+def _stored_customers(spark, d):
+    path = f"{shared_dir(spark)}/customers"
+    table(spark, d, "customer").write.partitionBy("c_mktsegment").parquet(path)
+    return path
+
+
+_KEPT = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
+
+
+@query("b09_insert_stored", f"{_KEPT} UNION ALL SELECT s_suppkey + 1000000000, s_name, s_nationkey, s_acctbal, 'SUPPLY' FROM supplier")
+def _(spark, d):
+    path = _stored_customers(spark, d)
+    S.insert_stored(spark, path, ["c_mktsegment"], _new_customers(spark, d))
+    return spark.read.schema(table(spark, d, "customer").schema).parquet(path)
+
+
+@query(
+    "b10_update_stored",
+    """SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal, c_mktsegment,
+         (SELECT count(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal < 0) AS changes FROM customer""",
+)
+def _(spark, d):
+    path = _stored_customers(spark, d)
+    where = F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_acctbal") < 0)
+    changes = S.update_stored(spark, path, ["c_mktsegment"], where, {"c_acctbal": F.lit(0.0)})
+    return spark.read.schema(table(spark, d, "customer").schema).parquet(path).join(F.broadcast(changes))
+
+
+@query(
+    "b11_delete_stored",
+    """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY' OR c_mktsegment = 'BUILDING' AND c_acctbal < 0) AS changes
+       FROM customer WHERE NOT (c_mktsegment = 'MACHINERY' OR c_mktsegment = 'BUILDING' AND c_acctbal < 0)""",
+)
+def _(spark, d):
+    path = _stored_customers(spark, d)
+    where = (F.col("c_mktsegment") == "MACHINERY") | ((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") < 0))
+    changes = S.delete_stored(spark, path, ["c_mktsegment"], where)
+    return spark.read.schema(table(spark, d, "customer").schema).parquet(path).join(F.broadcast(changes))
