@@ -67,3 +67,22 @@ def test_cross_tab_finds_its_values(spark):
     assert got == {"a": {"null": 5.0, "x": 3.0, "y": 0.0, "z": 0.0}, "b": {"null": 0.0, "x": 4.0, "y": 0.0, "z": 0.0},
                    None: {"null": 0.0, "x": 0.0, "y": 0.0, "z": 1.0}}
     assert C.cross_tab_map(df.limit(0), ["g"], "k", "v").count() == 0
+
+
+def test_charsets_are_read_in_the_jvm(spark):
+    from docspark.sources import decode
+
+    texts = {"shift_jis": "日本語", "euc_kr": "한국어", "windows-1251": "привет", "iso-8859-2": "žluťoučký", "big5": "繁體中文", "koi8-r": "мир", "utf-16": "wide é", "x-unknown": "plain"}
+    rows = [(n, t, t.encode("utf-8" if n == "x-unknown" else n), f'text/html; charset="{n}"') for n, t in texts.items()]
+    rows += [("page", "中", "中".encode("gbk") + b'<meta charset="GBK">', "charset=nope"), ("late", "é", "é".encode("cp1252"), None), ("bad", None, b"\x81\x81\x81 \xff", "charset=gbk")]
+    df = spark.createDataFrame(rows, "n string, t string, raw binary, head string")
+    got = {r.n: r.r for r in df.select("n", decode.decode_bytes(F.col("raw"), F.col("head"), guesses=("utf-8", "cp1252")).alias("r")).collect()}
+    for n, t in texts.items():
+        assert got[n].text == t, n
+    assert got["shift_jis"].encoding == "shift_jis" and got["x-unknown"].encoding == "utf-8" and got["iso-8859-2"].encoding == "iso8859-2"
+    assert got["page"].text.startswith("中<meta") and got["page"].encoding == "gbk" and got["late"] == ("é", "cp1252")
+    assert got["bad"].encoding == "utf-8/replace"
+    back = df.where("n in ('shift_jis', 'late')").select("t", decode.encode_text(F.col("t"), "shift_jis").alias("b")).collect()
+    assert {r.t: r.b for r in back} == {"日本語": bytearray("日本語".encode("shift_jis")), "é": None}
+    plan = df.select(decode.decode_bytes(F.col("raw"), F.col("head")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
