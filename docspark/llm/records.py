@@ -106,8 +106,8 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_c
     return written(ranged.mapInArrow(run, MANIFEST))
 
 
-def read_records(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
-    """``id, start, n_tokens, ids_crc32, ids`` of every record, from the files of the manifest.
+def read_records(manifest: DataFrame, folder: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """``id, start, n_tokens, ids_crc32`` and, ``with_ids``, ``ids`` of every record, from the files of the manifest.
 
     ``start`` counts the ids of all documents before; of the shards only their totals are
     added up, one row each. Every checksum is tested. A file is read in parts along its index.
@@ -115,7 +115,7 @@ def read_records(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Da
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = manifest.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     shards = manifest.sparkSession.sparkContext.defaultParallelism
-    schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long, ids array<int>"
+    schema = f"{id_col} long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -138,15 +138,15 @@ def read_records(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> Da
                             rows.append((key if has else None, base, n, zlib.crc32(ids.tobytes()), ids))
                             base += n
                         keys, starts, sizes, sums, lists = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
-                            arrays.list_column(pa.array(np.concatenate(lists).astype(np.int32)), np.array(sizes)),
-                        ], names=[id_col, "start", "n_tokens", "ids_crc32", "ids"])
+                        columns = {id_col: pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
+                        if with_ids:
+                            columns["ids"] = arrays.list_column(pa.array(np.concatenate(lists).astype(np.int32)), np.array(sizes))
+                        yield pa.RecordBatch.from_pydict(columns)
 
     return based.repartition(shards).mapInArrow(run, schema)
 
 
-def roundtrip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def roundtrip(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Writes the records below the shared folder and reads them back."""
     folder = f"{shared_dir(docs.sparkSession)}/records"
-    return read_records(write_records(docs, path, folder, end_id, id_col, text_col), folder, id_col)
+    return read_records(write_records(docs, path, folder, end_id, id_col, text_col), folder, id_col, with_ids)

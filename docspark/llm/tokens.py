@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, each distinct piece encoded once per task.
 
 A text is cut before a blank or line feed that follows a visible ASCII character or a
-two-byte letter, and before an ASCII sign that follows a letter. Both vocabularies split there in any case, so the ids of a text are
-those of its pieces, one after the other. A hash of the piece finds ids already made.
+two-byte letter, and before an ASCII sign that follows a letter. Both vocabularies split there in any case
+(but for a letter whose lower case ends in a mark, which is left out), so the ids of a text are those of its
+pieces, one after the other. A hash of the piece finds ids already made. Texts that hold a special token of the
+vocabulary are encoded whole, as the library does it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Pieces remembered by a task before it starts anew; bounds memory, never results.
 REMEMBERED = 1_500_000
+#: Pieces encoded as one text.
+JOINED = 500
 
 
 _ALPHA = arrays.separators((0x41, 0x5A), (0x61, 0x7A))
@@ -31,7 +35,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        #: A special token that splits texts and changes nothing beside it: many pieces are encoded as one text with it between them.
+        self.between = next((i for i, t in self.tokenizer.get_added_tokens_decoder().items()
+                             if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.remembered = remembered
         self._forget()
 
@@ -46,10 +53,19 @@ class Encoder:
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, one after the other, and how many each has."""
+        if self.between is None:
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
+        mark = self.added[self.between]
+        joined = [mark.join([*texts[i : i + JOINED], ""]) for i in range(0, len(texts), JOINED)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.between)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        made = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), np.int64, len(made))
-        new = np.fromiter((i for ids in made for i in ids), np.uint32, int(sizes.sum()))
+        new, sizes = self._ids(texts)
         if self.used + len(new) > len(self.pool):
             self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(self.pool), 2 * len(new)), np.uint32)])
         self.pool[self.used : self.used + len(new)] = new
@@ -61,6 +77,28 @@ class Encoder:
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
+        data, whole = raw.tobytes(), np.zeros(len(offsets) - 1, bool)
+        for content in self.added.values():
+            at = data.find(content.encode())
+            while at >= 0:
+                whole[np.searchsorted(offsets, at, side="right") - 1] = True
+                at = data.find(content.encode(), at + 1)
+        if not whole.any():
+            return self._encode(raw, offsets)
+        sizes = np.diff(offsets)
+        plain = ~whole
+        ids, counts = self._encode(raw[arrays.ragged(offsets[:-1][plain], sizes[plain])], np.concatenate([[0], np.cumsum(sizes[plain])]))
+        texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1][whole].tolist(), offsets[1:][whole].tolist(), strict=True)]
+        made = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        total = np.zeros(len(whole), np.int64)
+        total[plain], total[whole] = counts, [len(m) for m in made]
+        first = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), np.uint32)
+        out[arrays.ragged(first[plain], counts)] = ids
+        out[arrays.ragged(first[whole], total[whole])] = np.concatenate(made)
+        return out, total
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = len(offsets) - 1
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(texts, np.int64)
@@ -68,6 +106,7 @@ class Encoder:
         before2 = np.concatenate([[0], before[:-1]])
         plain = (before > 0x20) & (before < 0x7F)
         letter = (before >= 0x80) & (before < 0xC0) & (before2 >= 0xC3) & (before2 <= 0xC9) & ~((before2 == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+        letter &= ~((before2 == 0xC4) & (before == 0xB0))  # its lower case ends in a mark
         cut = ((raw == 0x20) | (raw == 0x0A)) & (plain | letter)
         cut |= _SIGN[raw] & (_ALPHA[before] | letter)
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True

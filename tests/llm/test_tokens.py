@@ -26,10 +26,23 @@ def test_pieces_give_the_ids_of_whole_texts(spark, name):
         ids, n = encoder.encode(*arrays.flat(part.column(0)))
         got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
     whole = Tokenizer.from_file(tokenizer(name))
-    whole.encode_special_tokens = True
     assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_strings_give_the_ids_of_the_library(name):
+    rng = random.Random(11)
+    signs = [*"aIiZsd.,'%(-_<|>! \n\t\r0729", "İ", "ı", "é", "É", "ñ", "ß", "×", "÷", "ſ", "ǅ", "Σ", "ς", "日", "語", "\u0307", "\u0301", "🙂", "“", "\u00a0", "\u3000",
+             "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "I\u0307", "K", "ﬁ"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(0, 14))) for _ in range(100_000)]
+    encoder, got = tokens.Encoder(tokenizer(name)), []
+    for part in arrays.pieces_of(iter([pa.record_batch([pa.array(texts)], ["text"])]), "text", 200_000):
+        ids, n = encoder.encode(*arrays.flat(part.column(0)))
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    want = [e.ids for e in Tokenizer.from_file(tokenizer(name)).encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_cut():
     assert packing.cut(2048, 2048) == [(0, 2048)] and packing.cut(1, 2048) == [(0, 1)]
     assert packing.cut(2049, 2048) == [(0, 1), (1, 2048)] and packing.cut(4096, 2048) == [(0, 2048), (2048, 2048)]
