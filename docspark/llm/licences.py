@@ -73,8 +73,9 @@ def _anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
 
 def declared(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: tuple = TEMPLATES, threshold: float = THRESHOLD,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per document: id, ``text_hash``, ``license`` and ``cosine`` of its best line (NULL below the threshold).
+    """Per row: id, the columns to ``keep``, ``text_hash``, ``license`` and ``cosine`` of its best line (NULL below the threshold).
 
     Every line of the whole text is a unit. Weights are counts times ``ln((lines + 1) / (df + 1)) + 1``,
     df over all lines of all documents; a word of no template counts as unseen. Only the frequencies of
@@ -84,7 +85,8 @@ def declared(
     check_columns(docs, id_col, text_col)
     spark = docs.sparkSession
     vocabulary = sorted({t for _, text in templates for t in _python_terms(text)})
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).alias("_id"), *kept, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     lines = rows.select("_id", "_text", F.posexplode(F.split("_t", "\n")).alias("_no", "_line")).select("_id", "_text", "_no", terms_of(F.col("_line")).alias("_w"))
     words = F.array(*[F.lit(t) for t in vocabulary])
     # the empty word stands for the line itself
@@ -113,9 +115,9 @@ def declared(
     ]))
     found = scored.select("_id", "_text", best.alias("b")).where(F.col("b.cosine") >= threshold).groupBy("_id", "_text").agg(F.max("b").alias("b"))
     found = written(found.select(F.col("_id").alias("_fid"), F.col("_text").alias("_ft"), "b.license", "b.cosine"))
-    return rows.select("_id", "_text").join(
+    return rows.drop("_t").join(
         small(found), F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ft")), "left"
-    ).select(F.col("_id").alias(id_col), F.col("_text").alias("text_hash"), "license", "cosine")
+    ).select(F.col("_id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("_text").alias("text_hash"), "license", "cosine")
 
 
 def folder_of(path: Column) -> Column:

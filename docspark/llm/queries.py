@@ -211,8 +211,7 @@ def file_paths(docs: DataFrame) -> DataFrame:
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents as files of a tree."""
     files = file_paths(table(spark, sf_dir, "documents"))
-    own = licences.declared(files).select(F.col("doc_id").alias("_i"), "license", "cosine")
-    named = files.drop("text").join(own, F.col("doc_id") == F.col("_i")).drop("_i")
+    named = licences.declared(files, keep=("path", "is_license_file"))
     return licences.inherit(named).select("doc_id", "path", "license", "cosine", "effective", "inherited_from")
 
 

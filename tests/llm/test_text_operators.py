@@ -91,6 +91,14 @@ def test_licences(spark):
     assert L.declared(files.limit(0)).count() == 0
 
 
+def test_licences_of_repeated_and_missing_ids(spark):
+    rows = [(7, "a/LICENSE", True, "Released under the MIT License."), (7, "a/x", False, "text"), (7, "b/y", False, "text"), (None, "a/z", False, None), (None, None, False, "Released under the MIT License."), (7, "a/x", False, "text")]
+    files = spark.createDataFrame(rows, "doc_id long, path string, is_license_file boolean, text string")
+    got = L.inherit(L.declared(files, keep=("path", "is_license_file")))
+    assert sorted(((r.doc_id, r.path, r.effective) for r in got.collect()), key=str) == sorted(
+        [(7, "a/LICENSE", "MIT"), (7, "a/x", "MIT"), (7, "b/y", None), (None, "a/z", "MIT"), (None, None, "MIT"), (7, "a/x", "MIT")], key=str)
+
+
 def test_url_keys(spark):
     rows = [("https://u:p@WWW.Ex.Example.org:80/a/b/?q=/x#f",), ("http://h",), ("/relative/a",), ("",), (None,), ("https://h.org./",)]
     got = spark.createDataFrame(rows, "url string").select(U.url_keys(U.F.col("url")).alias("k")).collect()
