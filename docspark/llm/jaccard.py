@@ -19,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Shingle hashes are counted in so many buckets (leading bits); one table of this size orders all shingles.
 BUCKET_BITS, RANGE = 18, 256
+#: Text worked on at once: a byte of it stands for many in the arrays made from it.
+BLOCK_BYTES = 1_000_000
 
 
 @contextmanager
@@ -45,7 +47,7 @@ def bucket_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many (text, shingle) pairs fall into each bucket, over all texts; a table of fixed size."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in arrays.pieces_of(batches, "_text"):
+        for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             found, _ = shingles(batch, "_text", words)
             total += np.bincount((found >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
         parts = total.reshape(-1, RANGE)
@@ -74,7 +76,7 @@ def _sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     counts = bucket_counts(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.pieces_of(batches, "_text"):
+        for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             found, each = shingles(batch, "_text", words)
             first = np.cumsum(each) - each
             full = each > 0
@@ -101,7 +103,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     ids = written(pairs.select(F.col("a").alias("_i")).union(pairs.select("b")).distinct())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.pieces_of(batches, "_text"):
+        for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             found, each = shingles(batch, "_text", words)
             ends = np.cumsum(each).tolist()
             blobs = [found[e - n : e].tobytes() for e, n in zip(ends, each.tolist(), strict=True)]
@@ -141,21 +143,26 @@ def _sizes(num: int, den: int) -> Column:
     return den * F.least("zn", "yn") >= num * F.greatest("zn", "yn")
 
 
-def _pairs(met: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` from all list entries two sets have in common.
+def _first(num: int, den: int) -> Column:
+    """Whether a common list entry may be the first common prefix shingle of two linked sets: enough must follow it in both."""
+    n1, n2 = F.col("zn"), F.col("yn")
+    return F.least(n1 - F.col("zpos"), n2 - F.col("ypos")) >= _least(n1, n2, num, den)
 
-    The first common prefix shingle must leave enough behind it in both sets, and the common
-    prefix shingles with all that can follow behind a prefix must reach the smallest overlap.
-    Sizes are keys, since rows that share an id can have sets of several sizes.
+
+def _pairs(met: DataFrame, prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the pairs met in an entry that may be their first common one, and whose prefixes have enough in common.
+
+    Two linked sets always meet in such an entry, so no other entry of their lists is joined. The common
+    prefix shingles, counted from both prefixes, with all that can follow behind a prefix must reach the
+    smallest overlap. Sizes are keys, since rows that share an id can have sets of several sizes.
     """
-    n1, k1, n2, k2 = (F.col(c) for c in ("zn", "zk", "yn", "yk"))
-    least = _least(n1, n2, num, den)
-    found = met.groupBy(F.col("zid").alias("a"), F.col("yid").alias("b"), "zn", "zk", "yn", "yk").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("zpos").alias("zpos"), F.min("ypos").alias("ypos")
-    )
-    return found.where(
-        (F.least(n1 - F.col("zpos"), n2 - F.col("ypos")) >= least) & (F.col("shared") + F.greatest(n1 - k1, n2 - k2) >= least)
-    ).select("a", "b")
+    pairs = met.select("zid", "zn", "yid", "yn").distinct()
+    for side in "zy":
+        pairs = pairs.join(prefixes.select(F.col("id").alias(f"{side}id"), F.col("n").alias(f"{side}n"), F.col("prefix").alias(f"{side}prefix")), [f"{side}id", f"{side}n"])
+    left = [F.col(f"{s}n") - F.size(f"{s}prefix") for s in "zy"]
+    shared = F.size(F.array_intersect("zprefix", "yprefix"))
+    return pairs.where(shared + F.greatest(*left) >= _least(F.col("zn"), F.col("yn"), num, den)).select(
+        F.col("zid").alias("a"), F.col("yid").alias("b")).distinct()
 
 
 def near_groups(
@@ -186,9 +193,8 @@ def near_groups(
     )
     known = texts.where("_id IS NOT NULL")
     joined = sets.where("_id IS NOT NULL").join(small(classes), ["d1", "d2", "n"])
-    lists = joined.where("_id = rep").dropDuplicates(["rep", "d1", "d2"]).select(
-        F.col("rep").alias("id"), "n", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "token")
-    )
+    prefixes = written(joined.where("_id = rep").dropDuplicates(["rep", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "prefix"))
+    lists = prefixes.select("id", "n", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "token"))
     shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1").select("token", "head")
     lists = written(lists.join(small(written(shared)), "token"))
 
@@ -216,7 +222,10 @@ def near_groups(
     discard(placed)
     z = entries.select("token", *[F.col(c).alias(f"z{c}") for c in ("id", "n", "k", "pos", "comp", "alone")])
     y = entries.select("token", *[F.col(c).alias(f"y{c}") for c in ("id", "n", "k", "pos", "comp", "leader", "dist", "alone")])
-    direct = _pairs(z.where("zalone").join(y.where("yalone"), "token").where("zid > yid").where(_sizes(num, den)), num, den)
+    may = _first(num, den) & _sizes(num, den)
+    direct = _pairs(
+        z.where("zalone").join(y.where("yalone").withColumnRenamed("token", "_t"), (F.col("token") == F.col("_t")) & (F.col("zid") > F.col("yid")) & may),
+        prefixes, num, den)
     second = linked(overlaps(known, direct, words))
 
     # a set and a group: the leader decides first
@@ -227,10 +236,13 @@ def near_groups(
     tested = overlaps(known, via, words).withColumn("far", far)
     third = linked(tested)
     rest = tested.join(third.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("zid"), F.col("b").alias("yleader"), "far")
+    asked = z.join(small(written(rest)), "zid").withColumnsRenamed({"token": "_t", "yleader": "_l"})
     members = _pairs(
-        z.join(small(written(rest)), "zid").join(y.where("NOT yalone"), ["token", "yleader"])
-        .where(other & (F.col("yid") != F.col("yleader")) & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9)).where(_sizes(num, den)),
-        num, den,
+        asked.join(
+            y.where("NOT yalone"),
+            (F.col("token") == F.col("_t")) & (F.col("yleader") == F.col("_l")) & other & (F.col("yid") != F.col("yleader"))
+            & (F.col("far") - F.col("ydist") <= 1 - num / den + 1e-9) & may),
+        prefixes, num, den,
     )
     fourth = linked(overlaps(known, members, words))
 
@@ -238,7 +250,7 @@ def near_groups(
     for more in (second, third, fourth):
         links = links.unionByName(more.select("a", "b"))
     final = written(components(links.unionByName(joined.where("_id <> rep").select(F.col("_id").alias("a"), F.col("rep").alias("b")))))
-    discard(classes, lists, leaders, roots, entries, open_lists)
+    discard(classes, prefixes, lists, leaders, roots, entries, open_lists)
     return sets.join(small(final), F.col("_id") == F.col("id"), "left").select(
         F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("root", "_id").alias("component_id"),
