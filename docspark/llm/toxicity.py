@@ -44,6 +44,9 @@ _DISGUISE = re.compile(r"(?:(?<=[^\W\d_])[0134578 9]+(?=[^\W\d_])|[0-9@$!|€£]
 _PLAIN = str.maketrans(DIGITS | SIGNS)
 _TO_BLANK = str.maketrans({chr(c): " " for c in (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0xC0))})
 
+#: Text worked on at once, and entries that a task counts before it sends them on.
+BLOCK_BYTES, HELD_ENTRIES = 1_000_000, 300_000
+
 
 def fold(text: str) -> str:
     """Lower case, look-alike letters as Latin ones, digits and signs inside words as letters, other signs as blanks.
@@ -111,7 +114,7 @@ def _measured(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(lexicon, exceptions)
-        for batch in arrays.pieces_of(batches, text_col):
+        for batch in arrays.pieces_of(batches, text_col, BLOCK_BYTES):
             rows = [matcher.measure(t or "") for t in batch.column(text_col).to_pylist()]
             weight, hits, words = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
@@ -142,7 +145,7 @@ def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
     Of near copies one counts: texts with the same smallest hash of three-word shingles are one.
     """
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.pieces_of(batches, "_text"):
+        for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             raw, offsets = arrays.flat(batch.column("_text"))
             starts, ends, counts = arrays.spans(arrays.LOWER[raw], offsets, arrays.BLANKS)
             grams, each = arrays.grams(arrays.hashes(arrays.LOWER[raw], starts, ends), counts, 3)
@@ -171,7 +174,7 @@ def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
                     entries.add(f" {word} ")
                     entries.update(f" {word[:n]}" for n in range(shortest, min(longest, len(word)) + 1))
                 seen[toxic].update(entries)
-                if len(seen[0]) + len(seen[1]) > 1_000_000:
+                if len(seen[0]) + len(seen[1]) > HELD_ENTRIES:
                     yield out()
                     seen = (Counter(), Counter())
         yield out()
