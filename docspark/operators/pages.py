@@ -71,11 +71,10 @@ def page_text(nodes: Column) -> Column:
 DATE_KEYS = ["article:published_time", "og:published_time", "pubdate", "publishdate", "date"]
 DESCRIPTION_KEYS = ["description", "og:description", "twitter:description"]
 AUTHOR_KEYS = ["author", "article:author"]
-_DAY = r"(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)"
 DATE_PATTERNS = [
-    rf"发布[时日]间[：:]\s*{_DAY}",
-    rf"日期[：:]\s*{_DAY}",
-    rf"{_DAY}\s*(?:发布|来源)",
+    r"发布[时日]间[：:]\s*(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)",
+    r"日期[：:]\s*(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)",
+    r"(\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?)\s*(?:发布|来源)",
     r"时间[：:]\s*(\d{4}[-/]\d{1,2}[-/]\d{1,2})",
 ]
 AUTHOR_PATTERNS = [r"来源[：:]\s*([^\s<]+)", r"发布(?:单位|机构)[：:]\s*([^\s<]+)"]
