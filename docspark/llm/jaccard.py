@@ -172,8 +172,8 @@ def near_groups(
 
     Texts link when ``den * intersection >= num * union`` of their sets of ``words``-word
     shingles (lower-case A-Z; a text of fewer words is one shingle). Equal sets are one class,
-    of which the smallest id stands for all. Of every index list the first set is proposed as
-    leader of the others; each set is tested against the leader it met most often, and linked
+    of which the smallest id stands for all. Of every index list the set with the fewest rarer shingles before
+    the entry is proposed as leader of the others; each set is tested against the leader it met most often, and linked
     sets form groups. What is left to decide lies between groups: sets without a group are
     paired directly; a set and a group are first decided by the leader, whose tested distance
     to its members (Jaccard distance is a metric) gives the members that can still link, and
@@ -195,7 +195,8 @@ def near_groups(
     joined = sets.where("_id IS NOT NULL").join(small(classes), ["d1", "d2", "n"])
     prefixes = written(joined.where("_id = rep").dropDuplicates(["rep", "d1", "d2"]).select(F.col("rep").alias("id"), "n", "prefix"))
     lists = prefixes.select("id", "n", F.size("prefix").alias("k"), F.posexplode("prefix").alias("pos", "token"))
-    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("head")).where("c > 1").select("token", "head")
+    # the head of a list has the fewest rarer shingles before the entry: of near copies the one with the fewest changes
+    shared = lists.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("pos", "id")).alias("h")).where("c > 1").select("token", F.col("h.id").alias("head"))
     lists = written(lists.join(small(written(shared)), "token"))
 
     linked = lambda df: df.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common")))
