@@ -10,6 +10,8 @@ from .common import check_columns, lower_ascii, small, written
 #: Everything up to "/", ":" to "`" and "{" to DEL stands between words (after lower-casing A-Z).
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
+#: Words whose places are looked up from one row; a longer text is cut, each part with the words that its last places need.
+CHUNK = 256
 
 
 def words_of(text: Column) -> Column:
@@ -37,18 +39,29 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int = W
 
 
 def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
-    """One row per place of a document where a window occurs: keys, ``at``, ``len``, ``items``."""
-    def hashed(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("hash")))
+    """One row per place of a document where a window occurs: keys, ``at``, ``len``, ``items``.
+
+    A place holds its own window of words and no more, so a text costs by its length.
+    """
+    longest = max(lengths)
+
+    def parts(w: Column) -> Column:
+        skips = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(skips, lambda i: F.struct(i.alias("skip"), F.slice(w, i + 1, CHUNK + longest - 1).alias("w")))
+
+    def hashed(skip: Column, w: Column, n: int) -> Column:
+        last = F.least(F.lit(CHUNK), F.size(w) - (n - 1))
+        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            F.transform(starts, lambda i: F.slice(w, i, n)),
+            lambda x, i: F.struct((skip + i + 1).alias("at"), F.lit(n).alias("len"), F.xxhash64(x).alias("hash"), x.alias("held")))
 
     # the words are bound as a lambda's variable, so that they are split once a text
-    all_places = F.flatten(F.transform(F.array("_w"), lambda w: F.concat(*[hashed(w, n) for n in lengths])))
-    places = docs.select(*keys, "_w", F.explode(all_places).alias("p")).select(
-        *keys, "_w", F.col("p.at").alias("at"), F.col("p.len").alias("_n"), F.col("p.hash").alias("hash")
-    )
+    cut = docs.select(*keys, F.explode(F.flatten(F.transform(F.array("_w"), parts))).alias("c"))
+    places = cut.select(*keys, F.explode(F.concat(*[hashed(F.col("c.skip"), F.col("c.w"), n) for n in lengths])).alias("p")).select(
+        *keys, F.col("p.at").alias("at"), F.col("p.len").alias("_n"), F.col("p.hash").alias("hash"), F.col("p.held").alias("_held"))
     # one number is the join key; the words then decide (coalesce keeps them out of the key)
-    same = F.coalesce((F.col("_n") == F.col("len")) & (F.slice("_w", F.col("at"), F.col("_n")) == F.col("words")), F.lit(False))
+    same = F.coalesce((F.col("_n") == F.col("len")) & (F.col("_held") == F.col("words")), F.lit(False))
     return places.join(windows, "hash").where(same).select(*keys, "at", "len", "items")
 
 
@@ -74,8 +87,8 @@ def contamination(
 
     ``contaminated``: some word is hit and ``share * n_hit >= n_words``. The windows are a
     table of their own; they are broadcast only when the files of that table prove them
-    small, else both sides shuffle. Each place of a document is one hash; the documents'
-    words are not shuffled, only places that hit are, and they are joined back by the id
+    small, else both sides shuffle. Each place of a document is one hash and its own words; beside
+    small windows only places that hit are shuffled, and they are joined back by the id
     and a hash of the text, so repeated rows have equal results.
 
     NULL texts and texts without words have no words and no hits; NULL item texts are no
@@ -139,9 +152,10 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     joined = docs.alias("_d").join(
         hit, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_fid")) & (F.xxhash64(text) == F.col("_ft")), "left"
     )
-    inside = lambda i: F.exists("_spans", lambda s: (s["at"] <= i + 1) & (i + 1 < s["at"] + s["len"]))
     # words as written: the gaps of the lower-cased text are those of the text, but for capitals
-    kept = F.array_join(F.filter(words_cased(text), lambda w, i: ~inside(i)), " ")
+    gone = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
+    left = lambda w: F.transform(F.array_except(F.sequence(F.lit(1), F.size(w)), gone), lambda i: F.get(w, i - 1))
+    kept = F.array_join(F.flatten(F.transform(F.array(words_cased(text)), left)), " ")
     return joined.select(*[
         F.when(F.col("_spans").isNotNull(), kept).otherwise(F.col(f"_d.`{c}`")).alias(c) if c == text_col else F.col(f"_d.`{c}`")
         for c in docs.columns
