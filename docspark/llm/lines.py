@@ -191,7 +191,8 @@ def drop_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
     hit = found.where("n_dropped > 0").select(F.col(id_col).alias("_fid"), F.col("text_hash").alias("_ft"), F.col("dropped").alias("_dropped")).distinct()
     text = F.coalesce(F.col(f"_d.`{text_col}`"), F.lit(""))
     joined = docs.alias("_d").join(hit, F.col(f"_d.`{id_col}`").eqNullSafe(F.col("_fid")) & (F.xxhash64(text) == F.col("_ft")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains(F.col("_dropped"), i)), "\n")
+    left = lambda t: F.transform(F.array_except(F.sequence(F.lit(0), F.size(t) - 1), "_dropped"), lambda i: F.get(t, i))
+    kept = F.array_join(F.flatten(F.transform(F.array(F.split(text, "\n")), left)), "\n")
     return joined.select(*[
         F.when(F.col("_dropped").isNotNull(), kept).otherwise(F.col(f"_d.`{c}`")).alias(c) if c == text_col else F.col(f"_d.`{c}`") for c in docs.columns
     ])
