@@ -8,6 +8,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import arrays
-from .common import check_columns
+from .common import check_columns, discard, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -46,6 +47,8 @@ _TO_BLANK = str.maketrans({chr(c): " " for c in (*range(0x30), *range(0x3A, 0x41
 
 #: Text worked on at once, and entries that a task counts before it sends them on.
 BLOCK_BYTES, HELD_ENTRIES = 1_000_000, 300_000
+#: Orders of shingles whose first ones must all agree before two texts count as near copies.
+ORDERS = (0x0, 0x9E37, 0x79B9, 0x7F4A)
 
 
 def fold(text: str) -> str:
@@ -139,10 +142,11 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold_no: int = 1) -> Column
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold_no, F.lit(False))
 
 
-def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """How many toxic and clean sample texts hold a whole word, or a word that begins with a stem.
+def _unlike(sample: DataFrame) -> DataFrame:
+    """``_text, _toxic`` of the sample, of near copies one.
 
-    Of near copies one counts: texts with the same smallest hash of three-word shingles are one.
+    Texts of one label are near copies when their first three-word shingles are the same in each of several
+    orders; one passage in common is not enough for that.
     """
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
@@ -151,12 +155,18 @@ def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
             grams, each = arrays.grams(arrays.hashes(arrays.LOWER[raw], starts, ends), counts, 3)
             full = each > 0
             least = np.zeros(len(each), np.uint64)
-            if full.any():
-                least[full] = np.minimum.reduceat(grams, (np.cumsum(each) - each)[full])
+            for order in ORDERS if full.any() else ():
+                firsts = np.minimum.reduceat(arrays.mix(grams ^ np.uint64(order)), (np.cumsum(each) - each)[full])
+                least[full] = arrays.mix(least[full] ^ firsts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_text"), batch.column("_toxic"), pa.array(least.view(np.int64))], names=["_text", "_toxic", "_sketch"]
             )
 
+    return sample.mapInArrow(sketch, "_text string, _toxic int, _sketch long").groupBy("_toxic", "_sketch").agg(F.max("_text").alias("_text")).select("_text", "_toxic")
+
+
+def _features(texts: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """How many toxic and clean texts hold a whole word, or a word that begins with a stem."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
 
@@ -167,7 +177,7 @@ def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
                 names=["entry", "toxic", "clean"],
             )
 
-        for batch in batches:
+        for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
                 entries = set()
                 for word in set(fold(text or "").split()):
@@ -179,15 +189,19 @@ def _features(sample: DataFrame, shortest: int, longest: int) -> DataFrame:
                     seen = (Counter(), Counter())
         yield out()
 
-    one = sample.mapInArrow(sketch, "_text string, _toxic int, _sketch long").groupBy("_toxic", "_sketch").agg(F.max("_text").alias("_text"))
-    return one.select("_text", "_toxic").mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(
+    return texts.mapInArrow(count, "entry string, toxic long, clean long").groupBy("entry").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
     )
 
 
+def _critical(level: float, tests: int) -> float:
+    """What a likelihood ratio (twice its logarithm, one degree of freedom) passes in one of so many tests by chance, at that level."""
+    return NormalDist().inv_cdf(level / max(tests, 1) / 2) ** 2
+
+
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = 30_000, shortest: int = 4, longest: int = 8, entries: int = 2_000, evidence: float = 40.0,
+    sample_rows: int = 30_000, shortest: int = 4, longest: int = 8, entries: int = 2_000, level: float = 0.01,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Model:
     """Lexicon, weights and calibration from labelled rows outside the held-out third.
@@ -196,7 +210,7 @@ def learn(
     a hash of the id; the lexicon holds at most ``entries`` entries, the ones with the most
     evidence. An entry is a whole word or a stem; its weight is the logarithm of the odds of toxic
     against clean texts that hold it, and it is taken when the likelihood ratio of its counts is
-    ``evidence`` or more. Of nested stems the longest that stands in nearly all texts of the shorter
+    significant at ``level`` over all entries seen, however many labels there are. Of nested stems the longest that stands in nearly all texts of the shorter
     ones is taken. Rows with
     NULL id or label are not used. Without toxic or clean rows the lexicon is empty.
     """
@@ -211,11 +225,15 @@ def learn(
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
         F.broadcast(chosen), F.col("_id") == F.col("_lid")  # bounded by sample_rows
     ).select("_text", "_toxic").persist()
-    sizes = {r["_toxic"]: r["count"] for r in sample.groupBy("_toxic").count().collect()}
+    texts = written(_unlike(sample))
+    sizes = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         sample.unpersist()
+        discard(texts)
         return Model({}, (-4.0, 0.0, 0.0), exceptions)
+    counts = written(_features(texts, shortest, longest))
+    least = _critical(level, counts.count())
     t, c = F.col("toxic"), F.col("clean")
     base = bad / (bad + good)
     odds = F.log((t + 0.5) / (bad + 1.0)) - F.log((c + 0.5) / (good + 1.0))
@@ -223,8 +241,8 @@ def learn(
     term = lambda n, p, q: F.when(n > 0, n * F.log(p / q)).otherwise(0.0)
     ratio = 2 * (term(t, rate, F.lit(base)) + term(c, 1 - rate, F.lit(1 - base)))
     found = (
-        _features(sample, shortest, longest).withColumn("weight", odds).withColumn("evidence", ratio)
-        .where((F.col("evidence") >= evidence) & (F.col("weight") >= 2.5))
+        counts.withColumn("weight", odds).withColumn("evidence", ratio)
+        .where((F.col("evidence") >= least) & (F.col("weight") >= 2.5))
         .orderBy(F.desc("evidence"), "entry").limit(entries).collect()
     )
     lexicon = _closed({r["entry"]: (r["toxic"], r["weight"]) for r in found}, shortest)
@@ -232,6 +250,7 @@ def learn(
     # at most sample_rows rows of three numbers
     rows = _measured(sample, model, "_text").select("_weight", "_words", "_toxic").toPandas()
     sample.unpersist()
+    discard(texts, counts)
     model.coefficients = _logistic(_inputs(rows["_weight"].to_numpy(float), rows["_words"].to_numpy(float)), rows["_toxic"].to_numpy(float))
     return model
 

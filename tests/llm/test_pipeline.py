@@ -1,6 +1,9 @@
 """Every pipeline stage against a plain version, on the same rows it was given."""
 
+import math
+import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -56,6 +59,42 @@ def test_toxicity(spark, steps):
     assert {r.doc_id for r in after} == keep
 
 
+def test_toxicity_against_a_plain_learner(spark, tmp_path):
+    """Planted, partly disguised words: lexicon, weights, calibration and the stage's decisions from plain counts."""
+    rng = random.Random(6)
+    rows = []
+    for d in range(600):
+        plain = [f"word{rng.choice('abcdefgh')}{rng.choice('klmnop')}{rng.choice('rstuv')}" for _ in range(rng.choice([8, 40, 300]))]
+        if d % 5 == 0:
+            for _ in range(rng.choice([2, 3, 4])):
+                plain.insert(rng.randrange(len(plain)), rng.choice(["vileone", "grubbish"]))
+        text = [w if rng.random() < 0.5 else w.replace("vileone", "V1lеone").replace("grubbish", "grubbi$h") for w in plain]
+        rows.append((d, plain, " ".join(text), int(d % 5 == 0)))
+    docs = spark.createDataFrame([(d, t) for d, _, t, _ in rows], "doc_id long, text string")
+    spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    learned = [(set(p), p, y) for d, p, _, y in rows if zlib.crc32(str(d).encode()) % 3 != 1]
+    bad = sum(y for _, _, y in learned)
+    good = len(learned) - bad
+    weights = {}
+    for w in set().union(*[s for s, _, _ in learned]):
+        t, c = sum(w in s for s, _, y in learned if y), sum(w in s for s, _, y in learned if not y)
+        weight = math.log((t + 0.5) / (bad + 1)) - math.log((c + 0.5) / (good + 1))
+        if weight >= 2.5:
+            weights[w] = weight
+    model = X.learn(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert set(weights) == {"vileone", "grubbish"} and {k.strip(): v for k, v in model.lexicon.items()} == pytest.approx(weights)
+
+    def features(words):
+        total = sum(weights.get(w, 0) for w in words)
+        return np.array([1, math.log(1 + total), math.log(1 + 100 * total / (len(words) + 20))])
+
+    chance = lambda words: 1 / (1 + math.exp(-float(features(words) @ np.array(model.coefficients))))
+    slope = sum((chance(p) - y) * features(p) for _, p, y in learned) + 0.01 * np.array(model.coefficients)
+    assert np.abs(slope).max() < 1e-3 * len(learned)
+    kept = {r.doc_id for r in P.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert kept == {d for d, p, _, _ in rows if chance(p) < 0.7} == {d for d, _, _, y in rows if not y}
+
+
 def test_exact(steps):
     before, after, _ = steps[1]
     last = {}

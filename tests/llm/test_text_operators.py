@@ -43,6 +43,37 @@ def test_contamination_edges(spark):
         C.contamination(docs, items, window=0)
 
 
+def test_places_of_a_long_text(spark):
+    """Texts of many parts, windows of several lengths across their borders, against a plain search."""
+    rng = random.Random(8)
+    item = lambda n, mark: [f"{mark}{i}" for i in range(n)]
+    items = [(1, item(40, "p")), (2, item(5, "q")), (3, item(1, "r")), (4, item(13, "s")), (5, item(2, "q"))]
+    rows = []
+    for d, n in enumerate((1, 255, 256, 257, 268, 269, 512, 3000, 9000)):
+        w = [rng.choice("abcd") for _ in range(n)]
+        for _ in range(n // 60):
+            part = rng.choice(items)[1]
+            cut = part[rng.randrange(0, max(len(part) - 13, 1)) :][: rng.choice([12, 13, 14, 40])]
+            i = rng.choice([rng.randrange(n), 256 * rng.randrange(n // 256 + 1) - rng.randrange(14)])
+            if 0 <= i <= n - len(cut):
+                w[i : i + len(cut)] = cut
+        rows.append((d, w))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    windows = {tuple(w[i : i + 13]) for _, w in items for i in range(max(len(w) - 12, 1))}
+    found = C.contamination(docs, tests)
+    got = {r.doc_id: r for r in found.collect()}
+    clean = {r.doc_id: r.text for r in C.remove_spans(docs, found).collect()}
+    total = 0
+    for d, w in rows:
+        places = sorted((i + 1, n) for n in {len(x) for x in windows} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows)
+        hit = {i + j for i, n in places for j in range(n)}
+        assert [tuple(s) for s in got[d].spans or []] == places and got[d].n_hit == len(hit)
+        assert clean[d] == " ".join(x for i, x in enumerate(w, 1) if i not in hit)
+        total += len(places)
+    assert total > 200
+
+
 def test_folding():
     assert X.fold("You 1d10t! ІDIOT m0r0n lo$er").split() == ["you", "idiot", "idiot", "moron", "loser"]
     assert X.fold("CC BY-NC 4.0, 12 $5").split() == ["cc", "by", "nc", "4", "0", "12", "5"]
@@ -75,6 +106,19 @@ def test_toxicity_learns_and_scores(spark):
     assert X.score(docs.limit(0), model).count() == 0
 
 
+def test_near_copies_of_a_sample(spark):
+    passage = [f"p{i}" for i in range(60)]
+    apart = [(" ".join([f"u{d}_{i}" for i in range(240)] + passage), d % 2) for d in range(40)]
+    same = [("one text that stands here many times", 1)] * 30
+    got = X._unlike(spark.createDataFrame(apart + same + [("", 0), (None, 0), ("two", 0)], "_text string, _toxic int"))
+    assert sorted(r._text for r in got.where("_text LIKE 'u%' OR _text LIKE 'one%'").collect()) == sorted([t for t, _ in apart] + [same[0][0]])
+
+
+def test_critical_value():
+    assert [round(X._critical(level, 1), 3) for level in (0.05, 0.01)] == [3.841, 6.635]
+    assert X._critical(0.01, 100) == pytest.approx(X._critical(0.0001, 1))
+
+
 def test_licences(spark):
     rows = [
         ("a/LICENSE", True, "Released under the MIT License."), ("a/b/x", False, "nothing here\nat all"), ("a/b/c/LICENSE", True, "some\nLicensed under CC BY-NC 4.0.\nmore"),
