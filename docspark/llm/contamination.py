@@ -11,7 +11,7 @@ from .common import check_columns, lower_ascii, small, written
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
 #: Words whose places are looked up from one row; a longer text is cut, each part with the words that its last places need.
-CHUNK = 256
+CHUNK = 64
 
 
 def words_of(text: Column) -> Column:
@@ -49,17 +49,17 @@ def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], keys: list[st
         skips = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
         return F.transform(skips, lambda i: F.struct(i.alias("skip"), F.slice(w, i + 1, CHUNK + longest - 1).alias("w")))
 
-    def hashed(skip: Column, w: Column, n: int) -> Column:
+    def hashed(w: Column, n: int) -> Column:
         last = F.least(F.lit(CHUNK), F.size(w) - (n - 1))
         starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(
-            F.transform(starts, lambda i: F.slice(w, i, n)),
-            lambda x, i: F.struct((skip + i + 1).alias("at"), F.lit(n).alias("len"), F.xxhash64(x).alias("hash"), x.alias("held")))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("hash")))
 
     # the words are bound as a lambda's variable, so that they are split once a text
     cut = docs.select(*keys, F.explode(F.flatten(F.transform(F.array("_w"), parts))).alias("c"))
-    places = cut.select(*keys, F.explode(F.concat(*[hashed(F.col("c.skip"), F.col("c.w"), n) for n in lengths])).alias("p")).select(
-        *keys, F.col("p.at").alias("at"), F.col("p.len").alias("_n"), F.col("p.hash").alias("hash"), F.col("p.held").alias("_held"))
+    # the part is copied as it is; a place's own words are taken out where it hits, or before it is shuffled
+    places = cut.select(*keys, "c", F.explode(F.concat(*[hashed(F.col("c.w"), n) for n in lengths])).alias("p")).select(
+        *keys, (F.col("c.skip") + F.col("p.at")).alias("at"), F.col("p.len").alias("_n"), F.col("p.hash").alias("hash"),
+        F.slice("c.w", F.col("p.at"), F.col("p.len")).alias("_held"))
     # one number is the join key; the words then decide (coalesce keeps them out of the key)
     same = F.coalesce((F.col("_n") == F.col("len")) & (F.col("_held") == F.col("words")), F.lit(False))
     return places.join(windows, "hash").where(same).select(*keys, "at", "len", "items")
