@@ -130,7 +130,8 @@ def read_range_with_metadata(
     grid = _dense_rows(lim, ["min_col", "max_col"]).select(
         F.lit(sheet).alias("sheet"), "row", F.explode(F.sequence("min_col", "max_col")).alias("col")
     )
-    out = grid.join(cells.where(_on(sheet)), KEY, "left")
+    # cells are made of rows, so their estimate says nothing: without the hint a long sheet is broadcast
+    out = grid.join(cells.where(_on(sheet)).hint("merge"), KEY, "left")
     keep = ["row", "col", "value"]
     if rules is not None:
         out = validation_for_cells(out, rules)
@@ -533,7 +534,7 @@ def validation_for_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
     many = joined.where("_crowded").select(*columns)
     asked = touched.join(crowded, ["sheet", "_block"], "left_semi").select("sheet", *parts).distinct()
     hits = cells_in_ranges(many.select(*KEY).distinct(), asked).groupBy(*KEY).agg(F.min(F.struct("rule_no", "validation_type")).alias("_hit"))
-    return few.unionByName(many.join(hits, KEY, "left").select(*columns, "_hit.rule_no", "_hit.validation_type"))
+    return few.unionByName(many.join(hits.hint("merge"), KEY, "left").select(*columns, "_hit.rule_no", "_hit.validation_type"))
 
 
 def rule_values(rules: DataFrame, cells: DataFrame) -> DataFrame:
