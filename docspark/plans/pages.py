@@ -47,6 +47,10 @@ def rich_nodes(spark, d):
 _RICH = f"""rp AS (SELECT page_id, url || {_pick_sql(_URL, 'page_id')} AS url, replace(replace(html, '</title>', {_pick_sql(_TITLE, 'page_id')} || '</title>' || {_pick_sql(_HEAD, 'page_id')}),
    '</article>', {_pick_sql(_BODY, 'page_id')} || '</article>') AS html FROM pages)"""
 _DECODE = "replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+# as in HTML, these names are references without their semicolon too; the ampersand comes last, so nothing is decoded twice
+_TITLE_DECODE = "{c}"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+    _TITLE_DECODE = f"regexp_replace({_TITLE_DECODE}, '&{_name};?', '{_char}', 'g')"
 
 
 @query("d01_node_table")
@@ -72,7 +76,7 @@ _META_SQL = """CASE page_id % 6 WHEN 1 THEN [('author', 'Ann')] WHEN 2 THEN [('o
 
 @query(
     "d02_page_title",
-    f"""WITH {_RICH}, t AS (SELECT page_id, {_DECODE.format(c="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t FROM rp)
+    f"""WITH {_RICH}, t AS (SELECT page_id, {_TITLE_DECODE.format(c="regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t FROM rp)
         SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(t, '[-_|].*?(政府|门户|网站|委员会).*$', ''), '^\\s+|\\s+$', '', 'g'), ''), 'Untitled') AS title FROM t""",
 )
 def _(spark, d):

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import re
 
+import duckdb
+
 from docspark.operators import cells as C
+from docspark.plans import load_all
+
+QUERIES, ORACLES = load_all()
 
 
 def executed(df) -> str:
@@ -21,3 +26,15 @@ def test_cells_of_a_range_are_never_broadcast(spark, tmp_path):
     assert not re.search(r"Broadcast(HashJoin|NestedLoopJoin) .*row#", executed(got))
     assert got.count() == 102
     assert {(r.address, r.value) for r in got.where("row = 11").collect()} == {("A11", "9"), ("B11", "18")}
+
+
+def test_title_references_without_semicolon(spark, tmp_path):
+    """The SQL of d02_page_title states HTML's rule, which the parser keeps: ``&amp`` is a reference as well."""
+    titles = ["a &amp; b", "a &amp", "x &lt;y&gt z", "&quot q", "&amp;lt;", "&am &a & &quo", "&ampgt", "p &amp - y"]
+    html = [(i, "http://h.example.org/", f"<html><head><title>{t}</title></head><body><p>x</p></body></html>") for i, t in enumerate(titles)]
+    spark.createDataFrame(html, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = {tuple(r) for r in con.execute(ORACLES["d02_page_title"]).fetchall()}
+    got = {tuple(r) for r in QUERIES["d02_page_title"](spark, str(tmp_path)).collect()}
+    assert got == want
