@@ -85,9 +85,11 @@ _CTRL = "regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g')"
             coalesce(bit_or(flags) FILTER (ink), 0) AS flags, coalesce(bool_or(ink AND mono), false) AS is_code, any_value(body) AS body, any_value(h1) AS h1, any_value(h2) AS h2, any_value(h3) AS h3
             FROM g GROUP BY doc_id, page_no, block_no, line_no),
         m AS (SELECT * EXCLUDE (x), replace(replace(x, '******', ' '), '****', ' ') AS x FROM l WHERE x <> ''),
-        n AS (SELECT *, {_level_sql('size', 'x', 'flags')} AS lv, regexp_matches(x, '^[•●○◦▪▸►]|^[-–—]\\s|^\\*\\s') AS ul, regexp_matches(x, '^\\d+[.、)]') AS ol FROM m)
+        n AS (SELECT *, {_level_sql('size', 'x', 'flags')} AS lv, regexp_matches(i, '^[•●○◦▪▸►]|^[-–—]\\s|^\\*\\s') AS ul, regexp_matches(i, '^\\d+[.、)]') AS ol
+            FROM (SELECT *, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS i FROM m))
         SELECT doc_id, page_no, block_no, line_no, line_no * 13.5::DOUBLE AS y0, CASE WHEN lv > 0 THEN repeat('#', lv) || ' ' || regexp_replace(x, '\\*+([^*]+)\\*+', '\\1', 'g')
-          WHEN ol THEN regexp_replace(x, '^(\\d+)[.、)]\\s*', '\\1. ') ELSE x END AS content, lv > 0 AS is_heading, ul OR ol AS is_list, is_code FROM n""",
+          WHEN ul THEN '- ' || regexp_replace(i, '^[•●○◦▪▸►]\\s*|^[-–—]\\s+|^\\*\\s+', '')
+          WHEN ol THEN regexp_replace(i, '^(\\d+)[.、)]\\s*', '\\1. ') ELSE x END AS content, lv > 0 AS is_heading, ul OR ol AS is_list, is_code FROM n""",
 )
 def _(spark, d):
     s = spans(spark, d)

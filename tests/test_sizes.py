@@ -38,3 +38,19 @@ def test_title_references_without_semicolon(spark, tmp_path):
     want = {tuple(r) for r in con.execute(ORACLES["d02_page_title"]).fetchall()}
     got = {tuple(r) for r in QUERIES["d02_page_title"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_items_of_lines_are_trimmed_after_their_markers_merge(spark, tmp_path):
+    """The SQL of i03_line_assembly states the rule of ``list_item``: items are trimmed and bullets become dashes."""
+    # some lines begin with an unmarked "1) " and end with stars that merge with those of their last span
+    texts = ["\n\n\n1) a. b. c. d**"] * 20 + ["• dot", "-  dash. x", "* star", "1) x", "plain\n• code\n– y\n*  z"] * 12
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = con.execute(ORACLES["i03_line_assembly"])
+    names = [c[0] for c in result.description]
+    want = {tuple(r) for r in result.fetchall()}
+    got = {tuple(r) for r in QUERIES["i03_line_assembly"](spark, str(tmp_path)).select(*names).collect()}
+    assert got == want
+    assert any(r[names.index("content")].startswith("- ") for r in want)
