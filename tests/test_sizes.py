@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 
 import duckdb
 
 from docspark.operators import cells as C
 from docspark.plans import load_all
+from docspark.sources import tables as T
 
 QUERIES, ORACLES = load_all()
 
@@ -54,3 +56,28 @@ def test_items_of_lines_are_trimmed_after_their_markers_merge(spark, tmp_path):
     got = {tuple(r) for r in QUERIES["i03_line_assembly"](spark, str(tmp_path)).select(*names).collect()}
     assert got == want
     assert any(r[names.index("content")].startswith("- ") for r in want)
+
+
+def test_texts_are_written_into_folders_of_bounded_size(spark, tmp_path):
+    """Neither the driver's list of files nor the number of tasks may grow with the texts."""
+    texts = [None, "", "a", "b\n", "\n\n", "ü\r\n x"] + [f"text {i}" for i in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    path = f"{tmp_path}/t"
+    T.write_texts(df, "text", path, folder_files=40)
+    folders = list(pathlib.Path(path).glob("parts/folder=*"))
+    assert len(folders) >= 8 and all(len(list(f.iterdir())) <= 40 for f in folders)
+    for read in (T.read_whole_texts(spark, path), T.read_directory(spark, path, "*.txt")):
+        assert sorted(r.text for r in T.written_text(read).collect()) == sorted(t or "" for t in texts)
+        assert len({r.path for r in read.collect()}) == len(texts)
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    for i in range(2000):
+        (plain / f"{i}.txt").write_text(str(i))
+    read = T.read_whole_texts(spark, str(plain))
+    assert read.count() == 2000
+    assert read.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_no_texts_are_written_and_read(spark, tmp_path):
+    T.write_texts(spark.createDataFrame([], "text string"), "text", f"{tmp_path}/t")
+    assert T.read_whole_texts(spark, f"{tmp_path}/t").count() == 0
