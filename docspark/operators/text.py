@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..ordering import broadcast_if_small, map_of, ordered_concat
+from ..ordering import broadcast_if_small, map_of, ordered_concat, stored
 from .match import match_titles
 
 PAGE = ["doc_id", "page_no"]
@@ -51,15 +51,17 @@ def repeated_edge_text(blocks: DataFrame, pages: DataFrame, threshold: float = 0
     enough = (n >= MIN_PAGES) & (F.col("hits") / total > threshold)
     # hashes are counted first: equal ones only add up to more, so no repeated text is lost, and few are left to count as texts
     likely = edge.groupBy("doc_id", "band", "_h").agg(F.count(F.lit(1)).alias("hits"))
-    likely = likely.join(broadcast_if_small(n_pages), "doc_id").where(enough).select("doc_id", "band", "_h", "n_pages")
-    hits = edge.select("doc_id", "band", "text", "_h").join(likely, ["doc_id", "band", "_h"]).groupBy("doc_id", "band", "text").agg(
+    # they are written: their files prove how few they are, so the edges need no shuffle
+    likely = stored(likely.join(broadcast_if_small(n_pages), "doc_id").where(enough).select("doc_id", "band", "_h", "n_pages"))
+    hits = edge.select("doc_id", "band", "text", "_h").join(broadcast_if_small(likely), ["doc_id", "band", "_h"]).groupBy("doc_id", "band", "text").agg(
         F.count(F.lit(1)).alias("hits"), F.first("n_pages").alias("n_pages"))
     return hits.where(enough).select("doc_id", "band", "text", "hits", total.alias("scanned_pages"))
 
 
 def remove_noise(lines: DataFrame, noise: DataFrame, text: str = "text") -> DataFrame:
     """Lines whose trimmed text is not a noise text of their document."""
-    keys = noise.select("doc_id", F.col("text").alias("_noise")).distinct()
+    # written, so that their files prove them small and the lines need no shuffle
+    keys = stored(noise.select("doc_id", F.col("text").alias("_noise")).distinct())
     mine = X.strip_blank(F.col(text))
     return lines.withColumn("_t", mine).alias("l").join(
         broadcast_if_small(keys).alias("n"),

@@ -48,24 +48,26 @@ def _ranged(df: DataFrame, columns: list[str]) -> DataFrame:
 def number_within(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """1-based row number per key in ``order`` without sending a whole key to one task.
 
-    Each (range, key) is numbered on its own and shifted by the rows that the key has in
-    the ranges before; a range holds a key once, so that list is as short as the key's ranges.
+    Rows are dealt into sampled ranges, sorted and written with their place in the range. A key is one run
+    of places in a range, so its number is the place, less the run's first place, plus the key's rows in the
+    ranges before: the rows themselves are shuffled once, and only the list of runs is grouped.
     """
-    cut = _ranged(df, [*keys, *order])
+    cut = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    at = F.col("_at")  # the range in the upper bits, the place in the lower 33
+    cut = stored(cut.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.call_function("shiftright", at, F.lit(33))))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    shift = stored(
+        cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1)
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_shift")
     )
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (
-        cut.withColumn("_rn", F.row_number().over(within).cast("long")).join(shift, same)
-        .withColumn(out, F.col("_rn") + F.col("_shift"))
-        .drop("_rn", "_part", "_p", "_shift", *[f"_k{i}" for i in range(len(keys))])
+        cut.join(broadcast_if_small(shift), same)
+        .withColumn(out, F.col("_at") + F.col("_shift"))
+        .drop("_at", "_part", "_p", "_shift", *[f"_k{i}" for i in range(len(keys))])
     )
 
 

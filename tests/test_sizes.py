@@ -8,6 +8,8 @@ import re
 import duckdb
 
 from docspark.operators import cells as C
+from docspark.operators import text as E
+from docspark.ordering import number_within
 from docspark.plans import load_all
 from docspark.sources import tables as T
 
@@ -81,3 +83,20 @@ def test_texts_are_written_into_folders_of_bounded_size(spark, tmp_path):
 def test_no_texts_are_written_and_read(spark, tmp_path):
     T.write_texts(spark.createDataFrame([], "text string"), "text", f"{tmp_path}/t")
     assert T.read_whole_texts(spark, f"{tmp_path}/t").count() == 0
+
+
+def test_numbers_and_noise_shuffle_no_texts(spark):
+    """Rows are dealt and written once; what is joined to them is proven small by its files."""
+    rows = [(i % 3 if i % 7 else None, i, f"text {i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, i int, t string")
+    got = number_within(df, ["k"], ["i"], "n")
+    assert "Exchange hashpartitioning" not in executed(got)
+    want = {}
+    for k, i, _ in rows:
+        want.setdefault(k, []).append(i)
+    assert {(r.k, r.i): r.n for r in got.collect()} == {(k, i): n + 1 for k, v in want.items() for n, i in enumerate(v)}
+    noise = spark.createDataFrame([(1, "a")], "doc_id int, text string").union(spark.range(3).selectExpr("explode(array(1, 2))", "'b'"))
+    lines = spark.createDataFrame([(1, " a "), (1, "b"), (1, "c"), (2, "a"), (None, "b")], "doc_id int, text string")
+    left = E.remove_noise(lines, noise)
+    assert "Exchange hashpartitioning" not in executed(left)
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "b"), (1, "c"), (2, "a")]
