@@ -184,37 +184,26 @@ def markdown_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.concat(text, F.lit("\n")), F.lit(rf"(?md)^({FENCED}|[^\n]*\n)"), F.lit(1))
 
 
+# start of a list item, as LIST_LINE within one line
+_ITEM = r"[^\S\n]*(?:[-*+]|\d+[.)])\s"
+#: Fenced blocks and the lines that a blank line may follow: their newline is captured once more where one does.
+SPACED = (
+    rf"(?md)^(?:{FENCED}(?:(?={_ITEM})(?<=(\n)))?+"
+    rf"|(?={_ITEM})[^\n]*+(\n)(?=(?!{_ITEM})(?![ \t])[^\S\n]*+\S)"
+    rf"|(?!{_ITEM})[^\S\n]*+\S[^\n]*+(\n)(?={_ITEM}))"
+)
+
+
 def list_spacing(docs: DataFrame, text: str = "text") -> DataFrame:
     """Blank line before a list after text and after a list before text.
 
-    Fenced blocks pass unchanged; the full-width pipe becomes ``|``.
+    Fenced blocks pass unchanged; the full-width pipe becomes ``|``. One pass over the
+    text, linear in it: a blank line goes where a list item and another line with something in it meet.
     """
     df = docs.withColumn(text, F.replace(F.col(text), F.lit("｜"), F.lit("|")))
-    df = df.withColumn("_t", markdown_tokens(F.col(text)))
-    tokens = F.col("_t")
-
-    def listed(tok):
-        return tok.rlike(rf"^{LIST_LINE}")
-
-    def spaced(tok, i):
-        # with a fenced token the neighbouring line is its last or first line
-        before = F.regexp_extract(F.get(tokens, i - 1), r"([^\n]*)\n\z", 1)
-        after = F.regexp_extract(F.get(tokens, i + 1), r"^([^\n]*)", 1)
-        lead = (i > 0) & before.rlike(r"\S") & ~listed(F.concat(before, F.lit("\n")))
-        trail = (
-            (i + 1 < F.size(tokens)) & after.rlike(r"\S") & ~listed(F.concat(after, F.lit("\n")))
-            & ~after.startswith(" ") & ~after.startswith("\t")
-        )
-        item = listed(tok) & tok.rlike(r"^[^\n]*\n\z")
-        return F.concat(
-            F.when(item & lead, F.lit("\n")).otherwise(F.lit("")), tok,
-            F.when(item & trail, F.lit("\n")).otherwise(F.lit("")),
-        )
-
-    joined = F.array_join(F.transform("_t", spaced), "")
-    body = F.substring(joined, F.lit(1), F.length(joined) - 1)
+    df = df.withColumn("_t", F.regexp_replace(F.concat(text, F.lit("\n")), SPACED, "$0$1$2$3"))
     tail = F.when(F.col(text).endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
-    return df.withColumn(text, F.concat(body, tail)).drop("_t")
+    return df.withColumn(text, F.concat(F.substring("_t", F.lit(1), F.length("_t") - 1), tail)).drop("_t")
 
 
 def strip_contents(text: Column) -> Column:

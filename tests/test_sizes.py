@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pathlib
+import random
 import re
+import time
 
 import duckdb
 
@@ -100,3 +102,40 @@ def test_numbers_and_noise_shuffle_no_texts(spark):
     left = E.remove_noise(lines, noise)
     assert "Exchange hashpartitioning" not in executed(left)
     assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "b"), (1, "c"), (2, "a")]
+
+
+def test_list_spacing_by_lines_and_in_linear_time(spark):
+    """Against a plain walk over lines; lines of a fenced block may be long."""
+    rng = random.Random(5)
+    kinds = ["- a", "* ", "2) b", " + c", "text", "  text", "\ttab", "", " ", "```", "~~~ x", "  ```", "10. x", "-", "---", "\x0b- v", "｜x", "1.", "é\r"]
+
+    def spaced(text):
+        if text is None:
+            return None
+        text = text.replace("｜", "|")
+        lines, tokens = text.split("\n"), []
+        while lines:  # a fenced block up to its closing line is one token
+            n = 1
+            if re.match(r"[^\S\n]*(```|~~~)", lines[0], re.A):
+                n = next((i + 1 for i in range(1, len(lines)) if re.match(r"[^\S\n]*(```|~~~)", lines[i], re.A)), len(lines))
+            tokens.append(lines[:n])
+            lines = lines[n:]
+        item = lambda x: bool(re.match(r"\s*(?:[-*+]|\d+[.)])\s+", x + "\n", re.A)) and bool(x.strip())
+        ink = lambda x: bool(re.search(r"\S", x, re.A))
+        out = []
+        for i, tok in enumerate(tokens):
+            out += tok
+            if i + 1 < len(tokens):
+                a, b = tok[-1], tokens[i + 1][0]
+                if item(b) and ink(a) and not item(a) or len(tok) == 1 and item(a) and ink(b) and not item(b) and b[0] not in " \t":
+                    out.append("")
+        return "\n".join(out) + ("\n" if text.endswith("\n") else "")
+
+    texts = [None, "", "\n"] + ["\n".join(rng.choices(kinds, k=rng.randrange(1, 12))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in E.list_spacing(df).collect()}
+    assert got == {i: spaced(t) for i, t in enumerate(texts)}
+    long = "```\n" + "\n".join(["x" * 60_000] * 10) + "\n```\n- a"
+    started = time.time()
+    assert E.list_spacing(spark.createDataFrame([(1, long)], "doc_id int, text string")).first().text == spaced(long)
+    assert time.time() - started < 5
