@@ -8,7 +8,10 @@ import re
 import time
 
 import duckdb
+import pyarrow as pa
+from pyspark.sql import types
 
+from docspark.functions import html as H
 from docspark.operators import cells as C
 from docspark.operators import text as E
 from docspark.ordering import number_within
@@ -139,3 +142,22 @@ def test_list_spacing_by_lines_and_in_linear_time(spark):
     started = time.time()
     assert E.list_spacing(spark.createDataFrame([(1, long)], "doc_id int, text string")).first().text == spaced(long)
     assert time.time() - started < 5
+
+
+def test_pages_are_parsed_in_groups_of_bounded_bytes(spark):
+    """A worker holds the nodes of a few pages at a time, however long pages and batches are."""
+
+    class Frame:
+        schema = types.StructType().add("page_id", "long").add("html", "string")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    html = [None, "", "<p>" * 40_000, *["<b>x</b>" * 5_000] * 90, *["<i>y</i>"] * 300]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "html": html})
+    parts = list(H.with_nodes(Frame(), "html")(iter([batch])))
+    assert [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(len(html)))
+    for p in parts:
+        sizes = [len(t or "") for t in p.column("html").to_pylist()]
+        assert len(sizes) <= 64 and sum(sizes[:-1]) < 256 * 1024
+    assert [len(n) for p in parts for n in p.column("nodes")][:4] == [0, 0, 40_000, 10_000]
