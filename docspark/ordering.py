@@ -113,3 +113,14 @@ def spread_if_few(df: DataFrame, *keys: str) -> DataFrame:
     slots = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df.repartition(slots, *keys) if splits < slots else df
+
+
+def spread_keys(df: DataFrame, *keys: str) -> DataFrame:
+    """Distinct ``keys`` over as many tasks as ``df`` has splits, or as there are slots if these are more.
+
+    For short rows that are costly to work on: AQE deals by bytes and would bring all of them to a few
+    tasks, but keeps a number of partitions that is given.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.select(*keys).repartition(max(slots, splits), *keys).distinct()

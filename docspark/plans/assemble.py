@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pagespec as P
 from ..operators import assemble as A
+from ..ordering import spread_keys
 from .registry import query, table
 
 _SPECS = ["1-3,5", "2", "3-1", "1,,2", "4-6,1-2,5", "a", "", "1-200000", "0", " 2 - 4 ,9", "5.0", "1-2-3", "99,1", "50-60", "7,7,1-7"]
@@ -33,7 +34,8 @@ _PG = """pg AS (SELECT conv_id AS doc_id, turn AS page_index, CASE WHEN turn % 5
 
 
 def specs(spark, d):
-    docs = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")).distinct()
+    # few bytes a document, but a specification may stand for many pages
+    docs = spread_keys(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id")), "doc_id")
     return docs.withColumn("spec", _pick(_SPECS, F.col("doc_id")))
 
 

@@ -15,6 +15,7 @@ from docspark.functions import html as H
 from docspark.operators import cells as C
 from docspark.operators import text as E
 from docspark.ordering import number_within
+from docspark.plans import assemble as A
 from docspark.plans import load_all
 from docspark.sources import tables as T
 
@@ -161,3 +162,12 @@ def test_pages_are_parsed_in_groups_of_bounded_bytes(spark):
         sizes = [len(t or "") for t in p.column("html").to_pylist()]
         assert len(sizes) <= 64 and sum(sizes[:-1]) < 256 * 1024
     assert [len(n) for p in parts for n in p.column("nodes")][:4] == [0, 0, 40_000, 10_000]
+
+
+def test_page_specifications_stay_spread(spark, tmp_path):
+    """A document's id is short and its pages are many: the ids may not be brought to one task."""
+    turns = spark.range(3000).selectExpr("id % 1000 AS conv_id", "id % 3 AS turn", "'user' AS role", "'x' AS text")
+    turns.repartition(64).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = A.specs(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.doc_id for r in got.collect()) == list(range(1000))
