@@ -64,7 +64,12 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     while n:
         found = step(newest).toDF(*names)
         found = found.select(*[F.col(c).cast(t).alias(c) for c, t in zip(names, types, strict=True)])
-        newest, n = _counted(found.subtract(together()) if distinct else found)
+        if distinct:
+            # rows seen before are small files for long: without the hint each round would broadcast all of them
+            old = together().toDF(*[f"_{i}" for i in range(len(names))]).hint("merge")
+            same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(names)])
+            found = found.distinct().join(old, same, "left_anti")
+        newest, n = _counted(found)
         if n:
             parts[0].append(newest)
         for i, level in enumerate(parts):

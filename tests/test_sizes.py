@@ -13,6 +13,7 @@ from pyspark.sql import types
 
 from docspark.functions import html as H
 from docspark.operators import cells as C
+from docspark.operators import sqlops as S
 from docspark.operators import text as E
 from docspark.ordering import number_within
 from docspark.plans import assemble as A
@@ -171,3 +172,14 @@ def test_page_specifications_stay_spread(spark, tmp_path):
     got = A.specs(spark, str(tmp_path))
     assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r.doc_id for r in got.collect()) == list(range(1000))
+
+
+def test_rows_seen_before_are_not_broadcast(spark, monkeypatch):
+    """A round of a fixpoint sends no earlier rows through the driver; NULLs are equal to each other."""
+    plans = []
+    counted = S._counted
+    monkeypatch.setattr(S, "_counted", lambda df: (plans.append(executed(df)), counted(df))[1])
+    start = spark.createDataFrame([(0, None), (0, None), (3, "x")], "k int, t string")
+    rows = S.fixpoint(start, lambda df: df.selectExpr("(k + 1) % 5", "t"))
+    assert sorted((r.k, r.t or "") for r in rows.collect()) == [(k, t) for k in range(5) for t in ("", "x")]
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
