@@ -10,14 +10,15 @@ from .common import check_columns, lower_ascii, small, written
 #: Everything up to "/", ":" to "`" and "{" to DEL stands between words (after lower-casing A-Z).
 GAPS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 WINDOW = 13
-#: Words whose places are looked up from one row; a longer text is cut, each part with the words that its last places need.
-CHUNK = 64
 
 
 def words_of(text: Column) -> Column:
     """Words of a text in order; NULL has none."""
+    text = F.coalesce(text, F.lit(""))
+    # a text of ASCII only, told by its length, has no other capitals, and lower() is many times faster there
+    folded = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(lower_ascii(text))
     # a gap at the front or the end leaves one empty string each, and only there
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
+    return F.array_remove(F.split(folded, GAPS), "")
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
@@ -38,31 +39,26 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, window: int = W
     )
 
 
-def _hits(docs: DataFrame, windows: DataFrame, lengths: list[int], keys: list[str]) -> DataFrame:
-    """One row per place of a document where a window occurs: keys, ``at``, ``len``, ``items``.
+def _places(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows ``(_id, _text, n_words, at, n, items)`` of documents ``(_id, _text, _w)``: one with ``n`` = 0 for each
+    document, one for each place where a window of ``n`` words occurs.
 
-    A place holds its own window of words and no more, so a text costs by its length.
+    No step needs a lambda, so beside small windows all of it is one generated loop over the words of a text, and
+    a place is no row of its own before it hits.
     """
-    longest = max(lengths)
-
-    def parts(w: Column) -> Column:
-        skips = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
-        return F.transform(skips, lambda i: F.struct(i.alias("skip"), F.slice(w, i + 1, CHUNK + longest - 1).alias("w")))
-
-    def hashed(w: Column, n: int) -> Column:
-        last = F.least(F.lit(CHUNK), F.size(w) - (n - 1))
-        starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.xxhash64(F.slice(w, i, n)).alias("hash")))
-
-    # the words are bound as a lambda's variable, so that they are split once a text
-    cut = docs.select(*keys, F.explode(F.flatten(F.transform(F.array("_w"), parts))).alias("c"))
-    # the part is copied as it is; a place's own words are taken out where it hits, or before it is shuffled
-    places = cut.select(*keys, "c", F.explode(F.concat(*[hashed(F.col("c.w"), n) for n in lengths])).alias("p")).select(
-        *keys, (F.col("c.skip") + F.col("p.at")).alias("at"), F.col("p.len").alias("_n"), F.col("p.hash").alias("hash"),
-        F.slice("c.w", F.col("p.at"), F.col("p.len")).alias("_held"))
-    # one number is the join key; the words then decide (coalesce keeps them out of the key)
-    same = F.coalesce((F.col("_n") == F.col("len")) & (F.col("_held") == F.col("words")), F.lit(False))
-    return places.join(windows, "hash").where(same).select(*keys, "at", "len", "items")
+    last = F.size("_w") - F.col("n") + 1
+    starts = F.when(F.col("n") == 0, F.array(F.lit(1))).when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    held = F.slice("_w", F.col("at"), F.col("n"))
+    places = (
+        docs.select("_id", "_text", "_w", F.explode(F.array(*map(F.lit, [0, *lengths]))).alias("n"))
+        .select("_id", "_text", "_w", "n", F.explode(starts).alias("at"))
+        # the document's own row has another key for each text, so that no task gets all of them if both sides are shuffled
+        .select("_id", "_text", F.size("_w").cast("long").alias("n_words"), "at", "n",
+                F.when(F.col("n") == 0, F.col("_text")).otherwise(F.xxhash64(held)).alias("_key"), held.alias("_held"))
+    )
+    # one number is the join key (coalesce keeps the length out of it); the words of a place are taken out only where it is met
+    met = places.join(windows, (F.col("_key") == F.col("hash")) & F.coalesce(F.col("n") == F.col("len"), F.lit(False)), "left")
+    return met.where("n = 0 OR hash IS NOT NULL").where("n = 0 OR _held = words").select("_id", "_text", "n_words", "at", "n", "items")
 
 
 def covered(hits: Column) -> Column:
@@ -88,8 +84,8 @@ def contamination(
     ``contaminated``: some word is hit and ``share * n_hit >= n_words``. The windows are a
     table of their own; they are broadcast only when the files of that table prove them
     small, else both sides shuffle. Each place of a document is one hash and its own words; beside
-    small windows only places that hit are shuffled, and they are joined back by the id
-    and a hash of the text, so repeated rows have equal results.
+    small windows only places that hit are shuffled, with one row for each document, and brought
+    together by the id and a hash of the text, so repeated rows have equal results.
 
     NULL texts and texts without words have no words and no hits; NULL item texts are no
     items; without items nothing is hit; an item id that is NULL is ignored. Other columns
@@ -105,22 +101,20 @@ def contamination(
         F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"),
         words_of(F.col(text_col)).alias("_w"),
     )
-    counted = raw.select("_id", "_text", F.size("_w").cast("long").alias("n_words"))
-    if not lengths:
-        found = counted.limit(0).select(
-            "_id", "_text", F.expr("CAST(array() AS array<struct<at:int,len:int>>)").alias("spans"),
-            F.expr("CAST(array() AS array<string>)").alias("ids"),
+    hit = F.col("n") > 0
+    out = (
+        _places(raw, small(windows), lengths)
+        .groupBy("_id", "_text")
+        .agg(
+            F.max("n_words").alias("n_words"), F.count_if(~hit).alias("rows"),
+            F.collect_set(F.when(hit, F.struct("at", F.col("n").alias("len")))).alias("spans"), F.collect_set("items").alias("ids"),
         )
-    else:
-        found = (
-            _hits(raw, small(windows), lengths, ["_id", "_text"])
-            .groupBy("_id", "_text")
-            .agg(F.collect_set(F.struct("at", "len")).alias("spans"), F.collect_set("items").alias("ids"))
-            .select("_id", "_text", F.array_sort("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("ids"))
+        .select(
+            "_id", "_text", "n_words", F.when(F.size("spans") > 0, F.array_sort("spans")).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten("ids"))).alias("ids"), F.explode(F.sequence(F.lit(1), "rows")),
         )
-    found = found.select(F.col("_id").alias("_fid"), F.col("_text").alias("_ftext"), "spans", "ids")
-    out = counted.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
-    ids = F.coalesce("ids", F.array().cast("array<string>"))
+    )
+    ids = F.col("ids")
     n_hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
     return out.select(
         F.col("_id").alias(id_col), "n_words", n_hit.alias("n_hit"),

@@ -43,6 +43,32 @@ def test_contamination_edges(spark):
         C.contamination(docs, items, window=0)
 
 
+def test_documents_are_read_once(spark, tmp_path, monkeypatch):
+    """Documents are scanned and cut into words once, and their places are looked up without a lambda; equal rows
+    stay equal rows, whether the windows are broadcast or both sides are shuffled."""
+    rows = [(1, "A b, c D e"), (1, "A b, c D e"), (1, "other"), (None, "b c D"), (None, "b c D"), (None, None), (2, "\u00c9 B c d"), (3, "\u00e9 b c d"), (4, "\u212a b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    items = spark.createDataFrame([(7, "B c"), (8, "b c d"), (9, "\u00c9 b"), (10, "k b")], "item_id long, text string")
+    found = C.contamination(docs, items, window=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("text:string>") == 1 and plan.count(" split(") + plan.count("(split(") == 1
+    below = plan[plan.index("ObjectHashAggregate") :]
+    assert "split(" in below and "lambda" not in below
+    want = sorted([
+        (1, 5, 3, 2, [(2, 2), (2, 3)]), (1, 5, 3, 2, [(2, 2), (2, 3)]), (1, 1, 0, 0, None), (None, 3, 3, 2, [(1, 2), (1, 3)]), (None, 3, 3, 2, [(1, 2), (1, 3)]),
+        (None, 0, 0, 0, None), (2, 4, 4, 3, [(1, 2), (2, 2), (2, 3)]), (3, 4, 3, 2, [(2, 2), (2, 3)]), (4, 4, 3, 2, [(2, 2), (2, 3)]),
+    ], key=str)
+    seen = lambda found: sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.spans and [tuple(s) for s in r.spans]) for r in found.collect()), key=str)
+    assert seen(found) == want
+    monkeypatch.setattr(C, "small", lambda df: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert seen(C.contamination(docs, items, window=3)) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_places_of_a_long_text(spark):
     """Texts of many parts, windows of several lengths across their borders, against a plain search."""
     rng = random.Random(8)
