@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 U64 = np.uint64
 #: Bytes of text worked on at once.
 CHUNK_BYTES = 4_000_000
+#: Bytes that are hashed at once.
+SLICE_BYTES = 1 << 16
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -79,30 +81,44 @@ def spans(raw: np.ndarray, offsets: np.ndarray, seps: np.ndarray) -> tuple[np.nd
     """Starts and ends of the runs of other bytes than ``seps`` and how many each text has."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~seps[raw]
+    word = ~np.take(seps, raw)
     first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
+    np.greater(word[1:], word[:-1], out=first[1:])
+    np.greater(word[:-1], word[1:], out=last[:-1])
     full = offsets[1:] > offsets[:-1]
     heads, tails = offsets[:-1][full], offsets[1:][full] - 1
-    first[heads] |= word[heads]
-    last[tails] |= word[tails]
+    first[heads] = word[heads]
+    last[tails] = word[tails]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
+def _powers(step: int, n: int) -> np.ndarray:
+    """``step`` to the powers 0 .. n - 1."""
+    out = np.full(n, step, U64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte run ``[start, end)``; runs are in order and don't overlap."""
+    """A 64-bit hash of each byte run ``[start, end)``; runs are in order and don't overlap.
+
+    A polynomial of the run's bytes. It is the difference of two running sums over a slice of the bytes,
+    divided by the power at which the run begins; a slice is small enough to stay in the processor's cache.
+    """
     if not len(starts):
         return _EMPTY
-    lengths = ends - starts
-    heads = np.cumsum(lengths) - lengths
-    within = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)
-    power = np.ones(int(lengths.max()), U64)
-    np.multiply.accumulate(np.concatenate([power[:1], np.full(len(power) - 1, _STEP, U64)]), out=power)
-    values = _BYTE[raw[within + np.repeat(starts, lengths)]]
-    values *= power[within]
-    return mix(np.add.reduceat(values, heads) + lengths.astype(U64) * U64(0xD6E8FEB86659FD93))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, starts[-1] + 1, SLICE_BYTES)), len(starts)))
+    longest = int((ends[cuts[1:] - 1] - starts[cuts[:-1]]).max())
+    up, down = _powers(int(_STEP), longest), _powers(pow(int(_STEP), -1, 1 << 64), longest)
+    sums, upto = np.empty(len(starts), U64), np.zeros(longest + 1, U64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        values = np.take(_BYTE, raw[starts[a] : ends[b - 1]])
+        values *= up[: len(values)]
+        np.cumsum(values, out=upto[1 : len(values) + 1])
+        first = starts[a:b] - starts[a]
+        sums[a:b] = (upto[ends[a:b] - starts[a]] - upto[first]) * down[first]
+    return mix(sums + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

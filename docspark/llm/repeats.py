@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,16 @@ from .common import check_columns, discard, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 U64 = np.uint64
-#: Rows of the sketch, cells of one file of it, windows a task holds before it sends its sketch.
-DEPTH, SHARD_BITS, HELD = 2, 22, 4_000_000
+#: Rows of the sketch, windows a task holds before it sends its sketch.
+DEPTH, HELD = 2, 4_000_000
+#: Bits of the cells of one part of the sketch, at least and at most; in between, there are as many parts as PART_BITS says.
+LEAST_BITS, MOST_BITS, PART_BITS = 22, 26, 7
 #: Windows estimated repeated that a task holds before it sends them.
 HELD_FOUND = 2_000_000
 #: Text worked on at once.
 BLOCK_BYTES = 1_000_000
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_NONE = np.zeros(0, U64)
 
 
 def windows(words: np.ndarray, counts: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +61,8 @@ class Words:
     """Words of a batch of texts as places and hashes."""
 
     def __init__(self, texts: pa.Array):
-        self.raw, offsets = arrays.flat(texts)
-        self.starts, self.ends, self.counts = arrays.spans(self.raw, offsets, arrays.BLANKS)
+        self.raw, self.offsets = arrays.flat(texts)
+        self.starts, self.ends, self.counts = arrays.spans(self.raw, self.offsets, arrays.BLANKS)
         self.hash = arrays.hashes(self.raw, self.starts, self.ends)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,29 +76,72 @@ class Words:
         """Other 64 bits of every window, in the same order."""
         return windows(arrays.mix(self.hash ^ U64(0x5851F42D4C957F2D)), self.counts, size, _STEPS[1])[0]
 
-
-def cells(keys: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """Cell of each window in a row of the sketch."""
-    return (arrays.mix(keys + U64(row)) >> U64(64 - bits)).astype(np.int64)
-
-
-def sketch(texts: DataFrame, size: int, bits: int, folder: str) -> np.ndarray:
+    def repeated(self, size: int, layout: Layout, mapped: kneser_ney.Arrays, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes, in order of the first, and the first words' places of the windows estimated repeated."""
+        keys, at = self.windows(size)
+        order = np.argsort(keys)
+        keys = keys[order]
+        hit = estimated_repeated(keys, layout, mapped, there)
+        order = order[hit]
+        return keys[hit], self.second(size)[order] if len(hit) else _NONE, at[order]
+
+    def kept(self, keep: np.ndarray) -> list[bytes]:
+        """Each text's words that stay, joined by one blank."""
+        stops = np.minimum(self.ends + 1, np.repeat(self.offsets[1:], self.counts))  # a word takes the blank behind it along, if it has one
+        change = np.zeros(len(self.raw) + 1, np.int8)
+        change[self.starts[keep]] += 1
+        change[stops[keep]] -= 1
+        data = self.raw[np.cumsum(change[:-1], dtype=np.int8).view(bool)]
+        upto = np.concatenate([[0], np.cumsum(np.where(keep, stops - self.starts, 0))])
+        data[upto[1:][keep & (stops > self.ends)] - 1] = 0x20
+        whole, edges = data.tobytes(), upto[np.concatenate([[0], np.cumsum(self.counts)])].tolist()
+        return [whole[a:b].removesuffix(b" ") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+class Layout(NamedTuple):
+    """Parts of the sketch and of the repeated windows, and cells of a part. A window's part are the leading bits of its hash."""
+
+    part_bits: int
+    cell_bits: int
+
+    @classmethod
+    def of(cls, cells: int) -> Layout:
+        """For so many cells or more in a row of the sketch."""
+        bits = max(cells.bit_length(), LEAST_BITS)
+        cell_bits = min(max(bits - PART_BITS, LEAST_BITS), MOST_BITS)
+        return cls(bits - cell_bits, cell_bits)
+
+    @property
+    def parts(self) -> int:
+        return 1 << self.part_bits
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(64 - self.part_bits)).astype(np.int64) if self.part_bits else np.zeros(len(keys), np.int64)
+
+    def cell(self, keys: np.ndarray, row: int) -> np.ndarray:
+        """Cell of each window in its part: for the first row the bits that follow those of the part, for the second the lowest."""
+        first = keys >> U64(64 - self.part_bits - self.cell_bits) if row == 0 else keys
+        return (first & U64((1 << self.cell_bits) - 1)).astype(np.int64)
+
+
+def sketch(texts: DataFrame, size: int, layout: Layout, folder: str) -> np.ndarray:
     """Writes for every part of the sketch which cells were met twice or more, one bit a cell; returns which parts there are.
 
     A task's sketch holds its cells (at most twice each, since more makes no difference) as 16-bit
     places in ranges of 65,536 cells; the part's task adds them up, whatever the number of tasks.
     """
-    parts, ranges = 1 << (bits - SHARD_BITS), 1 << (SHARD_BITS - 16)
+    ranges = 1 << (layout.cell_bits - 16)
 
     def sent(held: list[np.ndarray]) -> pa.RecordBatch:
         keys, rows = np.concatenate(held), []
+        part = layout.part(keys) << layout.cell_bits
         for row in range(DEPTH):
-            at = np.sort(cells(keys, row, bits))
+            at = np.sort(part | layout.cell(keys, row))
             at = at[np.concatenate([np.ones(min(len(at), 2), bool), at[2:] != at[:-2]])]
-            edges = np.searchsorted(at, np.arange(parts + 1) << SHARD_BITS)
+            edges = np.searchsorted(at, np.arange(layout.parts + 1) << layout.cell_bits)
             for p in np.flatnonzero(np.diff(edges)).tolist():
-                mine = at[edges[p] : edges[p + 1]] - (p << SHARD_BITS)
-                rows.append((row * parts + p, np.bincount(mine >> 16, minlength=ranges).astype("<u4").tobytes(), (mine & 0xFFFF).astype("<u2").tobytes()))
+                mine = at[edges[p] : edges[p + 1]] - (p << layout.cell_bits)
+                rows.append((row * layout.parts + p, np.bincount(mine >> 16, minlength=ranges).astype("<u4").tobytes(), (mine & 0xFFFF).astype("<u2").tobytes()))
         return pa.RecordBatch.from_pydict(
             {c: [r[i] for r in rows] for i, c in enumerate(("part", "sizes", "places"))},
             schema=pa.schema([("part", pa.int32()), ("sizes", pa.binary()), ("places", pa.binary())]),
@@ -112,16 +159,17 @@ def sketch(texts: DataFrame, size: int, bits: int, folder: str) -> np.ndarray:
             yield sent(held)
 
     def merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SHARD_BITS, np.uint8)
+        once, twice = np.zeros(1 << layout.cell_bits, bool), np.zeros(1 << layout.cell_bits, bool)
         for batch in batches:
             for sizes, places in zip(batch.column("sizes").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 at = np.frombuffer(places, "<u2").astype(np.int64) + np.repeat(np.arange(ranges) << 16, np.frombuffer(sizes, "<u4"))
-                np.add.at(total, at, np.uint8(1))
-                np.minimum(total, 2, out=total)
-        kneser_ney._write(folder, f"cells-{key[0].as_py()}.bits", np.packbits(total >= 2, bitorder="little"))
+                twice[at[once[at]]] = True
+                twice[at[1:][at[1:] == at[:-1]]] = True
+                once[at] = True
+        kneser_ney._write(folder, f"cells-{key[0].as_py()}.bits", np.packbits(twice, bitorder="little"))
         yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()]}, schema=pa.schema([("part", pa.int32())]))
 
-    return _parts(texts.mapInArrow(run, "part int, sizes binary, places binary").groupBy("part").applyInArrow(merge, "part int"), DEPTH * parts)
+    return _parts(texts.mapInArrow(run, "part int, sizes binary, places binary").groupBy("part").applyInArrow(merge, "part int"), DEPTH * layout.parts)
 
 
 def _parts(made: DataFrame, size: int) -> np.ndarray:
@@ -132,25 +180,25 @@ def _parts(made: DataFrame, size: int) -> np.ndarray:
     return there
 
 
-def estimated_repeated(keys: np.ndarray, bits: int, mapped: kneser_ney.Arrays, there: np.ndarray) -> np.ndarray:
-    """Places of the windows that every row of the sketch has twice or more: all repeated ones and a few others."""
-    parts = 1 << (bits - SHARD_BITS)
-    left = np.arange(len(keys))
-    for row in range(DEPTH):
-        at = cells(keys[left], row, bits)
-        order = np.argsort(at)
-        at, hit = at[order], np.zeros(len(left), bool)
-        edges = np.searchsorted(at, np.arange(parts + 1) << SHARD_BITS)
-        for p in np.flatnonzero(np.diff(edges) * there[row * parts : (row + 1) * parts]).tolist():
-            mine = at[edges[p] : edges[p + 1]] & ((1 << SHARD_BITS) - 1)
-            hit[order[edges[p] : edges[p + 1]]] = mapped.get(f"cells-{row * parts + p}.bits", "u1")[mine >> 3] >> (mine & 7).astype(np.uint8) & 1
-        left = left[hit]
-    return left
+def estimated_repeated(keys: np.ndarray, layout: Layout, mapped: kneser_ney.Arrays, there: np.ndarray) -> np.ndarray:
+    """Places of the windows, in order, that every row of the sketch has twice or more: all repeated ones and a few others."""
+    edges, left = np.searchsorted(layout.part(keys), np.arange(layout.parts + 1)), [_NONE.astype(np.int64)]
+    for p in np.flatnonzero(np.diff(edges) * np.logical_and.reduce(there.reshape(DEPTH, layout.parts))).tolist():
+        mine = np.arange(edges[p], edges[p + 1])
+        for row in range(DEPTH):
+            at = layout.cell(keys[mine], row)
+            bits = np.asarray(mapped.get(f"cells-{row * layout.parts + p}.bits", "u1"))
+            mine = mine[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).view(bool)]
+        left.append(mine)
+    return np.concatenate(left)
 
 
 def _first_docs(k1: np.ndarray, k2: np.ndarray, low: np.ndarray, several: np.ndarray) -> tuple[np.ndarray, ...]:
     """One entry for each window, sorted: its smallest document, and whether more than one document has it."""
-    order = np.lexsort((k2, k1))
+    order = np.argsort(k1)
+    same = k1[order[1:]] == k1[order[:-1]]
+    if (k2[order[1:]] != k2[order[:-1]])[same].any():  # the first hash hardly ever leaves anything to the second, a slower sort
+        order = np.lexsort((k2, k1))
     k1, k2, low, several = k1[order], k2[order], low[order], several[order]
     if not len(k1):
         return k1, k2, low, several
@@ -159,17 +207,16 @@ def _first_docs(k1: np.ndarray, k2: np.ndarray, low: np.ndarray, several: np.nda
     return k1[first], k2[first], least, np.logical_or.reduceat(several, first) | (least != np.maximum.reduceat(low, first))
 
 
-def repeated_windows(texts: DataFrame, size: int, bits: int, there: np.ndarray, folder: str) -> np.ndarray:
+def repeated_windows(texts: DataFrame, size: int, layout: Layout, there: np.ndarray, folder: str) -> np.ndarray:
     """Writes the windows that more than one document has, with the smallest document of each, as sorted arrays.
 
     A task sends one entry for each window it holds, so a passage of all documents is one entry a task.
     """
-    parts = 1 << (bits - SHARD_BITS)
     kinds = (("k1", "<u8"), ("k2", "<u8"), ("low", "<i8"), ("several", "?"))
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         entries = _first_docs(*map(np.concatenate, zip(*held, strict=True)))
-        edges = np.searchsorted(_part(entries[0], parts), np.arange(parts + 1))
+        edges = np.searchsorted(layout.part(entries[0]), np.arange(layout.parts + 1))
         rows = [(p, *(x[edges[p] : edges[p + 1]].tobytes() for x in entries)) for p in np.flatnonzero(np.diff(edges)).tolist()]
         return pa.RecordBatch.from_pydict(
             {c: [r[i] for r in rows] for i, c in enumerate(("part", *(k for k, _ in kinds)))},
@@ -179,12 +226,10 @@ def repeated_windows(texts: DataFrame, size: int, bits: int, there: np.ndarray,
         mapped, held, have = kneser_ney.Arrays(folder), [], 0
         for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             words = Words(batch.column("_text"))
-            keys, at = words.windows(size)
-            hit = estimated_repeated(keys, bits, mapped, there)
-            if len(hit):
-                doc = np.asarray(batch.column("_doc"))[words.text()[at[hit]]]
-                held.append((keys[hit], words.second(size)[hit], doc, np.zeros(len(hit), bool)))
-                have += len(hit)
+            k1, k2, at = words.repeated(size, layout, mapped, there)
+            if len(k1):
+                held.append((k1, k2, np.asarray(batch.column("_doc"))[words.text()[at]], np.zeros(len(k1), bool)))
+                have += len(k1)
             if have >= HELD_FOUND:
                 yield sent(held)
                 held, have = [], 0
@@ -205,22 +250,18 @@ def repeated_windows(texts: DataFrame, size: int, bits: int, there: np.ndarray,
         yield pa.RecordBatch.from_pydict({"part": [key[0].as_py()] * bool(several.any())}, schema=pa.schema([("part", pa.int32())]))
 
     schema = "part int, k1 binary, k2 binary, low binary, several binary"
-    return _parts(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, "part int"), parts)
-
-
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each window by its leading bits."""
-    return (keys >> U64(65 - parts.bit_length())).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+    return _parts(texts.mapInArrow(run, schema).groupBy("part").applyInArrow(merge, "part int"), layout.parts)
 
 
 def first_docs(k1: np.ndarray, k2: np.ndarray, mapped: kneser_ney.Arrays, there: np.ndarray) -> np.ndarray:
-    """Smallest document that has each window; the largest number where only one has it."""
+    """Smallest document that has each window; the largest number where only one has it. There is a power of two of parts."""
+    layout = Layout(len(there).bit_length() - 1, LEAST_BITS)
     out = np.full(len(k1), np.iinfo(np.int64).max)
     order = np.argsort(k1)
-    edges = np.searchsorted(_part(k1[order], len(there)), np.arange(len(there) + 1))
+    edges = np.searchsorted(layout.part(k1[order]), np.arange(len(there) + 1))
     for p in np.flatnonzero(np.diff(edges) * there).tolist():
         mine = order[edges[p] : edges[p + 1]]
-        have, second, low = (mapped.get(f"windows-{p}.{name}", kind) for name, kind in (("k1", "<u8"), ("k2", "<u8"), ("low", "<i8")))
+        have, second, low = (np.asarray(mapped.get(f"windows-{p}.{name}", kind)) for name, kind in (("k1", "<u8"), ("k2", "<u8"), ("low", "<i8")))
         at = np.searchsorted(have, k1[mine])
         while len(mine):  # entries with one first half follow each other
             inside = at < len(have)
@@ -258,32 +299,24 @@ def drop_repeats(docs: DataFrame, size: int = 13, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     texts = rows.where("_doc IS NOT NULL").select("_doc", "_text")
     letters = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = max(SHARD_BITS, int(letters // 2).bit_length())  # cells for each two bytes: more than windows, whatever the words
+    layout = Layout.of(int(letters // 2))  # cells for each two bytes: more than windows, whatever the words
     folder = f"{shared_dir(docs.sparkSession)}/windows"
-    cells_there = sketch(texts.select("_text"), size, bits, folder)
-    there = repeated_windows(texts, size, bits, cells_there, folder)
+    cells_there = sketch(texts.select("_text"), size, layout, folder)
+    there = repeated_windows(texts, size, layout, cells_there, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped = kneser_ney.Arrays(folder)
         for batch in arrays.pieces_of(batches, "_text", BLOCK_BYTES):
             words = Words(batch.column("_text"))
-            keys, at = words.windows(size)
-            hit = estimated_repeated(keys, bits, mapped, cells_there)
-            if len(hit):
-                own = np.asarray(batch.column("_doc").fill_null(np.iinfo(np.int64).min))[words.text()[at[hit]]]
-                hit = hit[first_docs(keys[hit], words.second(size)[hit], mapped, there) < own]
+            k1, k2, at = words.repeated(size, layout, mapped, cells_there)
+            own = np.asarray(batch.column("_doc").fill_null(np.iinfo(np.int64).min))[words.text()[at]]
+            at = at[first_docs(k1, k2, mapped, there) < own]
             cover = np.zeros(len(words.starts) + 1, np.int32)
-            np.add.at(cover, at[hit], 1)
-            np.add.at(cover, at[hit] + size, -1)
+            cover[at] += 1  # a window begins at a word, so no place is met twice
+            cover[at + size] -= 1
             keep = np.cumsum(cover[:-1]) == 0
-            sizes = words.ends[keep] - words.starts[keep]
-            ends = np.cumsum(sizes + 1)  # each word and a blank
-            data = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-            data[arrays.ragged(ends - sizes - 1, sizes)] = words.raw[arrays.ragged(words.starts[keep], sizes)]
+            texts = words.kept(keep)
             upto = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(words.counts)])]
-            edge = np.concatenate([[0], ends])[upto].tolist()
-            whole = data.tobytes()
-            texts = [whole[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
             columns = [
                 batch.column("_id"), pa.array(words.counts, pa.int64()), pa.array(words.counts - np.diff(upto), pa.int64()),
                 pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from docspark.llm import codebooks, collocations, repeats
+from docspark.llm import arrays, codebooks, collocations, repeats
 
 # ---- collocations --------------------------------------------------------
 
@@ -200,6 +200,46 @@ def test_repeats_of_nothing(spark):
         repeats.drop_repeats(empty, size=0)
 
 
+def test_repeats_in_several_parts(spark, monkeypatch):
+    """Windows dealt over parts of the sketch, whose two rows lie in one part; cells that many windows share lose nothing."""
+    rng = random.Random(4)
+    base = [" ".join(rng.choices(["alpha", "b", "Ünï", "dd", "e", "ff"], k=60)) for _ in range(30)]
+    rows = [(i, rng.choice(base)[: rng.randrange(5, 300)] + " \t" + " ".join(rng.choices("uvwxyz", k=rng.randrange(200)))) for i in range(150)]
+    monkeypatch.setattr(repeats.Layout, "of", classmethod(lambda cls, cells: cls(5, 16)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, repeats.drop_repeats(frame.repartition(3), size=4).collect()), key=str)
+    assert got == plain_repeats(rows, 4)
+
+
+def test_parts_do_not_grow_with_the_corpus():
+    """A pass goes over the parts in each block of text, so a corpus of ten times the size has larger parts, not ten times as many."""
+    for cells in (0, 1 << 20, 1 << 28, 1 << 29, 5 << 30, 1 << 33, 1 << 40):
+        layout = repeats.Layout.of(cells)
+        assert layout.part_bits + layout.cell_bits >= cells.bit_length() and 22 <= layout.cell_bits <= 26
+        assert layout.parts <= 128 or layout.cell_bits == 26
+    keys = np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    layout = repeats.Layout(5, 22)
+    assert np.array_equal(layout.part(keys), [int(k) >> 59 for k in keys])
+    assert [layout.cell(keys[7:8], row)[0] for row in (0, 1)] == [int(keys[7]) >> 37 & 0x3FFFFF, int(keys[7]) & 0x3FFFFF]
+
+
+def test_hashes_of_runs_in_any_slice():
+    """A run's hash is that of its bytes, wherever it stands and whichever slice it begins in."""
+    runs = [b"a", b"x" * 70_000, b"bc", b"", b"a", "é".encode() * 40_000, b"bc", b"x" * 70_000, b"a"]
+    raw = np.frombuffer(b" ".join(runs), np.uint8)
+    sizes = np.array([len(r) for r in runs])
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    whole = arrays.hashes(raw, starts, starts + sizes).tolist()
+    alone = [arrays.hashes(np.frombuffer(r, np.uint8), np.array([0]), np.array([len(r)]))[0] for r in runs if r]
+    assert [h for h, r in zip(whole, runs, strict=True) if r] == alone and len(set(whole)) == 5
+
+
+def test_first_halves_that_agree_are_sorted_by_the_second():
+    made = repeats._first_docs(*(np.array(x, kind) for x, kind in (
+        ([7, 5, 7, 7, 5], np.uint64), ([2, 1, 1, 2, 1], np.uint64), ([30, 4, 9, 20, 4], np.int64), ([0, 0, 0, 0, 0], bool))))
+    assert [x.tolist() for x in made] == [[5, 7, 7], [1, 1, 2], [4, 9, 20], [False, False, True]]
+
+
 def test_windows_of_different_halves_are_apart():
     """Entries that share the first half of their key are told apart by the second."""
     class Mapped:
